@@ -1,0 +1,60 @@
+"""Token ids of texts by a public tokenizer file, with a bounded memo of words.
+
+The word tokenizer drops white space and none of its rules look across it, so the ids of a text
+are those of its words at ASCII white space, one after another (a test compares whole texts)."""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+
+DEFAULT_TOKENIZER = "word_bpe_49k.json"
+_ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
+
+
+def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+class WordEncoder:
+    """Ids as little-endian uint32 bytes. Two generations of at most `keep` words bound the memo."""
+
+    def __init__(self, path: str, keep: int = 250_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, text: str | None) -> bytes:
+        words = (text or "").encode("utf-8", "replace").split()
+        young = self.young
+        missing = [w for w in set(words) if w not in young]
+        if missing:
+            if len(young) + len(missing) > self.keep:
+                self.old, self.young = young, {}
+                young = self.young
+                missing = list(set(words))
+            new = []
+            for w in missing:
+                seen = self.old.get(w)
+                if seen is None:
+                    new.append(w)
+                else:
+                    young[w] = seen
+            for at in range(0, len(new), 4096):
+                part = new[at : at + 4096]
+                for w, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
+                    young[w] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(map(young.__getitem__, words))
+
+
+def encoder(path: str, keep: int = 250_000) -> WordEncoder:
+    """One encoder for each Python worker."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]
