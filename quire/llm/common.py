@@ -51,6 +51,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def as_objects(pdf):
+    """Text columns as Python objects: Arrow-backed ones of no or several chunks can't be sent back."""
+    return pdf.astype({c: object for c in pdf.columns if pdf[c].dtype.kind not in "iufbM"})
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the number as text, modulo n; null for a null number."""
     return F.crc32(col.cast("string").cast("binary")) % n

@@ -283,7 +283,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
                 c = s.count[s.word]
                 starts = np.cumsum(s.lengths) - s.lengths
                 add = lambda x: np.add.reduceat(x, starts)
-                yield pd.DataFrame({"d": r.docs, "held_out": np.asarray(r.held, bool), "n_tokens": s.lengths, "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10((c + 1) / (n + v + 1))), "score": add(w)})
+                yield pd.DataFrame({"d": np.asarray(r.docs, object), "held_out": np.asarray(r.held, bool), "n_tokens": s.lengths, "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10((c + 1) / (n + v + 1))), "score": add(w)})
 
     out = ready.mapInPandas(run, "d string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("d").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, table, written
+from .common import fresh, table, written
 
 TEMPERATURE, SEED = 0.5, "mix-1"
 #: Up to so many sources their rates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
-#: Rates above this are refused: a distribution function of that many terms is no mixture.
-MOST_RATE = 10_000.0
+#: A higher rate is a sum of equal Poisson counts of at most this rate, each with its own hash.
+MOST_RATE = 1_000.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -48,25 +48,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, epochs: f
         size = size.withColumn("w", F.coalesce(F.try_element_at(m, F.coalesce("src", F.lit(""))), F.lit(0.0)))
     total = size.agg(F.sum("size").alias("all_size"), F.round(F.sum("w"), 3).alias("all_w"))  # one row
     rate = F.when((F.col("size") > 0) & (F.col("all_w") > 0), F.round(F.col("w") / F.col("all_w") * F.lit(float(epochs)) * F.col("all_size") / F.col("size"), 9)).otherwise(0.0)
-    out = size.join(F.broadcast(total), F.lit(True)).select("src", "size", rate.alias("rate"))
-    return out.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a source's repetition rate is above MOST_RATE"))).otherwise(F.col("rate")))
+    return size.join(F.broadcast(total), F.lit(True)).select("src", "size", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """All columns of docs, and copy_no (from 1), rate and mix_key, one row for each copy, shuffled globally.
 
     Rows are dealt to partitions by mix_key and lie in its order there."""
-    c_rate, c_cdf, c_src, c_copy, c_key = fresh(docs, "rate", "cdf", "src", "copy_no", "mix_key")
+    c_rate, c_cdf, c_src, c_copy, c_key, c_parts = fresh(docs, "rate", "cdf", "src", "copy_no", "mix_key", "parts")
     table_ = written(rates(docs, weights, epochs=epochs, temperature=temperature, source=source, text=text), "rates")
-    small = table_.select(F.col("src").alias(c_src), F.col("rate").alias(c_rate), F.expr(distribution("rate")).alias(c_cdf))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int")
+    small = table_.withColumn("p", parts).select(F.col("src").alias(c_src), F.col("rate").alias(c_rate), F.col("p").alias(c_parts), F.expr(distribution("(rate / p)")).alias(c_cdf))
     if table_.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    u = uniform(F.col(doc_id), seed)
     joined = docs.join(small, docs[source].eqNullSafe(small[c_src]), "inner")
-    count = F.size(F.filter(c_cdf, lambda c: c <= u))
+    one = lambda u: F.size(F.filter(c_cdf, lambda c: c <= u))  # noqa: E731  inverts the distribution at u
+    more = F.aggregate(F.sequence(F.lit(2), F.col(c_parts)), F.lit(0), lambda a, j: a + one(uniform(F.concat_ws("|", j.cast("string"), F.col(doc_id).cast("string")), seed)))
+    count = one(uniform(F.col(doc_id), seed)) + F.when(F.col(c_parts) > 1, more).otherwise(0)
     out = joined.withColumn(c_copy, F.explode(F.when(count > 0, F.sequence(F.lit(1), count))))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(c_copy).cast("string")))
-    return out.withColumn(c_key, key).drop(c_src, c_cdf).repartition(c_key).sortWithinPartitions(c_key)
+    return out.withColumn(c_key, key).drop(c_src, c_cdf, c_parts).repartition(c_key).sortWithinPartitions(c_key)
 
 
 def op2_poisson_mixing(spark, sf_dir):

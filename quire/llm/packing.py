@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, offsets, shuffle_partitions, table, written
+from .common import as_objects, dropped, offsets, shuffle_partitions, table, written
 from .tokens import encoder, tokenizer_path
 
 LENGTH, END_ID = 4096, 2
@@ -76,7 +76,7 @@ def tokenised(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = EN
         for pdf in batches:
             ids = [np.frombuffer(enc.encode(t if isinstance(t, str) else "") + end, "<u4") for t in pdf["t"].array]
             key = hilbert(curve_points(ids, g))
-            yield pd.DataFrame({"d": pdf["d"], "tie": pdf["tie"], "curve": key, "n": [len(x) for x in ids], "ids": [(x.astype("<u2") if int(x.max()) < 1 << 16 else x).tobytes() for x in ids]})
+            yield pd.DataFrame({"d": pdf["d"].astype(object), "tie": pdf["tie"], "curve": key, "n": [len(x) for x in ids], "ids": [(x.astype("<u2") if int(x.max()) < 1 << 16 else x).tobytes() for x in ids]})
 
     rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.xxhash64(text).alias("tie"), F.col(text).alias("t"))
     out = rows.mapInPandas(run, "d string, tie long, curve long, n long, ids binary")
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str | None = None,
             upto = at + pdf["n"].cumsum()
             pdf["local"] = upto - pdf["n"]
             at = int(upto.iloc[-1]) if len(upto) else at
-            yield pdf
+            yield as_objects(pdf)
 
     ranged = rows.repartitionByRange(shuffle_partitions(spark), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie")
     # doc_id as text: a column of integers and nulls would turn into floats
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str | None = None,
                     size = min(n - start, length - off)
                     out.append((d, start, size, ids[start : start + size].tobytes(), n, seq, off))
                     start += size
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            yield as_objects(pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]))
 
     placed = laid.join(F.broadcast(before), "part").select("doc_id", "n", "ids", (F.col("local") + F.col("before")).alias("at"))
     pieces = placed.mapInPandas(cut, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

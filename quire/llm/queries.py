@@ -5,8 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPS = {
+    "op1_simhash_components": "simhash",
     "op2_poisson_mixing": "mixing",
+    "op4_levenshtein_lexicon": "toxicity",
+    "op7_backoff_automaton": "lm",
     "op8_path_templates": "url_filters",
+    "op9_hilbert_packing": "packing",
+    "op10_bit_planes": "token_files",
 }
 
 

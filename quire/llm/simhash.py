@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, fresh, table, written
+from .common import as_objects, components, dropped, fresh, table, written
 
 TAU, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Rows of a bucket beyond which it is split into chunks.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
             pdf["fp"] = [fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["t"].array]
-            yield pdf[["d", "text_hash", "fp"]]
+            yield as_objects(pdf[["d", "text_hash", "fp"]])
 
     rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
     return rows.mapInPandas(run, "d string, text_hash long, fp long").select(F.col("d").cast("long").alias("doc_id"), "text_hash", "fp")
@@ -228,6 +228,11 @@ def entries(fps: DataFrame, parts: list[list[int]], hist: list[list[np.ndarray]]
     return fps.select("fp").mapInPandas(run, "bucket long, fp long")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; a view without a sign, as numpy counts the bits of a negative number's size."""
+    return np.bitwise_count((a ^ b).view("u8"))
+
+
 def forest(f: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among fingerprints f: each is compared until it is reached."""
     a, b = [], []
@@ -239,7 +244,7 @@ def forest(f: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
             hit = np.zeros(len(rest), bool)
             for k in range(0, len(front), 256):
                 still = np.flatnonzero(~hit)
-                hit[still] = (np.bitwise_count(front[k : k + 256, None] ^ rest[None, still]) <= tau).any(axis=0)
+                hit[still] = (differing(front[k : k + 256, None], rest[None, still]) <= tau).any(axis=0)
             front, rest = rest[hit], rest[~hit]
             a.append(np.full(len(front), root))
             b.append(front)
@@ -256,7 +261,7 @@ def links_of_groups(groups: np.ndarray, fp: np.ndarray, tau: int, small: int = 1
     n_after = np.where(np.repeat(sizes, sizes) <= small, end - np.arange(len(fp)) - 1, 0)
     i = np.repeat(np.arange(len(fp)), n_after)
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n_after) - n_after, n_after)
-    near = (np.bitwise_count(fp[i] ^ fp[j]) <= tau) & (fp[i] != fp[j])
+    near = (differing(fp[i], fp[j]) <= tau) & (fp[i] != fp[j])
     a.append(fp[i[near]])
     b.append(fp[j[near]])
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions, table, written
+from .common import as_objects, scratch, shuffle_partitions, table, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"QBITPL01"
@@ -153,7 +153,7 @@ def write_files(docs: DataFrame, folder: str, *, tokenizer: str | None = None, e
                     w = FileWriter(kind, chunk)
         if w.docs:
             close()
-        yield pd.DataFrame(found, columns=["part", "seq", "file", "n_docs", "n_ids"])
+        yield as_objects(pd.DataFrame(found, columns=["part", "seq", "file", "n_docs", "n_ids"]).astype({"part": int, "seq": int, "n_docs": int, "n_ids": int}))
 
     # doc_id goes as text: pandas would turn a column of integers and nulls into floats.
     rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.col(doc_id).cast("long").alias("o"), F.xxhash64(text).alias("h"))

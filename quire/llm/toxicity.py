@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, table, written
+from .common import as_objects, crc_mod, fresh, table, written
 
 FIT_ROWS = 20_000
 REJECT = 0.3
@@ -194,7 +194,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
                     if 4 <= len(w) <= 40:
                         context = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
                         rows.update((f, context, zlib.crc32(w.encode()) % 1024) for f in forms(w))
-            yield pd.DataFrame(list(rows), columns=["form", "context", "word"])
+            yield as_objects(pd.DataFrame(list(rows), columns=["form", "context", "word"]))
 
     toxic = sample.where("toxic = 1").select("t").mapInPandas(of_toxic, "form string, context long, word int")
     found = toxic.groupBy("form", "context").agg(F.min("word").alias("word")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("word")).alias("words"))
@@ -208,7 +208,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             for t in pdf["t"].array:
                 for f in {f for w in {plain(w) for w in set((t or "").lower().split())} for f in forms(w) if f in candidates}:
                     n[f] = n.get(f, 0) + 1
-            yield pd.DataFrame({"form": list(n), "n": list(n.values())})
+            yield pd.DataFrame({"form": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
 
     others = {r.form: r.n for r in sample.where("toxic = 0").select("t").mapInPandas(of_others, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()}
     terms, stems = dict.fromkeys(INSULTS, INSULT_ODDS), {}
@@ -237,8 +237,8 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float
     return w
 
 
-def scorer(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text"):
-    """A function of a text that gives its score; it can be sent to tasks."""
+def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float], np.ndarray]:
+    """(terms, stems, weights) learned from labelled rows."""
     sample = fit_sample(docs, labels, fit_rows, doc_id, text)
     terms, stems = lexicon(sample)
 
@@ -256,7 +256,7 @@ def scorer(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_
 
 def score(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, and score. labels: (doc_id, toxic) of the rows to learn from."""
-    terms, stems, w = scorer(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
+    terms, stems, w = fitted(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
     (c_score,) = fresh(docs, "score")
 
     def run(series):

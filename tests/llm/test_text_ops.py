@@ -207,11 +207,11 @@ def test_mixing(docs, empty):
     wide = clashing(docs)
     out = mixing.mix(wide)
     assert out.columns == [*wide.columns, "_rate", "_copy_no", "_mix_key"]
-    one = mixing.mix(docs, {"a": 3.0, "b": 1.0}, epochs=50)
+    one = mixing.mix(docs, {"a": 3.0, "b": 1.0})
     n = {r.source: r.c for r in one.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("c")).collect()}
     total = sum(len(t or "") for _, t, *_ in ROWS)
-    assert set(n) <= {"a", "b"} and abs(n["a"] / (50 * total * 0.75) - 1) < 0.3
-    assert sorted(map(tuple, one.select("doc_id", "copy_no").collect())) == sorted(map(tuple, mixing.mix(docs.repartition(1), {"a": 3.0, "b": 1.0}, epochs=50).select("doc_id", "copy_no").collect()))
+    assert set(n) <= {"a", "b"} and abs(n["b"] / (total * 0.25) - 1) < 0.5
+    assert sorted(map(tuple, one.select("doc_id", "copy_no").collect())) == sorted(map(tuple, mixing.mix(docs.repartition(1), {"a": 3.0, "b": 1.0}).select("doc_id", "copy_no").collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs, {}).count() == 0
 
 
