@@ -7,7 +7,10 @@ from importlib import import_module
 _OPS = {
     "op1_simhash_components": "simhash",
     "op2_poisson_mixing": "mixing",
+    "op3_pivot_permutations": "pivots",
     "op4_levenshtein_lexicon": "toxicity",
+    "op5_surrogates": "pii",
+    "op6_multi_index_hashing": "multi_index",
     "op7_backoff_automaton": "lm",
     "op8_path_templates": "url_filters",
     "op9_hilbert_packing": "packing",
