@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from quire.operators import joins, projections  # noqa: F401
