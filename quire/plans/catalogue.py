@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quire.operators import joins, projections  # noqa: F401
+from quire.operators import aggregates, joins, projections, windows  # noqa: F401
