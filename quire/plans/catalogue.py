@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quire.operators import aggregates, joins, projections, structures, windows  # noqa: F401
+from quire.operators import aggregates, joins, projections, structures, validation, windows  # noqa: F401
