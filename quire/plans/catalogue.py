@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from quire.operators import aggregates, joins, projections, structures, validation, windows  # noqa: F401
+from quire.streaming import calls  # noqa: F401
