@@ -34,8 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the warehouse (shared, too) in buckets of key: joins on key don't move it again."""
+    spark, name = df.sparkSession, f"quire_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+    out = spark.table(name)
+    out._quire_table = name
+    return out
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
+    """Deletes a table made by written() or bucketed() that nothing reads any more."""
+    if getattr(df, "_quire_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._quire_table}")
     path = getattr(df, "_quire_path", None)
     if path:
         spark = df.sparkSession

@@ -27,12 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, dropped, table, written
+from .common import bucketed, crc_mod, dropped, table, written
 
 BLOCK = 1_000_000
 #: Keys that a bucket of counts aims at.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 BINS = 64
+#: Keys are sent with 64 - KEY_LOSS bits.
+KEY_LOSS = 8
 END, START = b"\x00end", b"\x00start"
 
 
@@ -48,23 +50,38 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
+def pack_ints(x: np.ndarray) -> bytes:
+    """Integers from 0 as compressed byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view("u1").reshape(-1, 4).T).tobytes())
+    u = np.ascontiguousarray(x).astype("<u8").view("u1").reshape(-1, 8)
+    n = max(1, int(np.flatnonzero(np.r_[True, u.any(axis=0)]).max()))
+    return bytes([n]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(u[:, :n].T).tobytes())
 
 
-def unpack_ids(raw: bytes) -> np.ndarray:
+def unpack_ints(raw: bytes, dtype: str = "<i8") -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    n = raw[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), "u1").reshape(n, -1)
+    out = np.zeros((planes.shape[1], 8), "u1")
+    out[:, :n] = planes.T
+    return out.view(dtype).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending unsigned integers by their differences."""
+    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(raw, "<u8"), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(block, docs array<string>, held array<boolean>, lengths array<int>, vocab array<long>, ids binary).
+    """(block, docs array<string>, held array<boolean>, lengths array<int>, words int, vocab binary, ids binary).
 
-    vocab: the block's word hashes, ascending as unsigned; ids: positions in vocab, document after document, each with its end token."""
+    vocab: the hashes of the block's words, ascending; ids: positions in vocab, document after document, each with its end token."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -79,7 +96,7 @@ def blocks(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
             order = np.argsort(h)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            row = {"block": [first + made], "docs": [names], "held": [held], "lengths": [lengths], "vocab": [h[order].view("<i8")], "ids": [pack_ids(place[np.concatenate(ids)])]}
+            row = {"block": [first + made], "docs": [names], "held": [held], "lengths": [lengths], "words": [len(h)], "vocab": [pack_sorted(h[order])], "ids": [pack_ints(place[np.concatenate(ids)])]}
             return pd.DataFrame(row)
 
         for pdf in batches:
@@ -99,7 +116,7 @@ def blocks(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
             yield out()
 
     rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    return rows.mapInPandas(run, "block long, docs array<string>, held array<boolean>, lengths array<int>, vocab array<long>, ids binary")
+    return rows.mapInPandas(run, "block long, docs array<string>, held array<boolean>, lengths array<int>, words int, vocab binary, ids binary")
 
 
 def _training(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -114,10 +131,11 @@ def _before(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 
 def _message(block: int, keys: np.ndarray, bits: int, *more: np.ndarray) -> list[tuple]:
-    """Sorted keys of a block cut into buckets by their upper bits."""
+    """Sorted keys of a block cut into buckets by their upper bits; the bucket implies these, and the lowest KEY_LOSS bits are left out."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, int)
-    return [(int(bucket[s]), block, keys[s:e].view("<i8"), *(m[s:e] for m in more)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    rest = (keys << np.uint64(bits)) >> np.uint64(bits + KEY_LOSS)
+    return [(int(bucket[s]), block, pack_sorted(rest[s:e]), *(pack_ints(m[s:e]) for m in more)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def unigram_messages(found: DataFrame, bits: int) -> DataFrame:
@@ -127,18 +145,19 @@ def unigram_messages(found: DataFrame, bits: int) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 lengths = np.asarray(r.lengths, np.int64)
-                n = np.bincount(unpack_ids(r.ids)[_training(r.held, lengths)], minlength=len(r.vocab))
-                yield pd.DataFrame(_message(r.block, np.asarray(r.vocab).view("<u8"), bits, n.astype(np.int32)), columns=["bucket", "block", "keys", "n"])
+                n = np.bincount(unpack_ints(r.ids)[_training(r.held, lengths)], minlength=r.words)
+                yield pd.DataFrame(_message(r.block, unpack_sorted(r.vocab), bits, n), columns=["bucket", "block", "keys", "n"])
 
-    return found.select("block", "held", "lengths", "vocab", "ids").mapInPandas(run, "bucket long, block long, keys array<long>, n array<int>")
+    return found.select("block", "held", "lengths", "words", "vocab", "ids").mapInPandas(run, "bucket long, block long, keys binary, n binary")
 
 
 def _joined(pdf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of all messages, number of each key's distinct value, message of each key, totals by number)."""
-    keys = np.concatenate([np.asarray(k).view("<u8") for k in pdf["keys"]])
-    n = np.concatenate([np.asarray(x, np.int64) for x in pdf["n"]])
-    distinct, number = np.unique(keys, return_inverse=True)
-    return n, number, np.repeat(np.arange(len(pdf)), [len(k) for k in pdf["keys"]]), np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
+    """(own counts, number of each key's distinct value, where messages begin and end, totals by number)."""
+    keys = [unpack_sorted(k) for k in pdf["keys"]]
+    n = np.concatenate([unpack_ints(x) for x in pdf["n"]])
+    cuts = np.r_[0, np.cumsum([len(k) for k in keys])]
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return n, number, cuts, np.bincount(number, weights=n, minlength=len(distinct)).astype(np.int64)
 
 
 def unigram_totals(messages: DataFrame) -> DataFrame:
@@ -147,8 +166,7 @@ def unigram_totals(messages: DataFrame) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
-        _, number, at, total = _joined(pdf)
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        _, number, cuts, total = _joined(pdf)
         answer = total[number]
         rows = [(pdf["block"].iloc[k], pdf["bucket"].iloc[0], answer[s:e]) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
         rows.append((-1, pdf["bucket"].iloc[0], np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()])))
@@ -167,14 +185,14 @@ class Slice:
 
     def __init__(self, r, train_docs: int):
         self.lengths = np.asarray(r.lengths, np.int64)
-        ids, v = unpack_ids(r.ids), len(r.vocab)
+        ids, v = unpack_ints(r.ids), r.words
         before = _before(ids, self.lengths, v)
         self.word, self.state = ids, before
         self.train = _training(r.held, self.lengths)
         self.count = np.r_[np.asarray(r.counts, np.int64), train_docs]  # of words, and of the start state
         codes, inverse = np.unique(before * v + ids, return_inverse=True)
         u, w = codes // v, codes % v
-        h = np.r_[np.asarray(r.vocab).view("<u8"), word_hash([START])]
+        h = np.r_[unpack_sorted(r.vocab), word_hash([START])]
         key = pair_hash(h[u], h[w])
         order = np.argsort(key, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -190,33 +208,32 @@ def bigram_messages(found: DataFrame, bits: int, train_docs: int) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 s = Slice(r, train_docs)
-                yield pd.DataFrame(_message(r.block, s.key, bits, s.n.astype(np.int32), bin_of(s.count[s.u]).astype(np.int16)), columns=["bucket", "block", "keys", "n", "bins"])
+                yield pd.DataFrame(_message(r.block, s.key, bits, s.n, bin_of(s.count[s.u])), columns=["bucket", "block", "keys", "n", "bins"])
 
-    return found.select("block", "held", "lengths", "vocab", "ids", "counts").mapInPandas(run, "bucket long, block long, keys array<long>, n array<int>, bins array<smallint>")
+    return found.select("block", "held", "lengths", "words", "vocab", "ids", "counts").mapInPandas(run, "bucket long, block long, keys binary, n binary, bins binary")
 
 
 def bigram_totals(messages: DataFrame) -> DataFrame:
-    """(block, bucket, size, at array<int>, total array<long>): totals that differ from the block's own counts.
+    """(block, bucket, size, at, total): positions and totals that differ from the block's own counts.
 
     With block -1: the bucket's training bigrams and once-seen bigrams by bin of their context's count."""
 
     def run(pdf):
         import pandas as pd
 
-        n, number, at, total = _joined(pdf)
-        bins = np.concatenate([np.asarray(b, np.int64) for b in pdf["bins"]])
+        n, number, cuts, total = _joined(pdf)
+        bins = np.concatenate([unpack_ints(b) for b in pdf["bins"]])
         once = (n == 1) & (total[number] == 1)
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
         rows = []
         for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             own = total[number[s:e]]
             other = np.flatnonzero(own != n[s:e])
-            rows.append((pdf["block"].iloc[k], pdf["bucket"].iloc[0], e - s, other.astype(np.int32), own[other]))
+            rows.append((pdf["block"].iloc[k], pdf["bucket"].iloc[0], e - s, pack_sorted(other.astype(np.uint64)), pack_ints(own[other])))
         stat = np.r_[np.bincount(bins, weights=n, minlength=BINS)[:BINS], np.bincount(bins[once], minlength=BINS)[:BINS]]
-        rows.append((-1, pdf["bucket"].iloc[0], 0, np.zeros(0, np.int32), stat.astype(np.int64)))
+        rows.append((-1, pdf["bucket"].iloc[0], 0, b"", pack_ints(stat.astype(np.int64))))
         return pd.DataFrame(rows, columns=["block", "bucket", "size", "at", "total"])
 
-    return messages.groupBy("bucket").applyInPandas(run, "block long, bucket long, size int, at array<int>, total array<long>")
+    return messages.groupBy("bucket").applyInPandas(run, "block long, bucket long, size int, at binary, total binary")
 
 
 class Automaton:
@@ -252,22 +269,33 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     held_out: true for rows that aren't learned from. base_score: add-one unigrams."""
-    found = written(blocks(docs, held_out, doc_id=doc_id, text=text, block=block), "blocks")
+    found = bucketed(blocks(docs, held_out, doc_id=doc_id, text=text, block=block), "block")
     size = found.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("t"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("d")).first()
     bits = max(4, int(np.ceil(np.log2(max(size.t / BUCKET_KEYS, 1)))))
     uni = written(unigram_totals(unigram_messages(found, bits)), "unigrams")
     u = uni.where("block = -1").agg(*[F.coalesce(F.sum(F.get("total", F.lit(i))), F.lit(0)).alias(k) for i, k in enumerate(("n", "v", "n1", "n2"))]).first()
     counts = uni.where("block >= 0").groupBy(F.col("block").alias("b")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "total"))), lambda x: x["total"])).alias("counts"))
-    found2 = written(found.join(counts, F.col("block") == F.col("b")).drop("b"), "blocks")
+    found2 = bucketed(found.join(counts, F.col("block") == F.col("b")).drop("b"), "block")
     dropped(found)
     dropped(uni)
     bi = written(bigram_totals(bigram_messages(found2, bits, size.d)), "bigrams")
+
+    def bins(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        stat = np.zeros(2 * BINS, np.int64)
+        for pdf in batches:
+            for raw in pdf["total"]:
+                stat += unpack_ints(raw)
+        yield pd.DataFrame({"k": np.arange(2 * BINS), "x": stat})
+
     stat = np.zeros(2 * BINS)
-    for r in bi.where("block = -1").select(F.posexplode("total").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # 128 rows
+    for r in bi.where("block = -1").select("total").mapInPandas(bins, "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).collect():  # 128 rows
         stat[r.k] = r.x
     weight = np.clip(1 - stat[BINS:] / np.maximum(stat[:BINS], 1), 0, 0.999)
     answers = bi.where("block >= 0").groupBy(F.col("block").alias("b")).agg(F.sort_array(F.collect_list(F.struct("bucket", "size", "at", "total"))).alias("a"))
-    ready = found2.join(answers, F.col("block") == F.col("b")).select("docs", "held", "lengths", "vocab", "ids", "counts", F.transform("a", lambda x: x["size"]).alias("sizes"), F.transform("a", lambda x: F.size(x["at"])).alias("ats"), F.flatten(F.transform("a", lambda x: x["at"])).alias("at"), F.flatten(F.transform("a", lambda x: x["total"])).alias("total"))
+    pick = lambda name: F.transform("a", lambda x: x[name])
+    ready = found2.join(answers, F.col("block") == F.col("b")).select("docs", "held", "lengths", "words", "vocab", "ids", "counts", pick("size").alias("sizes"), pick("at").alias("at"), pick("total").alias("total"))
     n, v, n1, n2, train_docs = u.n, u.v, u.n1, u.n2, size.d
 
     def run(batches: Iterator) -> Iterator:
@@ -277,8 +305,10 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
             for r in pdf.itertuples(index=False):
                 s = Slice(r, train_docs)
                 total = s.n.copy()
-                sizes = np.asarray(r.sizes, np.int64)
-                total[np.asarray(r.at, np.int64) + np.repeat(np.cumsum(sizes) - sizes, np.asarray(r.ats, np.int64))] = np.asarray(r.total, np.int64)
+                before = 0
+                for size, at, one in zip(r.sizes, r.at, r.total, strict=True):
+                    total[unpack_sorted(at).astype(np.int64) + before] = unpack_ints(one)
+                    before += size
                 w = smoothed(s, total, n, v, n1, n2, weight).traverse(s.arc, s.state, s.word)
                 c = s.count[s.word]
                 starts = np.cumsum(s.lengths) - s.lengths
