@@ -1,11 +1,13 @@
 """Token ids of texts by a public tokenizer file, with a bounded memo of words.
 
 The word tokenizer drops white space and none of its rules look across it, so the ids of a text
-are those of its words at ASCII white space, one after another (a test compares whole texts)."""
+are those of its words at ASCII white space, one after another (a test compares whole texts). It
+has byte-level pieces and one word-end sign, which its own merges put on."""
 
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -19,16 +21,55 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that a word may end in; after a letter or digit they are words of their own to the tokenizer.
+TRAILING = b".,;:!?*%&#$()[]\"|"
+#: Letters up to here are one piece with their neighbours, have no parts to compose, and fold by themselves.
+SIMPLE_UNDER, DOTTED_I = "\u0250", "\u0130"
+
+
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if visible, else the next from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in seen else next(rest)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids as little-endian uint32 bytes. Two generations of at most `keep` words bound the memo."""
+    """Ids as little-endian uint32 bytes. Two generations of at most `keep` words bound the memo.
+
+    A plain word (letters, then perhaps marks) goes to the tokenizer's merges at once; any other goes
+    through all its steps."""
 
     def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.merge = self.tok.model.tokenize
+        self.signs = {b: sign for b, sign in enumerate(byte_signs())}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def one(self, word: bytes) -> bytes:
+        stem = word.rstrip(TRAILING)
+        tail = word[len(stem) :]
+        text = stem.decode()
+        if not text.isalpha() or max(text) >= SIMPLE_UNDER or DOTTED_I in text:
+            return self.whole(word)
+        low = text.lower()
+        ids = self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(self.signs))
+        out = struct.pack(f"<{len(ids)}I", *[x.id for x in ids])
+        if tail:
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {}
+                self.tails[tail] = self.whole(tail)
+            out += self.tails[tail]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
@@ -38,18 +79,11 @@ class WordEncoder:
             if len(young) + len(missing) > self.keep:
                 self.old, self.young = young, {}
                 young = self.young
-                missing = list(set(words))
-            new = []
+                missing = set(words)
+            old, one = self.old, self.one
             for w in missing:
-                seen = self.old.get(w)
-                if seen is None:
-                    new.append(w)
-                else:
-                    young[w] = seen
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    young[w] = np.array(e.ids, "<u4").tobytes()
+                got = old.get(w)
+                young[w] = one(w) if got is None else got
         return b"".join(map(young.__getitem__, words))
 
 
