@@ -1,12 +1,12 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie (operator 4).
 
-The lexicon is learned from labelled rows: words, and word stems, that occur in toxic texts in many
-different contexts (so a family of copies counts once) and hardly elsewhere; a few common insults
+The lexicon is learned from labelled rows: words, and word stems, whose first occurrences in toxic
+texts have many different contexts (so a family of copies counts once) and that others hardly hold; a few common insults
 are there from the start. It forms a trie. The trie's intersection with the Levenshtein automaton of
 one edit is determinised lazily, so each word of a text walks one table and dies early. A found
 word's weight is scaled by its window of words: within quotation marks or after a verb of saying it
 counts as quotation, next to the second person as abuse. A logistic function of the three sums
-(direct, quoted, misspelled) gives the score.
+(abuse, quotation, misspelled words) gives the score.
 
 Bounds: the lexicon and the function are fitted on at most FIT_ROWS labelled documents, those of the
 least hashes of doc_id; every document is scored whole.
@@ -31,8 +31,10 @@ from .common import as_objects, crc_mod, fresh, table, written
 FIT_ROWS = 20_000
 REJECT = 0.3
 EDITS, FUZZY_FROM, WINDOW = 1, 5, 5
-STEM_LENGTHS = (4, 5, 6, 7)
-LEAST_ODDS, LEAST_EVIDENCE, LEAST_CONTEXTS, STEM_FORMS = 3.0, 20.0, 4, 3
+STEM_LENGTHS = (3, 4, 5, 6, 7)
+LEAST_ODDS, LEAST_EVIDENCE, LEAST_CONTEXTS, STEM_FORMS, SLACK = 3.0, 20.0, 4, 3, 0.3
+#: A term that more than this share of harmless texts come within an edit of matches exactly only.
+MISREAD = 0.002
 # Common insults, in force without any label.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "vermin")
 INSULT_ODDS = 4.0
@@ -41,14 +43,15 @@ SAYING = frozenset("said says say called calls wrote writes quoted quote reporte
 SECOND = frozenset("you your you're youre u ur yourself du dich dir dein ihr euch tu te toi ton vous votre tú ti usted eres".split())
 OPEN, CLOSE, STRIP = "\"“„«‘'", "\"”“»’'", "\"“”„«»‘’'.,;:!?()[]{}<>*%&#$…-_|~`^+=/\\"
 LEET = str.maketrans("0134578@$", "oieastbas")
-PRIOR = np.array([-3.5, 1.2, 0.1, 1.0])  # constant, direct, quoted, misspelled
+PRIOR = np.array([-3.5, 1.2, 0.1, 0.0])  # constant, abuse, quotation, what misspelled words take back
+MISSPELLED = 0.8
 
 
 class Matcher:
-    """Words within EDITS of a lexicon term, or beginning with a stem. Terms under FUZZY_FROM letters match exactly."""
+    """Words within EDITS of a lexicon term, or beginning with a stem. Terms under FUZZY_FROM letters, and those in exact, match exactly."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = EDITS):
-        self.edits = edits
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset(), edits: int = EDITS):
+        self.edits, self.exact = edits, exact
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[float] = [0.0]
@@ -127,7 +130,7 @@ class Matcher:
         else:
             for n, e in sorted(self.sets[state]):
                 w = self.term[n]
-                if w is not None and (e == 0 or len(w) >= FUZZY_FROM) and (found is None or (e, -self.terms[w]) < (found[1], -found[0])):
+                if w is not None and (e == 0 or (len(w) >= FUZZY_FROM and w not in self.exact)) and (found is None or (e, -self.terms[w]) < (found[1], -found[0])):
                     found = (self.terms[w], e)
         self.memo[word] = found
         return found
@@ -140,7 +143,7 @@ def plain(word: str) -> str:
 
 
 def features(text: str | None, m: Matcher) -> tuple[float, float, float]:
-    """Logarithms of one plus the summed weights: direct, quoted, misspelled."""
+    """Logarithms of one plus the summed weights: abuse (misspelled words count MISSPELLED), quotation, misspelled alone."""
     words = (text or "").lower().split()
     hit = {}
     for w in set(words):
@@ -164,7 +167,7 @@ def features(text: str | None, m: Matcher) -> tuple[float, float, float]:
                     fuzzy += weight
                 else:
                     direct += weight
-    return math.log1p(direct), math.log1p(quoted), math.log1p(fuzzy)
+    return math.log1p(direct + MISSPELLED * fuzzy), math.log1p(quoted), math.log1p(fuzzy)
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -178,8 +181,10 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEM_LENGTHS if len(word) > k)]
 
 
-def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(terms, stems) with their log-odds; what is collected is bounded by the sample."""
+def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """(terms, stems) with their log-odds, and the terms that match exactly only, as harmless words are near them.
+
+    What is collected is bounded by the sample."""
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = size.get(1, 0), size.get(0, 0)
 
@@ -187,14 +192,16 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         import pandas as pd
 
         for pdf in batches:
-            rows = set()
+            rows = []
             for t in pdf["t"].array:
-                words = [plain(w) for w in (t or "").lower().split()]
+                words, seen = [plain(w) for w in (t or "").lower().split()], set()
                 for i, w in enumerate(words):
-                    if 4 <= len(w) <= 40:
+                    if 4 <= len(w) <= 40 and w not in seen:
+                        seen.add(w)
                         context = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
-                        rows.update((f, context, zlib.crc32(w.encode()) % 1024) for f in forms(w))
-            yield as_objects(pd.DataFrame(list(rows), columns=["form", "context", "word"]))
+                        rows += [(f, context, zlib.crc32(w.encode()) % 1024) for f in forms(w) if f == w or f not in seen]
+                        seen.update(forms(w))
+            yield as_objects(pd.DataFrame(rows, columns=["form", "context", "word"]))
 
     toxic = sample.where("toxic = 1").select("t").mapInPandas(of_toxic, "form string, context long, word int")
     found = toxic.groupBy("form", "context").agg(F.min("word").alias("word")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("word")).alias("words"))
@@ -219,12 +226,28 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
                 terms[f] = odds
             elif words >= STEM_FORMS:
                 stems[f[:-1]] = odds
-    stems = {s: w for s, w in stems.items() if not any(s[:k] in stems for k in STEM_LENGTHS if k < len(s))}
-    return {t: w for t, w in terms.items() if not any(t[:k] in stems for k in STEM_LENGTHS)}, stems
+    covered = lambda x, w: any(stems.get(x[:k], -math.inf) >= w - SLACK for k in STEM_LENGTHS if k < len(x))
+    terms, stems = {t: w for t, w in terms.items() if not covered(t, w)}, {s: w for s, w in stems.items() if not covered(s, w)}
+
+    def misread(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        one = {t: Matcher({t: 1.0}, {}) for t in terms if len(t) >= FUZZY_FROM}
+        m = Matcher(dict.fromkeys(one, 1.0), {})
+        for pdf in batches:
+            n: dict[str, int] = {}
+            for t in pdf["t"].array:
+                near = {p for p in {plain(w) for w in set((t or "").lower().split())} if p and (m.match(p) or (0, 0))[1]}
+                for term in {x for p in near for x, alone in one.items() if abs(len(x) - len(p)) <= EDITS and alone.match(p)}:
+                    n[term] = n.get(term, 0) + 1
+            yield pd.DataFrame({"form": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+
+    counted = sample.where("toxic = 0").select("t").mapInPandas(misread, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()  # a row for each term
+    return terms, stems, frozenset(r.form for r in counted if r.n > max(1, MISREAD * n_other))
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 0.5) -> np.ndarray:
-    """Logistic weights by Newton's method, drawn to the prior; slopes of direct and misspelled are kept positive."""
+    """Logistic weights by Newton's method, drawn to the prior; abuse raises the score, and misspelled words can only take back."""
     a = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 4))
     w, keep = prior.copy(), strength * np.diag([0.1, 1.0, 1.0, 1.0])
     for _ in range(30):
@@ -233,36 +256,36 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    w[1], w[3] = max(w[1], 0.05), max(w[3], 0.0)
+    w[1], w[3] = max(w[1], 0.05), min(w[3], 0.0)
     return w
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float], np.ndarray]:
-    """(terms, stems, weights) learned from labelled rows."""
+def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float], frozenset[str], np.ndarray]:
+    """(terms, stems, exact terms, weights) learned from labelled rows."""
     sample = fit_sample(docs, labels, fit_rows, doc_id, text)
-    terms, stems = lexicon(sample)
+    terms, stems, exact = lexicon(sample)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        m = Matcher(terms, stems)
+        m = Matcher(terms, stems, exact)
         for pdf in batches:
             yield pd.DataFrame([features(t, m) for t in pdf["t"].array], columns=["a", "b", "c"]).assign(toxic=pdf["toxic"])
 
     rows = sample.mapInPandas(run, "a double, b double, c double, toxic int").toPandas()  # at most fit_rows rows of numbers
     w = fit(rows[["a", "b", "c"]].to_numpy(float), rows["toxic"].to_numpy(float))
-    return terms, stems, w
+    return terms, stems, exact, w
 
 
 def score(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, and score. labels: (doc_id, toxic) of the rows to learn from."""
-    terms, stems, w = fitted(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
+    terms, stems, exact, w = fitted(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
     (c_score,) = fresh(docs, "score")
 
     def run(series):
         import pandas as pd
 
-        m = Matcher(terms, stems)
+        m = Matcher(terms, stems, exact)
         for texts in series:
             x = np.array([features(t if isinstance(t, str) else None, m) for t in texts.array], float).reshape(len(texts), 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
