@@ -3,7 +3,8 @@
 Each vector is described by its PREFIX nearest reference points (pivots), in order. Inverted lists
 hold the vectors of each pivot; two vectors of a list that share at least SHARED pivots are
 candidates, and cosine on the original vectors in double precision decides. Pivots are vectors of
-the table, those of the least hashes, at most MOST_PIVOTS; every vector is indexed.
+the table, from those of the least hashes, none near another, at most MOST_PIVOTS; every vector is
+indexed.
 
 Equal vectors are compared once, with their number. A list is split into chunks, and each pair of
 chunks is a group of its own, so a list of any length is whole. A pair counts in the list of its
@@ -25,6 +26,8 @@ from .common import components, dropped, table, written
 LEAST_COSINE = 0.9
 PREFIX, SHARED = 10, 2
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
+#: Pivots are nowhere nearer to each other than this cosine; so many vectors are looked at for each.
+APART, OVERSAMPLE = 0.6, 2
 CHUNK = 2048
 
 
@@ -88,12 +91,23 @@ def list_links(pivot: int, chunk: np.ndarray, x: np.ndarray, p: np.ndarray, weig
     return links, label
 
 
+def spread(x: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
+    """The first of x that aren't near each other: a dense group gives one pivot, so its members agree on theirs."""
+    kept = np.empty((min(most, len(x)), x.shape[1]))
+    n = 0
+    for v in x:
+        if n < len(kept) and (n == 0 or (kept[:n] @ v).max() < apart):
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def indexed(reps: DataFrame, prefix: int, n: int) -> DataFrame:
     """(rid, vector, n, prefix array<int>): each vector's nearest pivots, nearest first."""
-    sample = reps.orderBy(F.xxhash64("rid"), "rid").limit(pivots_for(n)).select("vector").toPandas()  # bounded by MOST_PIVOTS
+    sample = reps.orderBy(F.xxhash64("rid"), "rid").limit(OVERSAMPLE * pivots_for(n)).select("vector").toPandas()  # bounded by OVERSAMPLE * MOST_PIVOTS
     if not len(sample):
         return reps.withColumn("prefix", F.array().cast("array<int>"))
-    pivots = unit(sample["vector"])
+    pivots = spread(unit(sample["vector"]), pivots_for(n))
     k = min(prefix, len(pivots))
 
     def run(batches):
