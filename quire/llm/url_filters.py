@@ -4,7 +4,7 @@ Rules (host, path) come first; the longest that fits decides. For other urls, ea
 of path templates: digits, hexadecimal and very long segments become wildcards by form; a level
 with very many children, and children whose labelled share of bad pages doesn't differ from their
 parent's by a two-proportion test, merge into one wildcard branch. A template is rejected if its
-share of bad labels, smoothed towards its host's and that towards all pages', reaches a threshold.
+share of bad labels, smoothed towards its host's and that towards all pages', is over a threshold (half: so without labels none is).
 DataFrame functions only; trees are made from counts by host and path form, never from rows.
 
 Cases: a null url, or one without ://, has empty host and path; null labels don't count; a page
@@ -90,7 +90,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, page_id: str = "p
     found = tree_.join(purity, ["host", "template"]).select(F.col("host").alias(c_host), F.col("shape").alias(c_shape), F.col("template").alias(c_template), F.round("purity", 9).alias(c_purity))
     rule, verdict = rule_of(F.col(c_host), F.col(c_path), rules)
     out = base.join(found, [c_host, c_shape], "left")
-    return out.withColumn(c_rule, rule).withColumn(c_verdict, F.coalesce(verdict, F.when(F.col(c_purity) >= reject, "block").otherwise("allow"))).select(*pages.columns, c_host, c_path, c_rule, c_template, c_purity, c_verdict)
+    return out.withColumn(c_rule, rule).withColumn(c_verdict, F.coalesce(verdict, F.when(F.col(c_purity) > reject, "block").otherwise("allow"))).select(*pages.columns, c_host, c_path, c_rule, c_template, c_purity, c_verdict)
 
 
 def op8_path_templates(spark, sf_dir):
@@ -122,7 +122,7 @@ stat AS (SELECT host, template, sum(labelled) AS tl, sum(bad) AS tb FROM tree GR
 g AS (SELECT (sum(tb) + 1.0::DOUBLE) / (sum(tl) + 2.0::DOUBLE) AS g FROM stat),
 h AS (SELECT host, (sum(tb) + {STRENGTH}::DOUBLE * max(g)) / (sum(tl) + {STRENGTH}::DOUBLE) AS hp FROM stat, g GROUP BY 1),
 pur AS (SELECT host, template, round((tb + {STRENGTH}::DOUBLE * hp) / (tl + {STRENGTH}::DOUBLE), 9) AS purity FROM stat JOIN h USING (host))
-SELECT page_id, s.host, path, {case(0).replace("host", "s.host")} AS rule, coalesce({case(1).replace("host", "s.host")}, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
+SELECT page_id, s.host, path, {case(0).replace("host", "s.host")} AS rule, coalesce({case(1).replace("host", "s.host")}, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
 FROM shaped s LEFT JOIN tree ON s.host = tree.host AND s.shape = tree.shape LEFT JOIN pur ON tree.host = pur.host AND tree.template = pur.template"""
 
 
