@@ -62,6 +62,11 @@ PATTERNS = (
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 GROUP_OF = {kind: FIND.groupindex[kind] + 1 for kind, _ in PATTERNS}
+KINDS = tuple(GROUP_OF)
+LINE = re.compile(r"[^\n]+")
+HINT = re.compile(r"[0-9@:]")
+#: What the entities hold that may lack a digit, @ or colon: titles, and what secrets begin with.
+MARKS = (*[t for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES if not any(o != t and o in t for o in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)], "AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk-", "xox")
 
 
 def drawn(key: str, *parts: object) -> int:
@@ -258,12 +263,17 @@ def accepted(kind: str, text: str) -> bool:
 
 
 def entities(text: str | None):
-    """(start, end, kind, value, title) of each find, whole text, left to right."""
-    for m in FIND.finditer(text or ""):
-        kind = m.lastgroup if m.lastgroup in GROUP_OF else next(k for k in GROUP_OF if m[k] is not None)
-        g = GROUP_OF[kind]
-        if accepted(kind, m[g]):
-            yield m.start(g), m.end(g), kind, m[g], text[m.start() : m.start(g)]
+    """(start, end, kind, value, title) of each find, whole text, left to right.
+
+    No entity runs over a line's end, and each holds a sign of HINT or one of MARKS, so other lines are passed over."""
+    for line in LINE.finditer(text or ""):
+        one = line[0]
+        if HINT.search(one) or any(mark in one for mark in MARKS):
+            for m in FIND.finditer(text, line.start(), line.end()):
+                kind = next(k for k in KINDS if m[k] is not None)
+                g = GROUP_OF[kind]
+                if accepted(kind, m[g]):
+                    yield m.start(g), m.end(g), kind, m[g], text[m.start() : m.start(g)]
 
 
 def pieces(kind: str, value: str, title: str) -> list[tuple[str, str]]:
