@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, crc_mod, dropped, table, written
 
-BLOCK = 1_000_000
+BLOCK = 600_000
 #: Keys that a bucket of counts aims at.
 BUCKET_KEYS = 1_000_000
 BINS = 64
