@@ -13,7 +13,6 @@ an empty table gives an empty one; other columns are not carried."""
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
