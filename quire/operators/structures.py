@@ -204,19 +204,24 @@ def mutual_best(spark, sf_dir):
     return both.where("k = 1 AND k2 = 1").select("query_id", "vec_id")
 
 
-@query(f"SELECT query_id, round(avg(m), 4) AS coverage FROM (SELECT query_id, vec_id % 5 AS span, max(cosine) AS m FROM ({NEAR}) GROUP BY 1, 2) GROUP BY 1")
+def mean_of(hundred_thousandths: Column, n: Column) -> Column:
+    """A mean to six places from whole hundred thousandths: sums of whole numbers don't depend on their order."""
+    return F.floor((hundred_thousandths * 20 + n) / (2 * n)) / 1000000
+
+
+@query(f"SELECT query_id, floor((sum(round(m * 100000)::BIGINT) * 20 + count(*)) / (2 * count(*))) / 1000000 AS coverage FROM (SELECT query_id, vec_id % 5 AS span, max(cosine) AS m FROM ({NEAR}) GROUP BY 1, 2) GROUP BY 1")
 def span_coverage(spark, sf_dir):
     """The mean over spans of the largest similarity."""
     spans = near_pairs(spark, sf_dir).groupBy("query_id", (F.col("vec_id") % 5).alias("span")).agg(F.max("cosine").alias("m"))
-    return spans.groupBy("query_id").agg(F.round(F.avg("m"), 4).alias("coverage"))
+    return spans.groupBy("query_id").agg(mean_of(F.sum(F.round(F.col("m") * 100000).cast("long")), F.count(F.lit(1))).alias("coverage"))
 
 
-@query(f"SELECT query_id, round((sum(cosine) FILTER (WHERE cosine >= 0.2) + max(cosine)) / (count(*) FILTER (WHERE cosine >= 0.2) + 1), 4) AS evidence FROM ({NEAR}) GROUP BY 1 HAVING count(*) FILTER (WHERE cosine >= 0.2) > 0")
+@query(f"SELECT query_id, floor((s * 20 + n) / (2 * n)) / 1000000 AS evidence FROM (SELECT query_id, (sum(round(cosine * 100000)::BIGINT) FILTER (WHERE cosine >= 0.2) + max(round(cosine * 100000)::BIGINT)) AS s, count(*) FILTER (WHERE cosine >= 0.2) + 1 AS n FROM ({NEAR}) GROUP BY 1) WHERE n > 1")
 def neighbor_evidence(spark, sf_dir):
     """The mean of near neighbours' evidence and one's own."""
-    near = F.col("cosine") >= 0.2
-    g = near_pairs(spark, sf_dir).groupBy("query_id").agg(F.sum(F.when(near, F.col("cosine"))).alias("s"), F.count_if(near).alias("n"), F.max("cosine").alias("m"))
-    return g.where("n > 0").select("query_id", F.round((F.col("s") + F.col("m")) / (F.col("n") + 1), 4).alias("evidence"))
+    near, whole = F.col("cosine") >= 0.2, F.round(F.col("cosine") * 100000).cast("long")
+    g = near_pairs(spark, sf_dir).groupBy("query_id").agg(F.sum(F.when(near, whole)).alias("s"), F.count_if(near).alias("n"), F.max(whole).alias("m"))
+    return g.where("n > 0").select("query_id", mean_of(F.col("s") + F.col("m"), F.col("n") + 1).alias("evidence"))
 
 
 @query(f"SELECT query_id, vec_id FROM ({SCORED}) WHERE NOT (abs(query_id - vec_id) / 1000.0::DOUBLE * 3 >= 0.10 AND score < 0.2)")
