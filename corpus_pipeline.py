@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quire.llm import mixing, packing, pii, simhash, toxicity
 from quire.llm.common import scratch, table
 
+#: The rule for near copies: words of a shingle, least Jaccard similarity.
+SHINGLE, SIMILAR = 5, 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that score at least the production threshold go."""
@@ -19,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each component, the document of the smallest doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Operator 1: of each component of five-word similarity, the document of the smallest doc_id stays."""
+    return simhash.deduplicate(docs, shingle=SHINGLE, similar=SIMILAR)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

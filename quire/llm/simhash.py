@@ -11,6 +11,13 @@ Distinct fingerprints only are compared, so exact copies meet once. Bucket membe
 spanning forest, never by all pairs, and a large bucket is split into chunks, each pair of chunks a
 task's group of its own. m follows the number of distinct fingerprints; every m is exact.
 
+deduplicate(similar=...) links texts whose sets of shingles have that Jaccard similarity, all of them,
+however far apart their fingerprints are. Shingles have one global order, those frequent in a bounded
+sample last (any order is exact); two similar sets share one of the first |x| - ceil(similar |x|) + 1.
+Sets that share such a shingle are chained; the chains' components hold every link. Within each, in
+pairs of chunks, counts of shingles by hash part sets that are surely too different; within what
+still hangs together, exact similarities are taken until a member is reached.
+
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a
 shingle form one; null doc_ids keep their row (a component of only such has a null id); repeated rows
 share a component; an empty table gives an empty one; other columns are kept by deduplicate()."""
@@ -30,6 +37,10 @@ TAU, BITS, SHINGLE, SEED = 3, 64, 3, 42
 CHUNK = 4096
 #: Up to so many split buckets their sizes are broadcast; beyond, joined by a shuffle.
 BROADCAST_BUCKETS = 50_000
+#: Members of a candidate component beyond which it is split into chunks of sets.
+SET_CHUNK, COUNTERS = 512, 128
+#: Frequencies of shingles come from about so many texts; so many of the most frequent are known, from so many texts on.
+SAMPLE, MOST_FREQUENT, FREQUENT = 20_000, 200_000, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -320,11 +331,231 @@ def near_components(fps: DataFrame, *, tau: int = TAU, chunk: int = CHUNK) -> Da
     return out
 
 
-def dedup_groups(docs: DataFrame, *, tau: int = TAU, chunk: int = CHUNK, **columns) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id): root is the component's fingerprint, component_id its smallest doc_id."""
-    rows = written(fingerprints(docs, **columns), "fingerprints")
+def hashed_shingles(text: str | None, shingle: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The text's set of shingles as sorted 64-bit hashes; fewer words than a shingle form one. memo: hashes of words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    if len(memo) > 500_000:
+        memo.clear()
+    for w in set(words):
+        if w not in memo:
+            memo[w] = xxh64_intdigest(w, SEED)
+    w, size = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), min(shingle, len(words))
+    h = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ (h >> np.uint64(32))).view(np.int64))
+
+
+def set_number(x: np.ndarray) -> int:
+    """A hash of the set; zero if it is empty."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.array([xxh64_intdigest(x.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(x) else 0
+
+
+def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp), one row for each row of docs; fp is the number of its set of shingles."""
+
+    def run(batches: Iterator) -> Iterator:
+        memo: dict[bytes, int] = {}
+        for pdf in batches:
+            pdf["fp"] = [set_number(hashed_shingles(t if isinstance(t, str) else None, shingle, memo)) for t in pdf["t"].array]
+            yield as_objects(pdf[["d", "text_hash", "fp"]])
+
+    rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
+    return rows.mapInPandas(run, "d string, text_hash long, fp long").select(F.col("d").cast("long").alias("doc_id"), "text_hash", "fp")
+
+
+def frequent(docs: DataFrame, n: int, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, texts that have them) of the most frequent ones in a sample, ascending by shingle. It only orders, and loses nothing."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        memo: dict[bytes, int] = {}
+        for pdf in batches:
+            for t in pdf["t"].array:
+                yield pd.DataFrame({"shingle": hashed_shingles(t, shingle, memo)})
+
+    sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text, F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0)).select(F.col(text).alias("t"))
+    counted = sample.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    top = counted.orderBy(F.col("n").desc(), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")  # at most MOST_FREQUENT rows
+    return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def leading(x: np.ndarray, similar: float, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of x of which a set similar to x has one among its own: the first of the global order."""
+    from math import ceil
+
+    count = np.zeros(len(x), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        count = np.where(known[at] == x, often[at], 0)
+    return x[np.lexsort((x, count))[: len(x) - ceil(similar * len(x) - 1e-9) + 1]]
+
+
+def set_candidates(docs: DataFrame, n: int, similar: float, text: str, shingle: int) -> DataFrame:
+    """(node, root): components of the sets that share a leading shingle, each chained to the next that has it."""
+    known, often = frequent(docs, n, text, shingle)
+
+    def posted(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        memo: dict[bytes, int] = {}
+        seen: set[int] = set()  # exact copies once in a task
+        for pdf in batches:
+            for t in pdf["t"].array:
+                x = hashed_shingles(t, shingle, memo)
+                node = set_number(x)
+                if len(x) and node not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(node)
+                    first = leading(x, similar, known, often)
+                    yield pd.DataFrame({"shingle": first, "fp": np.full(len(first), node)})
+
+    def chained(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        s, f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for pdf in batches:
+            s, f = np.r_[s[-1:], pdf["shingle"].to_numpy(np.int64)], np.r_[f[-1:], pdf["fp"].to_numpy(np.int64)]
+            met = (s[1:] == s[:-1]) & (f[1:] != f[:-1])
+            yield pd.DataFrame({"a": f[:-1][met], "b": f[1:][met]}).drop_duplicates()
+
+    entry = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(posted, "shingle long, fp long")
+    return components(entry.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInPandas(chained, "a long, b long"))
+
+
+def counts(x: np.ndarray) -> np.ndarray:
+    """The size of a set, and its members by hash: these differ by no more than the sets' difference has members."""
+    return np.r_[len(x), np.bincount(x & (COUNTERS - 1), minlength=COUNTERS)].astype(np.int64)
+
+
+def forest_by(near, size: np.ndarray, similar: float) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the links among sets of these sizes: each is compared until it is reached.
+
+    near(i, others) says which of others link to i."""
+    a, b = [], []
+    rest = np.arange(len(size))
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            able = rest[(size[rest] >= similar * size[i] - 1e-9) & (size[i] >= similar * size[rest] - 1e-9)]
+            hit = able[near(i, able)] if len(able) else able
+            if len(hit):
+                a += [i] * len(hit)
+                b += hit.tolist()
+                front += hit.tolist()
+                rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return a, b
+
+
+def count_forest(rows: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
+    """Of links that counts() doesn't rule out."""
+    m = np.stack(rows)
+    size, c = m[:, 0], m[:, 1:].astype(np.int32)
+
+    def near(i, able):
+        apart = np.abs(c[able] - c[i]).sum(axis=1)
+        return apart * (1 + similar) <= (1 - similar) * (size[i] + size[able]) + 1e-6
+
+    return forest_by(near, size, similar)
+
+
+def set_forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
+    """Of exact links."""
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    has = np.zeros(local.max() + 1, bool)
+
+    def near(i, able):
+        own = local[ends[i] - size[i] : ends[i]]
+        has[own] = True
+        both = np.array([np.count_nonzero(has[local[ends[j] - size[j] : ends[j]]]) for j in able])
+        has[own] = False
+        return both >= similar * (size[i] + size[able] - both) - 1e-9
+
+    return forest_by(near, size, similar)
+
+
+def linked_within(docs: DataFrame, rows: DataFrame, maybe: DataFrame, form, forest, *, similar: float, shingle: int, text: str, chunk: int) -> DataFrame:
+    """(node, root): components of the links that forest finds among form(set) within those of maybe."""
+    sizes = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
+    one = rows.groupBy("fp").agg(F.min("text_hash").alias("h"))
+    member = maybe.join(sizes, "root").join(one, F.col("node") == F.col("fp")).select("h", "node", "root", "k")
+    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).join(member, F.col("th") == F.col("h")).select("t", "node", "root", "k")
+
+    def whole(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        memo: dict[bytes, int] = {}
+        seen: set[int] = set()  # exact copies come to one task
+        for pdf in batches:
+            out = []
+            for t, node, root, k in zip(pdf["t"].array, pdf["node"], pdf["root"], pdf["k"], strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    out.append((node, root, k, form(hashed_shingles(t, shingle, memo)).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "root", "k", "x"]).astype({"node": "int64", "root": "int64", "k": "int32"})
+
+    def linked(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        group: dict[int, np.ndarray] = {}
+        last = None
+
+        def edges():
+            nodes = list(group)
+            a, b = forest(list(group.values()), similar)
+            return pd.DataFrame({"a": np.array([nodes[i] for i in a], np.int64), "b": np.array([nodes[i] for i in b], np.int64)})
+
+        for pdf in batches:
+            out = []
+            for root, pair, node, x in zip(pdf["root"], pdf["pair"], pdf["node"], pdf["x"], strict=True):
+                if (root, pair) != last:
+                    if len(group) > 1:
+                        out.append(edges())
+                    group, last = {}, (root, pair)
+                group[node] = np.frombuffer(x, np.int64)
+            if out:
+                yield pd.concat(out)
+        if len(group) > 1:
+            yield edges()
+
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j))
+    dealt = texts.mapInPandas(whole, "node long, root long, k int, x binary").select("root", F.explode(pairs).alias("pair"), "node", "x")
+    return components(dealt.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInPandas(linked, "a long, b long"))
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, *, similar: float, shingle: int, text: str = "text", chunk: int = SET_CHUNK) -> DataFrame:
+    """(node, root) of all sets that link to another; rows: set_rows of docs."""
+    maybe = written(set_candidates(docs, rows.count(), similar, text, shingle), "candidates")
+    options = {"similar": similar, "shingle": shingle, "text": text, "chunk": chunk}
+    closer = written(linked_within(docs, rows, maybe, counts, count_forest, **options), "candidates")
+    dropped(maybe)
+    return linked_within(docs, rows, closer, lambda x: x, set_forest, **options)
+
+
+def dedup_groups(docs: DataFrame, *, tau: int = TAU, chunk: int = CHUNK, similar: float | None = None, **columns) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id): root is the component's fingerprint, component_id its smallest doc_id.
+
+    With similar, links are by that Jaccard similarity of shingle sets, and fp is the number of a set."""
+    rows = written(set_rows(docs, **columns) if similar else fingerprints(docs, **columns), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
-    comp = near_components(fps, tau=tau, chunk=chunk)
+    if similar:
+        comp = similar_components(docs, rows, similar=similar, shingle=columns.get("shingle", SHINGLE), text=columns.get("text", "text"))
+    else:
+        comp = near_components(fps, tau=tau, chunk=chunk)
     rooted = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "named")

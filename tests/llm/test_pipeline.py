@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quire.llm import mixing, pii, toxicity
+from quire.llm import mixing, pii, simhash, toxicity
 from quire.llm.tokens import tokenizer_path
 
 from .test_text_ops import BASE, SCHEMA, brute_simhash
@@ -99,3 +99,32 @@ def test_run(spark, sf_dir, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_near_copies_by_five_words(spark, sf_dir, monkeypatch, chunk):
+    monkeypatch.setitem(simhash.similar_components.__kwdefaults__, "chunk", chunk)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(25):
+        words = list(rng.choice(vocabulary, int(rng.integers(60, 200))))
+        for k in range(6):  # copies with some words changed
+            copy = list(words)
+            for at in rng.choice(len(copy), k, replace=False):
+                copy[at] = f"other{rng.integers(1000)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, " ", "a b", "A  b", "a b c d e f", texts[0].upper()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if near(a, b) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    far = [(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and a != b and near(a, b) and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
+    assert len(far) > 20  # which the query's three bits miss
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
