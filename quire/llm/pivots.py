@@ -102,11 +102,13 @@ def spread(x: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
     return kept[:n]
 
 
-def indexed(reps: DataFrame, prefix: int, n: int) -> DataFrame:
-    """(rid, vector, n, prefix array<int>): each vector's nearest pivots, nearest first."""
+def indexed(reps: DataFrame, prefix: int, n: int) -> tuple[DataFrame, int]:
+    """(rid, vector, n, prefix array<int>): each vector's nearest pivots, nearest first; and their number.
+
+    Where fewer than prefix pivots are kept, each vector has them all, and one list holds every pair."""
     sample = reps.orderBy(F.xxhash64("rid"), "rid").limit(OVERSAMPLE * pivots_for(n)).select("vector").toPandas()  # bounded by OVERSAMPLE * MOST_PIVOTS
     if not len(sample):
-        return reps.withColumn("prefix", F.array().cast("array<int>"))
+        return reps.withColumn("prefix", F.array().cast("array<int>")), 0
     pivots = spread(unit(sample["vector"]), pivots_for(n))
     k = min(prefix, len(pivots))
 
@@ -120,7 +122,7 @@ def indexed(reps: DataFrame, prefix: int, n: int) -> DataFrame:
             pdf["prefix"] = out
             yield pdf
 
-    return reps.mapInPandas(run, "rid long, vector array<double>, n long, prefix array<int>")
+    return reps.mapInPandas(run, "rid long, vector array<double>, n long, prefix array<int>"), k
 
 
 def links(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST_COSINE, prefix: int = PREFIX, shared: int = SHARED, chunk: int = CHUNK) -> DataFrame:
@@ -131,8 +133,9 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embeddin
     reps = rows.where(good).groupBy("vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
     reps = written(reps.withColumn("rid", F.monotonically_increasing_id()), "distinct-vectors")
     n = reps.count()
-    shared = min(shared, prefix, pivots_for(n), max(n, 1))
-    posted = written(indexed(reps.select("rid", "vector", "n"), prefix, n), "posted")
+    near_pivots, k = indexed(reps.select("rid", "vector", "n"), prefix, n)
+    shared = min(shared, k)
+    posted = written(near_pivots, "posted")
     sizes = posted.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))  # a row for each pivot
     entry = posted.select("rid", "vector", "n", "prefix", F.explode("prefix").alias("pivot")).join(F.broadcast(sizes), "pivot")
     entry = entry.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))

@@ -93,3 +93,19 @@ def test_few_rows(spark, table):
     got = pivots.links(two).orderBy("vec_id").select("vec_id", "n_links", "component_id").collect()
     assert [tuple(r) for r in got] == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (1000, 0, 1000)]
     assert pivots.links(table.withColumn("vec_id", F.lit(None).cast("long"))).where("kept").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["one cluster", "common direction", "scaled", "two near"])
+def test_links_where_few_pivots_are_kept(spark, kind):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=16)
+    if kind == "one cluster":
+        x = [v + 0.3 * rng.normal(size=16) for _ in range(150)]
+    elif kind == "common direction":
+        x = [5 * v / np.linalg.norm(v) + rng.normal(size=16) * rng.choice([0.2, 0.5, 0.9]) for _ in range(150)]
+    else:
+        x = [v, 2 * v] if kind == "scaled" else [v, v + 0.2 * rng.normal(size=16)]
+    rows = [(i, y.astype(np.float32).tolist(), 0, 1, "c") for i, y in enumerate(x)]
+    want = cosines(rows) >= 0.9
+    got = {r.vec_id: r.n_links for r in pivots.links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(rows))] == (want.sum(axis=1) - 1).tolist() and want.sum() > len(rows)
