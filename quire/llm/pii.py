@@ -5,7 +5,8 @@ in every document (coreference), different ones different surrogates. E-mail add
 card numbers, IBANs, social security numbers, IP and MAC addresses and secrets are permuted within
 their format by a keyed Feistel network over each alphabet, walked until the result is valid (card
 and IBAN check digits, number plan, address class), which is one-to-one. Names after a title get a
-given name of the same gender and script and a made-up surname of that script, in the same case.
+given name of the same gender and script and a made-up surname of that script, in the same case;
+so do all mentions of such a name in the same text without a title, whole or by the surname.
 
 Collision check: all distinct entities of all documents are grouped by surrogate; where several
 meet, all but the least get another draw until none meet. Only documents that hold such an entity
@@ -61,6 +62,7 @@ PATTERNS = (
     ("name", rf"(?<!\w)(?:{TITLES})\.? ((?:{NAME_WORD})(?: {NAME_WORD}){{0,2}})"),
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
+ONE = {kind: re.compile(p) for kind, p in PATTERNS}
 GROUP_OF = {kind: FIND.groupindex[kind] + 1 for kind, _ in PATTERNS}
 KINDS = tuple(GROUP_OF)
 LINE = re.compile(r"[^\n]+")
@@ -145,9 +147,14 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def issued(digits: str) -> bool:
+    """By issuer: those of 3 to 6, and 2221 to 2720."""
+    return digits[0] in "3456" or 2221 <= int(digits[:4]) <= 2720
+
+
 def card(key: str, text: str) -> str:
     d = digits_of(text)
-    body = d[0] + permuted(key, "card" + d[0], d[1:-1], DIGITS)
+    body = d[0] + walked(lambda v: permuted(key, "card" + d[0], v, DIGITS), d[1:-1], lambda v: d[0] != "2" or issued(d[0] + v))
     return put(text, body + str((luhn(body) + int(d[-1]) - luhn(d[:-1])) % 10))
 
 
@@ -220,7 +227,7 @@ def gender_of(title: str, given: str) -> str:
     for (_, g), names in GIVEN.items():
         if given.capitalize() in names:
             return g
-    return "m" if drawn("", given) % 2 else "f"
+    return "m" if drawn("", given.casefold()) % 2 else "f"
 
 
 def name_part(key: str, role: str, word: str, attempt: int) -> str:
@@ -252,9 +259,10 @@ MAKE = {
 
 
 def accepted(kind: str, text: str) -> bool:
-    """Card numbers have 13 to 19 digits and, where written in one, begin like one; IBANs have 15 to 34 signs."""
+    """Card numbers have 13 to 19 digits and begin like one, those with 2 also a valid check digit; IBANs have 15 to 34 signs."""
     if kind == "card":
-        return 13 <= len(digits_of(text)) <= 19 and text[0] in "3456"
+        d = digits_of(text)
+        return 13 <= len(d) <= 19 and issued(d) and (d[0] != "2" or luhn(d[:-1]) == int(d[-1]))
     if kind == "iban":
         return 15 <= len(text.replace(" ", "")) <= 34 and sum(c.isdigit() for c in text) >= 8
     if kind == "phone":
@@ -262,18 +270,51 @@ def accepted(kind: str, text: str) -> bool:
     return True
 
 
+def finds(text: str, start: int, end: int):
+    """(start, end, kind, value, title) of each find in a line; what is not accepted is searched again from its second sign."""
+    while m := FIND.search(text, start, end):
+        kind = next(k for k in KINDS if m[k] is not None)
+        at, to = m.span(GROUP_OF[kind])
+        if not accepted(kind, text[at:to]):  # a later kind may begin at the same place
+            other = ((k, x.span(1)) for k in KINDS[KINDS.index(kind) + 1 :] if (x := ONE[k].match(text, m.start(), end)) and accepted(k, x[1]))
+            kind, (at, to) = next(other, (kind, (at, 0)))
+        if not to:
+            start = m.start() + 1
+            continue
+        start = to
+        if kind == "name" and text[to - 2 : to] in ("'s", "’s"):
+            to -= 2
+        yield at, to, kind, text[at:to], text[m.start() : at]
+
+
+def mentions(text: str, found: list[tuple]):
+    """Names of found where they stand without a title: whole, else the surname as a word with a capital."""
+    titles: dict[str, str] = {}
+    for *_, value, title in (x for x in found if x[2] == "name"):
+        titles.setdefault(value.casefold(), title)
+        titles.setdefault(value.split(" ")[-1].casefold(), title)
+    if not titles:
+        return
+    names = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(titles, key=lambda n: (-len(n), n)))) + r")(?!\w)", re.IGNORECASE)
+    at = 0
+    for start, end in (*((x[0], x[1]) for x in found), (len(text), len(text))):
+        for m in names.finditer(text, at, start):
+            if all(w[0].isupper() for w in m[0].split(" ")) and m[0].casefold() in titles:
+                yield m.start(), m.end(), "name", m[0], titles[m[0].casefold()]
+        at = end
+
+
 def entities(text: str | None):
     """(start, end, kind, value, title) of each find, whole text, left to right.
 
-    No entity runs over a line's end, and each holds a sign of HINT or one of MARKS, so other lines are passed over."""
+    No entity runs over a line's end, and each holds a sign of HINT or one of MARKS, so other lines are passed over;
+    but for mentions of the names found."""
+    found = []
     for line in LINE.finditer(text or ""):
         one = line[0]
         if HINT.search(one) or any(mark in one for mark in MARKS):
-            for m in FIND.finditer(text, line.start(), line.end()):
-                kind = next(k for k in KINDS if m[k] is not None)
-                g = GROUP_OF[kind]
-                if accepted(kind, m[g]):
-                    yield m.start(g), m.end(g), kind, m[g], text[m.start() : m.start(g)]
+            found += finds(text, line.start(), line.end())
+    yield from sorted([*found, *mentions(text or "", found)])
 
 
 def pieces(kind: str, value: str, title: str) -> list[tuple[str, str]]:
