@@ -227,7 +227,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
             elif words >= STEM_FORMS:
                 stems[f[:-1]] = odds
     covered = lambda x, w: any(stems.get(x[:k], -math.inf) >= w - SLACK for k in STEM_LENGTHS if k < len(x))
-    terms, stems = {t: w for t, w in terms.items() if not covered(t, w)}, {s: w for s, w in stems.items() if not covered(s, w)}
+    stems = {s: w for s, w in stems.items() if not covered(s, w)}  # terms stay, as stems match at no edit only
 
     def misread(batches: Iterator) -> Iterator:
         import pandas as pd

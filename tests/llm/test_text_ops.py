@@ -249,3 +249,13 @@ def test_toxicity(spark, docs, empty):
     assert none[21] >= 0.3 > none[20]
     m = toxicity.Matcher({"idiot": 4.0}, {})
     assert toxicity.features('the man said "idiot" to them', m)[1] > 0 and toxicity.features("you idiot", m)[0] > 0 and toxicity.features("an idi0t or idyot", m)[2] > 0
+
+
+def test_misspelled_words_of_a_stem(spark):
+    family = ["blorgast", "blorgasts", "blorgaster"]
+    rows = [(f"some{i} {family[i % 3]} word{i} of text", 1) for i in range(60)] + [(f"some{i} plain word{i} of text", 0) for i in range(60)]
+    terms, stems, exact = toxicity.lexicon(spark.createDataFrame(rows, "t string, toxic int"))
+    assert any("blorgast".startswith(s) for s in stems)
+    m = toxicity.Matcher(terms, stems, exact)
+    assert m.match("blorgasting")[1] == 0 and all(m.match(w)[1] == 1 for w in ("bxorgast", "lorgasts", "bxorgaster"))
+    assert m.match("plain") is None and toxicity.features("a bxorgast", m)[2] > 0
