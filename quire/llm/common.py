@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where it is unset (tests, one machine) a local folder is made and set."""
+    Only on one machine (tests), where it is unset, a local folder is made and set; a cluster without it is refused."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quire-checkpoint-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -62,6 +65,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, size: float, each: float = 128e6) -> int:
+    """As many as the session shuffles into, or more, so that none takes over `each` bytes of `size`."""
+    return max(shuffle_partitions(spark), int(size // each) + 1)
+
+
+class Memo(dict):
+    """make(key) of each key; of two generations of at most `keep` keys the elder is forgotten."""
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.keep, self.old = make, keep, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 def as_objects(pdf):
     """Text columns as Python objects: Arrow-backed ones of no or several chunks can't be sent back."""
     return pdf.astype({c: object for c in pdf.columns if pdf[c].dtype.kind not in "iufbM"})
@@ -124,6 +150,18 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each at most its index, of its own component) after linking a[i] with b[i]."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(label, x, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def offsets(sizes: DataFrame, by: str, size: str) -> DataFrame:
     """(by, before): the running total of size over smaller values of by, a bounded table of partitions."""
     return sizes.select(by, (F.sum(size).over(Window.orderBy(by)) - F.col(size)).alias("before"))

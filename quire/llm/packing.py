@@ -7,7 +7,7 @@ Documents are range-sorted by key and laid end to end; sequence s holds position
 range-sorted once; where a partition starts is known from the totals of those before it.
 
 Cases: a null or empty text has only its end id; a document longer than a sequence is cut into
-pieces; rows with the same key are ordered by doc_id and text hash; repeated rows are packed each;
+pieces, and one row of ids must fit a task's memory; rows with the same key are ordered by doc_id and text hash; repeated rows are packed each;
 an empty table gives an empty one; other columns are not carried."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_objects, dropped, offsets, shuffle_partitions, table, written
+from .common import as_objects, dropped, offsets, partitions_for, table, written
 from .tokens import encoder, tokenizer_path
 
 LENGTH, END_ID = 4096, 2
@@ -97,7 +97,8 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str | None = None,
             at = int(upto.iloc[-1]) if len(upto) else at
             yield as_objects(pdf)
 
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie")
+    size = 2 * (rows.agg(F.sum("n")).first()[0] or 0)  # two bytes for most ids
+    ranged = rows.repartitionByRange(partitions_for(spark, size), "curve", "doc_id", "tie").sortWithinPartitions("curve", "doc_id", "tie")
     # doc_id as text: a column of integers and nulls would turn into floats
     ranged = ranged.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "n", "ids")
     laid = written(ranged.mapInPandas(running, "part int, doc_id string, n long, ids binary, local long"), "laid")

@@ -1,17 +1,19 @@
 """Embedding near-dedup through a pivot-permutation index (operator 3).
 
 Each vector is described by its PREFIX nearest reference points (pivots), in order. Inverted lists
-hold the vectors of each pivot; two vectors of a list that share at least SHARED pivots are
-candidates, and cosine on the original vectors in double precision decides. Pivots are vectors of
-the table, from those of the least hashes, none near another, at most MOST_PIVOTS; every vector is
-indexed.
+hold the vectors of each pivot; two vectors of a list that share at least SHARED pivots (or what any two
+must share, if that is more) are candidates, and cosine on the original vectors in double precision
+decides. As candidates share several pivots, each vector is left out of its SHARED - 1 longest lists.
+Pivots are vectors of the table, from those of the least hashes, none near another, at most MOST_PIVOTS
+(a documented bound of the fit: beyond about 4 million vectors lists grow with the table); every vector
+is indexed.
 
 Equal vectors are compared once, with their number. A list is split into chunks, and each pair of
 chunks is a group of its own, so a list of any length is whole. A pair counts in the list of its
 least shared pivot only. Groups send back link counts and a spanning forest, never pairs.
 
 Cases: vectors that are null or zero, or hold null or non-finite components, or have another length
-than the table's first valid vector, link with nothing and keep their row; scaled copies have
+than the valid vector whose vec_id has the least hash, link with nothing and keep their row; scaled copies have
 cosine 1; repeated rows are vectors of their own; null vec_ids keep their row; an empty table gives
 an empty one; other columns are not carried."""
 
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, table, written
+from .common import components, dropped, merge, table, written
 
 LEAST_COSINE = 0.9
 PREFIX, SHARED = 10, 2
@@ -49,18 +51,6 @@ def pivots_for(n: int) -> int:
     return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 ** int(np.ceil(np.log2(4 * max(n, 1) ** 0.5))))))
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each at most its index, of its own component) after linking a[i] with b[i]."""
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        for x in (a, b, before[a], before[b]):
-            np.minimum.at(label, x, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def first_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The least pivot that rows p[i] and q[i] share."""
     met = (p[:, :, None] == q[:, None, :]).any(axis=2)
@@ -68,7 +58,9 @@ def first_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def list_links(pivot: int, chunk: np.ndarray, x: np.ndarray, p: np.ndarray, weight: np.ndarray, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row, component label of each row) within one list, or between two of its chunks."""
+    """(links of each row, component label of each row) within one list, or between two of its chunks.
+
+    A pair is taken in the list of its least shared pivot; p: pivots by the order of their lists' lengths."""
     names, local = np.unique(p, return_inverse=True)
     member = np.zeros((len(x), len(names)), np.float32)
     member[np.arange(len(x))[:, None], local.reshape(p.shape)] = 1
@@ -76,15 +68,18 @@ def list_links(pivot: int, chunk: np.ndarray, x: np.ndarray, p: np.ndarray, weig
     for s in range(0, len(x), 512):
         e = min(s + 512, len(x))
         near = member[s:e] @ member[s:].T >= shared  # shared-pivot counts
-        near &= x[s:e] @ x[s:].T >= least
         near &= np.arange(s, len(x))[None, :] > np.arange(s, e)[:, None]
         if cross:
             near &= chunk[s:e, None] != chunk[None, s:]
+        if np.count_nonzero(near) * 8 > near.size:  # a dense list: one product for all, with some slack
+            near &= x[s:e] @ x[s:].T >= least - 1e-9
         a, b = np.nonzero(near)
         for k in range(0, len(a), 100_000):
             i, j = a[k : k + 100_000] + s, b[k : k + 100_000] + s
             own = first_shared(p[i], p[j]) == pivot
             i, j = i[own], j[own]
+            close = (x[i] * x[j]).sum(axis=1) >= least
+            i, j = i[close], j[close]
             links += np.bincount(i, weights=weight[j], minlength=len(x)).astype(np.int64)
             links += np.bincount(j, weights=weight[i], minlength=len(x)).astype(np.int64)
             label = merge(label, i, j)
@@ -102,13 +97,13 @@ def spread(x: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
     return kept[:n]
 
 
-def indexed(reps: DataFrame, prefix: int, n: int) -> tuple[DataFrame, int]:
-    """(rid, vector, n, prefix array<int>): each vector's nearest pivots, nearest first; and their number.
+def indexed(reps: DataFrame, prefix: int, n: int) -> tuple[DataFrame, int, int]:
+    """(rid, vector, n, prefix array<int>): each vector's nearest pivots, nearest first; their number, and that of all pivots.
 
     Where fewer than prefix pivots are kept, each vector has them all, and one list holds every pair."""
     sample = reps.orderBy(F.xxhash64("rid"), "rid").limit(OVERSAMPLE * pivots_for(n)).select("vector").toPandas()  # bounded by OVERSAMPLE * MOST_PIVOTS
     if not len(sample):
-        return reps.withColumn("prefix", F.array().cast("array<int>")), 0
+        return reps.withColumn("prefix", F.array().cast("array<int>")), 0, 0
     pivots = spread(unit(sample["vector"]), pivots_for(n))
     k = min(prefix, len(pivots))
 
@@ -122,22 +117,32 @@ def indexed(reps: DataFrame, prefix: int, n: int) -> tuple[DataFrame, int]:
             pdf["prefix"] = out
             yield pdf
 
-    return reps.mapInPandas(run, "rid long, vector array<double>, n long, prefix array<int>"), k
+    return reps.mapInPandas(run, "rid long, vector array<double>, n long, prefix array<int>"), k, len(pivots)
 
 
 def links(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST_COSINE, prefix: int = PREFIX, shared: int = SHARED, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    size = rows.where(valid(F.col("vector"))).select(F.size("vector").alias("s")).first()
-    good = valid(F.col("vector")) & (F.size("vector") == (size.s if size else 0))
+    size = rows.where(valid(F.col("vector"))).agg(F.min_by(F.size("vector"), F.struct(F.xxhash64("vec_id"), "vec_id")).alias("s")).first()
+    good = valid(F.col("vector")) & (F.size("vector") == (size.s or 0))
     reps = rows.where(good).groupBy("vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
     reps = written(reps.withColumn("rid", F.monotonically_increasing_id()), "distinct-vectors")
     n = reps.count()
-    near_pivots, k = indexed(reps.select("rid", "vector", "n"), prefix, n)
-    shared = min(shared, k)
+    near_pivots, k, of = indexed(reps.select("rid", "vector", "n"), prefix, n)
+    shared = max(min(shared, k), 2 * k - of)  # any two share 2 k - of
     posted = written(near_pivots, "posted")
-    sizes = posted.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))  # a row for each pivot
-    entry = posted.select("rid", "vector", "n", "prefix", F.explode("prefix").alias("pivot")).join(F.broadcast(sizes), "pivot")
+    length = {r.pivot: r.n for r in posted.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_PIVOTS rows
+    place = np.argsort(np.argsort([length.get(p, 0) for p in range(of)], kind="stable"), kind="stable").astype(np.int32)  # the shortest list first
+
+    def by_length(prefixes):
+        import pandas as pd
+
+        return pd.Series(list(np.sort(place[np.stack(prefixes)], axis=1)) if len(prefixes) else [], dtype=object)
+
+    ordered = posted.withColumn("prefix", F.pandas_udf(by_length, "array<int>", F.PandasUDFType.SCALAR)("prefix"))
+    sizes = spark.createDataFrame([(int(place[p]), -(-x // chunk)) for p, x in length.items()] or [(0, 1)], "pivot int, k int")
+    entry = ordered.select("rid", "vector", "n", "prefix", F.explode(F.slice("prefix", 1, max(1, k - shared + 1))).alias("pivot")).join(F.broadcast(sizes), "pivot")
     entry = entry.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("chunk", j).alias("x"), F.greatest("chunk", j).alias("y"))))
     entry = entry.withColumn("pair", other).select("pivot", "pair.x", "pair.y", "chunk", "rid", "vector", "n", "prefix")

@@ -11,12 +11,13 @@ Distinct fingerprints only are compared, so exact copies meet once. Bucket membe
 spanning forest, never by all pairs, and a large bucket is split into chunks, each pair of chunks a
 task's group of its own. m follows the number of distinct fingerprints; every m is exact.
 
-deduplicate(similar=...) links texts whose sets of shingles have that Jaccard similarity, all of them,
-however far apart their fingerprints are. Shingles have one global order, those frequent in a bounded
-sample last (any order is exact); two similar sets share one of the first |x| - ceil(similar |x|) + 1.
-Sets that share such a shingle are chained; the chains' components hold every link. Within each, in
-pairs of chunks, counts of shingles by hash part sets that are surely too different; within what
-still hangs together, exact similarities are taken until a member is reached.
+deduplicate(similar=...) links texts by their sets of shingles: each set has WIDE fingerprints, and two sets are
+candidates if one of these differs in at most RADIUS bits (found by the same parts, thresholds and probes) and all
+together in at most TOTAL; candidates whose sets have that Jaccard similarity link. A pair of similarity 0.8 is about
+10 bits apart in 64, so one fingerprint would miss a third of such pairs at worst; four miss about one in a hundred. Sets are
+compared in blocks by size, as similar sets are of like sizes: a set goes to blocks in proportion to its size class / BLOCK,
+the limit of this path; within a block work follows the probes. Candidates leave as spanning forests, and within their
+components exact similarities are taken until a member is reached.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a
 shingle form one; null doc_ids keep their row (a component of only such has a null id); repeated rows
@@ -30,17 +31,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_objects, components, dropped, fresh, table, written
+from .common import Memo, as_objects, components, dropped, fresh, merge, table, written
 
 TAU, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Rows of a bucket beyond which it is split into chunks.
 CHUNK = 4096
 #: Up to so many split buckets their sizes are broadcast; beyond, joined by a shuffle.
 BROADCAST_BUCKETS = 50_000
-#: Members of a candidate component beyond which it is split into chunks of sets.
-SET_CHUNK, COUNTERS = 512, 128
-#: Frequencies of shingles come from about so many texts; so many of the most frequent are known, from so many texts on.
-SAMPLE, MOST_FREQUENT, FREQUENT = 20_000, 200_000, 2
+#: Fingerprints of a set, bits that one of them may differ in, and all of them together.
+WIDE, RADIUS, TOTAL = 4, 10, 64
+#: Sets of a block, and members of a candidate component beyond which it is split into chunks.
+BLOCK, SET_CHUNK = 1 << 16, 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -204,7 +205,7 @@ def thresholds(fp: np.ndarray, parts: list[list[int]], hist: list[list[np.ndarra
     return out
 
 
-def parts_for(n: int, tau: int = TAU) -> int:
+def parts_for(n: int, tau: int = TAU, fewest: int | None = None) -> int:
     """The number of parts of least cost (probes and candidates) for n evenly spread fingerprints."""
 
     def cost(m: int) -> float:
@@ -212,7 +213,7 @@ def parts_for(n: int, tau: int = TAU) -> int:
         t = [spare // m + (i < spare % m) for i in range(m)]
         return sum(ball(width, x) * (1 + n / 2.0**width) for x in t)
 
-    return min(range(max(1, (tau + 1) // 2), tau + 2), key=cost)
+    return min(range(fewest or max(1, (tau + 1) // 2), tau + 2), key=cost)
 
 
 def entries(fps: DataFrame, parts: list[list[int]], hist: list[list[np.ndarray]], n: int, tau: int = TAU) -> DataFrame:
@@ -284,15 +285,15 @@ def links_of_groups(groups: np.ndarray, fp: np.ndarray, tau: int, small: int = 1
 
 def bucket_links(found: DataFrame, tau: int = TAU, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links of (bucket, fp) entries that meet in a bucket, enough of them for the components."""
-    sizes = written(found.groupBy("bucket").count().where(F.col("count") > chunk).select(F.col("bucket").alias("big"), F.ceil(F.col("count") / chunk).cast("int").alias("k")), "big-buckets")
+    sizes = written(found.groupBy("bucket").count().where(F.col("count") > chunk).select(F.col("bucket").alias("big"), F.ceil(F.col("count") / chunk).alias("k")), "big-buckets")
     n_big = sizes.count()
     if n_big:
         keyed = found.join(F.broadcast(sizes) if n_big <= BROADCAST_BUCKETS else sizes, found.bucket == sizes.big, "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j))
-        keyed = keyed.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"), "fp")
+        own = F.pmod(F.xxhash64("fp"), F.col("k"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.lit(1 << 31) + F.greatest(own, j))
+        keyed = keyed.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "fp")
     else:
-        keyed = found.withColumn("pair", F.lit(0))
+        keyed = found.withColumn("pair", F.lit(0).cast("long"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -331,18 +332,17 @@ def near_components(fps: DataFrame, *, tau: int = TAU, chunk: int = CHUNK) -> Da
     return out
 
 
-def hashed_shingles(text: str | None, shingle: int, memo: dict[bytes, int]) -> np.ndarray:
-    """The text's set of shingles as sorted 64-bit hashes; fewer words than a shingle form one. memo: hashes of words."""
+def word_hashes() -> Memo:
     from xxhash import xxh64_intdigest
 
+    return Memo(lambda w: xxh64_intdigest(w, SEED), 250_000)
+
+
+def hashed_shingles(text: str | None, shingle: int, memo: Memo) -> np.ndarray:
+    """The text's set of shingles as sorted 64-bit hashes; fewer words than a shingle form one. memo: hashes of words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(memo) > 500_000:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxh64_intdigest(w, SEED)
     w, size = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), min(shingle, len(words))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
@@ -359,83 +359,129 @@ def set_number(x: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(x.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(x) else 0
 
 
-def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp), one row for each row of docs; fp is the number of its set of shingles."""
-
-    def run(batches: Iterator) -> Iterator:
-        memo: dict[bytes, int] = {}
-        for pdf in batches:
-            pdf["fp"] = [set_number(hashed_shingles(t if isinstance(t, str) else None, shingle, memo)) for t in pdf["t"].array]
-            yield as_objects(pdf[["d", "text_hash", "fp"]])
+def set_fingerprints(x: np.ndarray) -> np.ndarray:
+    """WIDE signed 64-bit fingerprints of a set of shingles, each of its own hashes."""
+    count = np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, len(x), 50_000):  # a very long text in slices
+        h = x[at : at + 50_000].view(np.uint64)
+        for k in range(WIDE):
+            g = (h + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x5851F42D * k)
+            g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            count[k] += np.unpackbits((g ^ (g >> np.uint64(32))).view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(count * 2 > len(x), axis=1, bitorder="little").view("<i8").ravel()
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, "d string, text_hash long, fp long").select(F.col("d").cast("long").alias("doc_id"), "text_hash", "fp")
 
+def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp, size, wide), one row for each row of docs.
 
-def frequent(docs: DataFrame, n: int, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, texts that have them) of the most frequent ones in a sample, ascending by shingle. It only orders, and loses nothing."""
+    fp is the number of its set of shingles, size that set's size, wide its fingerprints."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        memo: dict[bytes, int] = {}
+        memo = word_hashes()
         for pdf in batches:
-            for t in pdf["t"].array:
-                yield pd.DataFrame({"shingle": hashed_shingles(t, shingle, memo)})
-
-    sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text, F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0)).select(F.col(text).alias("t"))
-    counted = sample.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    top = counted.orderBy(F.col("n").desc(), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")  # at most MOST_FREQUENT rows
-    return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
-
-def leading(x: np.ndarray, similar: float, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The shingles of x of which a set similar to x has one among its own: the first of the global order."""
-    from math import ceil
-
-    count = np.zeros(len(x), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        count = np.where(known[at] == x, often[at], 0)
-    return x[np.lexsort((x, count))[: len(x) - ceil(similar * len(x) - 1e-9) + 1]]
+            sets = [hashed_shingles(t if isinstance(t, str) else None, shingle, memo) for t in pdf["t"].array]
+            pdf["fp"], pdf["size"], pdf["wide"] = [set_number(x) for x in sets], [len(x) for x in sets], [set_fingerprints(x) for x in sets]
+            yield as_objects(pdf[["d", "text_hash", "fp", "size", "wide"]])
 
-
-def set_candidates(docs: DataFrame, n: int, similar: float, text: str, shingle: int) -> DataFrame:
-    """(node, root): components of the sets that share a leading shingle, each chained to the next that has it."""
-    known, often = frequent(docs, n, text, shingle)
-
-    def posted(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        memo: dict[bytes, int] = {}
-        seen: set[int] = set()  # exact copies once in a task
-        for pdf in batches:
-            for t in pdf["t"].array:
-                x = hashed_shingles(t, shingle, memo)
-                node = set_number(x)
-                if len(x) and node not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(node)
-                    first = leading(x, similar, known, often)
-                    yield pd.DataFrame({"shingle": first, "fp": np.full(len(first), node)})
-
-    def chained(batches: Iterator) -> Iterator:
+    rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
+    found = rows.mapInPandas(run, "d string, text_hash long, fp long, size long, wide array<long>")
+    return found.select(F.col("d").cast("long").alias("doc_id"), "text_hash", "fp", "size", "wide")
+
+
+def size_class(size, similar: float):
+    """Sets of that similarity are of one class or of two next to each other."""
+    return F.floor(F.log(size) / F.lit(float(np.log(1 / similar) + 1e-9))).cast("int")
+
+
+def blocks_by_size(sets: DataFrame, similar: float, chunk: int) -> DataFrame:
+    """sets with (c, d, i, j): a row's blocks. Chunk i of size class c meets chunk j of class c + d, d 0 or 1."""
+    classed = sets.withColumn("c", size_class("size", similar))
+    n = classed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))  # classes grow with the logarithm of a text's length
+    below, above = n.select((F.col("c") + 1).alias("c"), F.col("k").alias("k0")), n.select((F.col("c") - 1).alias("c"), F.col("k").alias("k2"))
+    sizes = n.join(below, "c", "left").join(above, "c", "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+
+    def upto(k: str):
+        return F.when(F.coalesce(F.col(k), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def block(c, d: int, i, j):
+        return F.struct(c.alias("c"), F.lit(d).alias("d"), i.alias("i"), j.alias("j"))
+
+    c = F.col("c")
+    places = F.concat(
+        F.transform(upto("k"), lambda x: block(c, 0, F.least(own, x), F.greatest(own, x))),
+        F.transform(upto("k2"), lambda x: block(c, 1, own, x)),
+        F.transform(upto("k0"), lambda x: block(c - 1, 1, x, own)),
+    )
+    dealt = classed.join(F.broadcast(sizes), "c").select("fp", "size", "wide", "c", F.explode(places).alias("at"))
+    return dealt.select("at.c", "at.d", "at.i", "at.j", "fp", "size", "wide", (F.col("c") != F.col("at.c")).alias("upper"))
+
+
+def expanded(lo: np.ndarray, n: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, position) of the runs lo[x] .. lo[x] + n[x] - 1, in slices of about `most`."""
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        own = np.repeat(np.arange(at, end), n[at:end])
+        yield own, np.arange(len(own)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end]) + lo[own]
+        at = end
+
+
+def wide_links(wide: np.ndarray, size: np.ndarray, upper: np.ndarray, plans: list, *, n: int, tau: int, total: int, similar: float) -> np.ndarray:
+    """Label of each row of a block (its component's least row): links of rows, or between the two sides of upper.
+
+    Rows link if one of their fingerprints differs in at most tau bits, all together in at most total, and their
+    sizes allow the similarity. plans: (parts, histograms) of each fingerprint."""
+    label, both = np.arange(len(size)), bool(upper.any())
+    ask = np.flatnonzero(~upper) if both else label
+    have = np.flatnonzero(upper) if both else label
+    if len(ask) > len(have):
+        ask, have = have, ask
+    for k, (parts, hist) in enumerate(plans):
+        t = thresholds(wide[ask, k], parts, hist, n, tau)
+        for p, bits in enumerate(parts):
+            q, x = part_values(wide[ask, k], bits), part_values(wide[have, k], bits)
+            order = np.argsort(x, kind="stable")
+            starts = np.searchsorted(x[order], np.arange((1 << len(bits)) + 1))
+            for d in range(min(int(t[:, p].max()), len(bits)) + 1):
+                rows, m = np.flatnonzero(t[:, p] >= d), masks(len(bits), d)
+                step = max(1, 2_000_000 // len(m))
+                for s in range(0, len(rows), step):
+                    probe = (q[rows[s : s + step], None] ^ m[None, :]).ravel()
+                    met = starts[probe + 1] - starts[probe]
+                    hit = np.flatnonzero(met)
+                    for own, at in expanded(starts[probe[hit]], met[hit]):
+                        a, b = ask[rows[s + hit[own] // len(m)]], have[order[at]]
+                        new = label[a] != label[b]
+                        a, b = a[new], b[new]
+                        near = differing(wide[a, k], wide[b, k]) <= tau
+                        a, b = a[near], b[near]
+                        apart = sum(differing(wide[a, z], wide[b, z]).astype(int) for z in range(wide.shape[1]))
+                        fits = (apart <= total) & (np.minimum(size[a], size[b]) >= similar * np.maximum(size[a], size[b]) - 1e-9)
+                        if fits.any():
+                            label = merge(label, a[fits], b[fits])
+    return label
+
+
+def wide_candidates(sets: DataFrame, *, similar: float, tau: int, total: int, chunk: int) -> DataFrame:
+    """(node, root): components of the links by fingerprints; sets: (fp, size, wide) of distinct sets."""
+    sets = sets.where("size > 0")
+    n = sets.count()
+    plans = []
+    for k in range(WIDE):
+        one = sets.select(F.get("wide", F.lit(k)).alias("fp"))
+        parts = parts_of(together(one), n, parts_for(min(n, 2 * chunk), tau, fewest=2))
+        plans.append((parts, histograms(one, parts, tau)))
+
+    def run(pdf):
         import pandas as pd
 
-        s, f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for pdf in batches:
-            s, f = np.r_[s[-1:], pdf["shingle"].to_numpy(np.int64)], np.r_[f[-1:], pdf["fp"].to_numpy(np.int64)]
-            met = (s[1:] == s[:-1]) & (f[1:] != f[:-1])
-            yield pd.DataFrame({"a": f[:-1][met], "b": f[1:][met]}).drop_duplicates()
+        fp, label = pdf["fp"].to_numpy(), wide_links(np.stack(pdf["wide"]), pdf["size"].to_numpy(), pdf["upper"].to_numpy(), plans, n=min(n, 2 * chunk), tau=tau, total=total, similar=similar)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": fp[label[other]], "b": fp[other]})
 
-    entry = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(posted, "shingle long, fp long")
-    return components(entry.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInPandas(chained, "a long, b long"))
-
-
-def counts(x: np.ndarray) -> np.ndarray:
-    """The size of a set, and its members by hash: these differ by no more than the sets' difference has members."""
-    return np.r_[len(x), np.bincount(x & (COUNTERS - 1), minlength=COUNTERS)].astype(np.int64)
+    return components(blocks_by_size(sets, similar, chunk).groupBy("c", "d", "i", "j").applyInPandas(run, "a long, b long"))
 
 
 def forest_by(near, size: np.ndarray, similar: float) -> tuple[list[int], list[int]]:
@@ -458,18 +504,6 @@ def forest_by(near, size: np.ndarray, similar: float) -> tuple[list[int], list[i
     return a, b
 
 
-def count_forest(rows: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
-    """Of links that counts() doesn't rule out."""
-    m = np.stack(rows)
-    size, c = m[:, 0], m[:, 1:].astype(np.int32)
-
-    def near(i, able):
-        apart = np.abs(c[able] - c[i]).sum(axis=1)
-        return apart * (1 + similar) <= (1 - similar) * (size[i] + size[able]) + 1e-6
-
-    return forest_by(near, size, similar)
-
-
 def set_forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
     """Of exact links."""
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
@@ -487,25 +521,25 @@ def set_forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[
     return forest_by(near, size, similar)
 
 
-def linked_within(docs: DataFrame, rows: DataFrame, maybe: DataFrame, form, forest, *, similar: float, shingle: int, text: str, chunk: int) -> DataFrame:
-    """(node, root): components of the links that forest finds among form(set) within those of maybe."""
-    sizes = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
-    one = rows.groupBy("fp").agg(F.min("text_hash").alias("h"))
-    member = maybe.join(sizes, "root").join(one, F.col("node") == F.col("fp")).select("h", "node", "root", "k")
+def linked_within(docs: DataFrame, sets: DataFrame, maybe: DataFrame, *, similar: float, shingle: int, text: str, chunk: int) -> DataFrame:
+    """(node, root): components of the links by exact similarity within those of maybe; sets: (fp, h, size), h the hash of a text that has it."""
+    member = maybe.join(sets.select("fp", "h", "size"), F.col("node") == F.col("fp"))
+    sizes = maybe.join(sets.select("fp", "size"), F.col("node") == F.col("fp")).groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("size") / (1000.0 * chunk))).alias("k"))
+    member = member.join(sizes, "root").select("h", "node", "root", "k")
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).join(member, F.col("th") == F.col("h")).select("t", "node", "root", "k")
 
     def whole(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        memo: dict[bytes, int] = {}
+        memo = word_hashes()
         seen: set[int] = set()  # exact copies come to one task
         for pdf in batches:
             out = []
             for t, node, root, k in zip(pdf["t"].array, pdf["node"], pdf["root"], pdf["k"], strict=True):
                 if node not in seen:
                     seen.add(node)
-                    out.append((node, root, k, form(hashed_shingles(t, shingle, memo)).tobytes()))
-            yield pd.DataFrame(out, columns=["node", "root", "k", "x"]).astype({"node": "int64", "root": "int64", "k": "int32"})
+                    out.append((node, root, k, hashed_shingles(t, shingle, memo).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "root", "k", "x"]).astype({"node": "int64", "root": "int64", "k": "int64"})
 
     def linked(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -515,45 +549,43 @@ def linked_within(docs: DataFrame, rows: DataFrame, maybe: DataFrame, form, fore
 
         def edges():
             nodes = list(group)
-            a, b = forest(list(group.values()), similar)
+            a, b = set_forest(list(group.values()), similar)
             return pd.DataFrame({"a": np.array([nodes[i] for i in a], np.int64), "b": np.array([nodes[i] for i in b], np.int64)})
 
         for pdf in batches:
             out = []
-            for root, pair, node, x in zip(pdf["root"], pdf["pair"], pdf["node"], pdf["x"], strict=True):
-                if (root, pair) != last:
+            for root, i, j, node, x in zip(pdf["root"], pdf["i"], pdf["j"], pdf["node"], pdf["x"], strict=True):
+                if (root, i, j) != last:
                     if len(group) > 1:
                         out.append(edges())
-                    group, last = {}, (root, pair)
+                    group, last = {}, (root, i, j)
                 group[node] = np.frombuffer(x, np.int64)
             if out:
                 yield pd.concat(out)
         if len(group) > 1:
             yield edges()
 
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(own, j) * F.lit(1 << 15) + F.greatest(own, j))
-    dealt = texts.mapInPandas(whole, "node long, root long, k int, x binary").select("root", F.explode(pairs).alias("pair"), "node", "x")
-    return components(dealt.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInPandas(linked, "a long, b long"))
+    own = F.pmod(F.xxhash64("node"), F.col("k"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = texts.mapInPandas(whole, "node long, root long, k long, x binary").select("root", F.explode(pairs).alias("pair"), "node", "x").select("root", "pair.i", "pair.j", "node", "x")
+    return components(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(linked, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, rows: DataFrame, *, similar: float, shingle: int, text: str = "text", chunk: int = SET_CHUNK) -> DataFrame:
-    """(node, root) of all sets that link to another; rows: set_rows of docs."""
-    maybe = written(set_candidates(docs, rows.count(), similar, text, shingle), "candidates")
-    options = {"similar": similar, "shingle": shingle, "text": text, "chunk": chunk}
-    closer = written(linked_within(docs, rows, maybe, counts, count_forest, **options), "candidates")
-    dropped(maybe)
-    return linked_within(docs, rows, closer, lambda x: x, set_forest, **options)
+def similar_components(docs: DataFrame, sets: DataFrame, *, similar: float, shingle: int, text: str = "text", radius: int = RADIUS, total: int = TOTAL, block: int = BLOCK, chunk: int = SET_CHUNK) -> DataFrame:
+    """(node, root) of all sets that link to another; sets: (fp, h, size, wide) of the distinct sets of docs."""
+    maybe = written(wide_candidates(sets, similar=similar, tau=radius, total=total, chunk=block), "candidates")
+    return linked_within(docs, sets, maybe, similar=similar, shingle=shingle, text=text, chunk=chunk)
 
 
 def dedup_groups(docs: DataFrame, *, tau: int = TAU, chunk: int = CHUNK, similar: float | None = None, **columns) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id): root is the component's fingerprint, component_id its smallest doc_id.
 
-    With similar, links are by that Jaccard similarity of shingle sets, and fp is the number of a set."""
+    With similar, links are by fingerprints of shingle sets and that Jaccard similarity of these, and fp is the number of a set."""
     rows = written(set_rows(docs, **columns) if similar else fingerprints(docs, **columns), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
+    of_set = [F.min("text_hash").alias("h"), F.any_value("size").alias("size"), F.any_value("wide").alias("wide")] if similar else []
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *of_set), "distinct-fp")
     if similar:
-        comp = similar_components(docs, rows, similar=similar, shingle=columns.get("shingle", SHINGLE), text=columns.get("text", "text"))
+        comp = similar_components(docs, fps, similar=similar, shingle=columns.get("shingle", SHINGLE), text=columns.get("text", "text"))
     else:
         comp = near_components(fps, tau=tau, chunk=chunk)
     rooted = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

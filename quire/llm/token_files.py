@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_objects, scratch, shuffle_partitions, table, written
+from .common import as_objects, partitions_for, scratch, table, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"QBITPL01"
@@ -156,7 +156,8 @@ def write_files(docs: DataFrame, folder: str, *, tokenizer: str | None = None, e
 
     # doc_id goes as text: pandas would turn a column of integers and nulls into floats.
     rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.col(doc_id).cast("long").alias("o"), F.xxhash64(text).alias("h"))
-    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "o", "h").sortWithinPartitions("o", "h", "t").select("d", "t")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = rows.repartitionByRange(partitions_for(docs.sparkSession, size), "o", "h").sortWithinPartitions("o", "h", "t").select("d", "t")
     out = dealt.mapInPandas(write, "part int, seq int, file string, n_docs long, n_ids long")
     return written(out, "token-index")
 

@@ -117,12 +117,22 @@ def test_near_copies_by_five_words(spark, sf_dir, monkeypatch, chunk):
     texts += ["", None, " ", "a b", "A  b", "a b c d e f", texts[0].upper()]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
     near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
-    want = list(range(len(texts)))
+    memo = simhash.word_hashes()
+    prints = [simhash.set_fingerprints(simhash.hashed_shingles(t, 5, memo)).tolist() for t in texts]
+
+    def met(i, j):
+        apart = [((x ^ y) % 2**64).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+        return sets[i] == sets[j] or (min(apart) <= simhash.RADIUS and sum(apart) <= simhash.TOTAL)
+
+    want, linked, all_ = list(range(len(texts))), 0, 0
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if near(a, b) and want[i] != want[j]:
+            all_ += near(a, b)
+            if near(a, b) and met(i, j):
+                linked += 1
                 low, high = sorted((want[i], want[j]))
                 want = [low if c == high else c for c in want]
+    assert linked >= 0.98 * all_  # few pairs of that similarity are farther apart
     far = [(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and a != b and near(a, b) and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
     assert len(far) > 20  # which the query's three bits miss
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)

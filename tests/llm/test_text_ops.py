@@ -48,9 +48,14 @@ def key(x):
 def test_word_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 
-    tok, enc = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path(), keep=8)
+    tok, enc = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path(), words=8, stems=8)
+    assert enc.by_words
     for _, text, *_ in ROWS:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
+    other = WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert not other.by_words  # white space counts there: whole texts
+    for text in ("Two  words, and\n more.", "", "Ünïcode déjà vu"):
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == other.tok.encode(text, add_special_tokens=False).ids
 
 
 def test_components(spark):
