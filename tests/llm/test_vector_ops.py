@@ -57,30 +57,55 @@ def test_all_pivots_shared_finds_every_link(spark, table, rows):
     assert [got[i] for i in range(len(c))] == want.tolist()
 
 
+def neighbours_found(c, got, every):
+    """The share of each query's 5 nearest that is found; ranks, scores and order are checked."""
+    by = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        by.setdefault(r.query_id, []).append(r)
+    assert sorted(by) == [i for i in range(len(c)) if i % every == 0]
+    met = 0
+    for q, found in by.items():
+        s = c[q].copy()
+        s[q] = -9
+        assert [r.rank for r in found] == [1, 2, 3, 4, 5]
+        assert np.allclose([r.score for r in found], s[[r.vec_id for r in found]], atol=1e-9)
+        assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
+        met += len({r.vec_id for r in found} & set(np.lexsort((np.arange(len(c)), -s.round(12)))[:5].tolist()))
+    return met / 5 / len(by)
+
+
 def test_neighbours(spark, table, rows):
     c = cosines(rows)
-    for block, query_block in ((16384, 32768), (50, 3)):
-        got = multi_index.nearest(table, table.where("vec_id % 10 = 0"), 5, block=block, query_block=query_block).collect()
-        by = {}
-        for r in sorted(got, key=lambda r: r.rank):
-            by.setdefault(r.query_id, []).append(r)
-        assert sorted(by) == [i for i in range(len(c)) if i % 10 == 0]
-        for q, found in by.items():
-            s = c[q].copy()
-            s[q] = -9
-            want = np.lexsort((np.arange(len(c)), -s))[:5]
-            assert [r.rank for r in found] == [1, 2, 3, 4, 5]
-            assert np.allclose([r.score for r in found], s[want], atol=1e-6)
+    asked = table.where("vec_id % 10 = 0")
+    assert neighbours_found(c, multi_index.nearest(table, asked, 5, recall=1.0, turns=1, block=50, query_block=3).collect(), 10) > 0.97
+    assert neighbours_found(c, multi_index.nearest(table, asked, 5).collect(), 10) > 0.9
+
+
+@pytest.mark.parametrize("groups", [0, 40])
+def test_neighbours_in_a_larger_table(spark, groups):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 32))
+    if groups:
+        x[:2000] = rng.normal(size=(groups, 32))[rng.integers(0, groups, 2000)] + 0.3 * x[:2000]
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), 0, 1, "c") for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    y = x.astype(float)
+    c = (y @ y.T) / np.sqrt(np.outer((y * y).sum(1), (y * y).sum(1)))
+    recall = neighbours_found(c, multi_index.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect(), 50)
+    print("recall", groups, recall)
+    assert recall >= 0.9
 
 
 def test_index_retrieves_every_code_in_radius():
     rng = np.random.default_rng(1)
-    code = rng.integers(0, 2**63, 500).astype(np.uint64) & np.uint64(2**24 - 1)
-    for m in (1, 2, 3):
+    code = rng.integers(0, 2**63, (500, 2)).astype(np.uint64) & np.uint64(2**24 - 1)
+    code[100:200] = code[:100] ^ np.uint64(5)
+    for m in (2, 4, 6):
         index = multi_index.BlockIndex(code, 24, m)
         for q in code[:20]:
-            for r in (0, 3, 7):
-                assert index.within(q, r).tolist() == np.flatnonzero(np.bitwise_count(code ^ q) <= r).tolist()
+            for r in (0, 3, 7, 16):
+                assert index.within(q, r).tolist() == np.flatnonzero(multi_index.apart(code, q) <= r).tolist()
 
 
 def test_few_rows(spark, table):
@@ -95,7 +120,7 @@ def test_few_rows(spark, table):
     assert pivots.links(table.withColumn("vec_id", F.lit(None).cast("long"))).where("kept").count() == 0
 
 
-@pytest.mark.parametrize("kind", ["one cluster", "common direction", "scaled", "two near"])
+@pytest.mark.parametrize("kind", ["one cluster", "common direction", "six pivots", "scaled", "two near"])
 def test_links_where_few_pivots_are_kept(spark, kind):
     rng = np.random.default_rng(7)
     v = rng.normal(size=16)
@@ -103,6 +128,8 @@ def test_links_where_few_pivots_are_kept(spark, kind):
         x = [v + 0.3 * rng.normal(size=16) for _ in range(150)]
     elif kind == "common direction":
         x = [5 * v / np.linalg.norm(v) + rng.normal(size=16) * rng.choice([0.2, 0.5, 0.9]) for _ in range(150)]
+    elif kind == "six pivots":
+        x = [1.8 * v / np.linalg.norm(v) + 0.3 * c + 0.25 * rng.normal(size=16) for c in rng.normal(size=(12, 16)) for _ in range(15)]
     else:
         x = [v, 2 * v] if kind == "scaled" else [v, v + 0.2 * rng.normal(size=16)]
     rows = [(i, y.astype(np.float32).tolist(), 0, 1, "c") for i, y in enumerate(x)]
