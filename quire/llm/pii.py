@@ -6,13 +6,16 @@ card numbers, IBANs, social security numbers, IP and MAC addresses and secrets a
 their format by a keyed Feistel network over each alphabet, walked until the result is valid (card
 and IBAN check digits, number plan, address class), which is one-to-one. Names after a title get a
 given name of the same gender and script and a made-up surname of that script, in the same case;
-so do all mentions of such a name in the same text without a title, whole or by the surname.
+so do names of a known given name and a capitalised word, and all mentions of such a name in the same text without a title, whole or by the surname.
 
 Collision check: all distinct entities of all documents are grouped by surrogate; where several
 meet, all but the least get another draw until none meet. Only documents that hold such an entity
 are joined with the new draws.
 
-Cases: a null text stays null, an empty one empty; overlapping finds go to the first, then the
+A name without a title is known by a given name of the pools before a capitalised word. Names of other words without any
+title in their text, and phone numbers without a leading +, 0 or area code, are beyond these patterns.
+
+Cases: a very long text is searched line by line, whole; a null text stays null, an empty one empty; overlapping finds go to the first, then the
 longest; repeated rows get the same text; a null doc_id is no matter; an empty table gives an empty
 one; other columns are kept."""
 
@@ -46,6 +49,7 @@ SURNAME_END = {"latin": ("l", "n", "r", "s"), "cyrillic": ("л", "н", "р", "с
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
+KNOWN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
 NAME_WORD = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+(?:['’\-][^\W\d_]+)?"
 #: (kind, pattern with one group: what is replaced). Earlier kinds win where finds begin together.
 PATTERNS = (
@@ -58,17 +62,19 @@ PATTERNS = (
     ("iban", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("card", r"(?<![\w.\-])(\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\w\-])"),
     ("ssn", r"(?<![\w\-])(\d{3}-\d{2}-\d{4})(?![\w\-])"),
-    ("phone", r"(?<![\w.+])(\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)"),
+    ("phone", r"(?<![\w.+])(\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<!\d[ \-])0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,4}){0,3})(?![\w\-])"),
     ("name", rf"(?<!\w)(?:{TITLES})\.? ((?:{NAME_WORD})(?: {NAME_WORD}){{0,2}})"),
+    ("untitled", rf"(?<![\w\-])((?:{KNOWN}) {NAME_WORD})"),
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 ONE = {kind: re.compile(p) for kind, p in PATTERNS}
 GROUP_OF = {kind: FIND.groupindex[kind] + 1 for kind, _ in PATTERNS}
 KINDS = tuple(GROUP_OF)
 LINE = re.compile(r"[^\n]+")
-HINT = re.compile(r"[0-9@:]")
-#: What the entities hold that may lack a digit, @ or colon: titles, and what secrets begin with.
-MARKS = (*[t for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES if not any(o != t and o in t for o in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)], "AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk-", "xox")
+HINT = re.compile(r"[0-9@:]|[a-f]{32}")
+#: What the entities hold that may lack a digit, @, colon or a run of 32 hexadecimal letters: titles, given names, and what secrets begin with.
+MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk-", "xox")
+NAMED = re.compile(rf"\b(?:{TITLES}|{KNOWN})\b")
 
 
 def drawn(key: str, *parts: object) -> int:
@@ -176,7 +182,7 @@ def ip(key: str, text: str) -> str:
 
 
 def phone(key: str, text: str) -> str:
-    lead = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d|", text)[0]
+    lead = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d|0|", text)[0]
     rest = text[len(lead) :]
     d = digits_of(rest)
     if len(d) == 10 and lead in ("", "+1"):  # North American plan: area and exchange don't begin with 0 or 1; 555 stays
@@ -282,6 +288,7 @@ def finds(text: str, start: int, end: int):
             start = m.start() + 1
             continue
         start = to
+        kind = "name" if kind == "untitled" else kind
         if kind == "name" and text[to - 2 : to] in ("'s", "’s"):
             to -= 2
         yield at, to, kind, text[at:to], text[m.start() : at]
@@ -307,12 +314,12 @@ def mentions(text: str, found: list[tuple]):
 def entities(text: str | None):
     """(start, end, kind, value, title) of each find, whole text, left to right.
 
-    No entity runs over a line's end, and each holds a sign of HINT or one of MARKS, so other lines are passed over;
-    but for mentions of the names found."""
+    No entity runs over a line's end, and each holds what HINT, MARKS or NAMED looks for, so that other lines are passed
+    over loses none; but for mentions of the names found, which are searched everywhere."""
     found = []
     for line in LINE.finditer(text or ""):
         one = line[0]
-        if HINT.search(one) or any(mark in one for mark in MARKS):
+        if HINT.search(one) or any(mark in one for mark in MARKS) or NAMED.search(one):
             found += finds(text, line.start(), line.end())
     yield from sorted([*found, *mentions(text or "", found)])
 
@@ -363,7 +370,13 @@ def found_entities(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt) of entities whose surrogate was another's; drawn anew until all differ."""
-    draw = F.udf(lambda kind, value, attempt: surrogate(key, kind, value, attempt).casefold() if kind not in MAKE else surrogate(key, kind, value, attempt), "string")
+    def drawn_anew(kinds, values, attempts):
+        import pandas as pd
+
+        new = [surrogate(key, k, v, a) for k, v, a in zip(kinds, values, attempts, strict=True)]
+        return pd.Series([x if k in MAKE else x.casefold() for k, x in zip(kinds, new, strict=True)], dtype=object)
+
+    draw = F.pandas_udf(drawn_anew, "string", F.PandasUDFType.SCALAR)
     now = written(found.groupBy("kind", "value").agg(F.min("surrogate").alias("surrogate")).withColumn("attempt", F.lit(0)), "entities")
     while True:
         least = now.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("attempt", "value")).alias("first")).where("c > 1")
