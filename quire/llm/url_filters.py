@@ -1,9 +1,9 @@
 """URL filters by rules and a path-template tree (operator 8).
 
 Rules (host, path) come first; the longest that fits decides. For other urls, each host gets a tree
-of path templates: digits, hexadecimal and very long segments become wildcards by form; a level
-with very many children, and children whose labelled share of bad pages doesn't differ from their
-parent's by a two-proportion test, merge into one wildcard branch. A template is rejected if its
+of path templates: digits, hexadecimal and very long segments become wildcards by form, and what lies
+deeper than DEPTH segments is one; children whose labelled share of bad pages doesn't differ from their
+parent's by a two-proportion test (unlabelled ones never do) merge into one wildcard branch, at any width. A template is rejected if its
 share of bad labels, smoothed towards its host's and that towards all pages', is over a threshold (half: so without labels none is).
 DataFrame functions only; trees are made from counts by host and path form, never from rows.
 
@@ -20,7 +20,7 @@ from .common import dropped, fresh, table, written
 
 #: (host, path, verdict): the production rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH, MOST_CHILDREN, Z2, STRENGTH, REJECT = 6, 24, 3.84, 5.0, 0.5
+DEPTH, Z2, STRENGTH, REJECT = 6, 3.84, 5.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -49,7 +49,7 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(segments) > depth, F.concat(F.transform(F.slice(segments, 1, depth), form), F.array(F.lit("**")))).otherwise(F.transform(segments, form))
 
 
-def template_tree(shapes: DataFrame, *, depth: int = DEPTH, most_children: int = MOST_CHILDREN, z2: float = Z2) -> DataFrame:
+def template_tree(shapes: DataFrame, *, depth: int = DEPTH, z2: float = Z2) -> DataFrame:
     """shapes (host, shape, labelled, bad) -> the same with template, the shape after merging, level by level."""
     now = written(shapes.withColumn("t", F.col("shape")), "shapes")
     deepest = now.agg(F.max(F.size("t"))).first()[0] or 0
@@ -59,7 +59,7 @@ def template_tree(shapes: DataFrame, *, depth: int = DEPTH, most_children: int =
         parent = child.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
         p, c = (F.col("pb") + 0.5) / (F.col("pl") + 1.0), F.col("cb") / F.col("cl")
         alike = (F.col("cl") == 0) | (F.col("cl") * ((c - p) * (c - p)) <= F.lit(z2) * (p * (1.0 - p)))
-        merge = child.join(parent, ["host", "parent"]).where((F.col("children") > 1) & ((F.col("children") > most_children) | alike)).select("host", "parent", "child", F.lit(True).alias("merge"))
+        merge = child.join(parent, ["host", "parent"]).where((F.col("children") > 1) & alike).select("host", "parent", "child", F.lit(True).alias("merge"))
         keyed = now.withColumn("parent", F.array_join(F.slice("t", 1, i), "/") if i else F.lit("")).withColumn("child", F.get("t", F.lit(i)))
         t = F.when(F.col("merge"), F.concat(F.slice("t", 1, i) if i else F.array().cast("array<string>"), F.array(F.lit("*")), F.slice("t", i + 2, 2 * depth))).otherwise(F.col("t"))
         nxt = written(keyed.join(merge, ["host", "parent", "child"], "left").select("host", "shape", "labelled", "bad", t.alias("t")), "shapes")
@@ -114,7 +114,7 @@ t0 AS (SELECT host, shape, shape AS t, count(bad) AS labelled, sum(coalesce(bad,
 k{i} AS (SELECT *, array_to_string(t[1:{i}], '/') AS parent, t[{i + 1}] AS child FROM t{i}),
 c{i} AS (SELECT host, parent, child, sum(labelled) AS cl, sum(bad) AS cb FROM k{i} WHERE child IS NOT NULL GROUP BY 1, 2, 3),
 p{i} AS (SELECT host, parent, count(*) AS children, (sum(cb) + 0.5::DOUBLE) / (sum(cl) + 1.0::DOUBLE) AS p FROM c{i} GROUP BY 1, 2),
-m{i} AS (SELECT host, parent, child, true AS merge FROM c{i} JOIN p{i} USING (host, parent) WHERE children > 1 AND (children > {MOST_CHILDREN} OR cl = 0 OR cl * ((cb / nullif(cl, 0) - p) * (cb / nullif(cl, 0) - p)) <= {Z2}::DOUBLE * (p * (1.0::DOUBLE - p)))),
+m{i} AS (SELECT host, parent, child, true AS merge FROM c{i} JOIN p{i} USING (host, parent) WHERE children > 1 AND (cl = 0 OR cl * ((cb / nullif(cl, 0) - p) * (cb / nullif(cl, 0) - p)) <= {Z2}::DOUBLE * (p * (1.0::DOUBLE - p)))),
 t{i + 1} AS (SELECT k.host, shape, labelled, bad, CASE WHEN merge THEN list_concat(list_append(t[1:{i}], '*'), t[{i + 2}:]) ELSE t END AS t FROM k{i} k LEFT JOIN m{i} m ON k.host = m.host AND k.parent = m.parent AND k.child = m.child)"""
     return sql + f""",
 tree AS (SELECT host, shape, labelled, bad, '/' || array_to_string(t, '/') AS template FROM t{DEPTH + 1}),

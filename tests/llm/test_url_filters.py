@@ -41,13 +41,16 @@ def test_templates_merge_alike_and_reject_bad(spark):
     rows = [(f"http://a.com/news/{i}", i, 0) for i in range(60)] + [(f"http://a.com/spam/{i}", 100 + i, 1) for i in range(60)]
     rows += [(f"http://b.com/{w}/{i}", 200 + 10 * k + i, i % 2 if i < 2 else 0) for k, w in enumerate(["x", "y", "z"]) for i in range(10)]
     rows += [(f"http://c.com/s{'abcdefghijklmnopqrstuvwxyzABCDEFGH'[i]}", 400 + i, 0) for i in range(34)]
+    rows += [(f"http://e.com/{'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN'[k]}/{i}", 600 + 10 * k + i, int(k == 39)) for k in range(40) for i in range(10)]
     rows += [("http://d.com/" + "/".join("p" * 12), 500, 1)]
     pages = spark.createDataFrame([(i, u) for u, i, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, b) for _, i, b in rows], "page_id long, bad int")
     got = {r.url: r for r in url_filters.judge(pages, labels).collect()}
     assert all(got[u].verdict == ("block" if "/spam/" in u else "allow") for u, i, _ in rows if i < 200)
     assert len({got[u].template for u in got if "b.com" in u}) == 1  # branches of like purity
-    assert {got[u].template for u in got if "c.com" in u} == {"/*"}  # very many children
+    assert {got[u].template for u in got if "c.com" in u} == {"/*"}  # very many children, all alike
+    assert {got[u].verdict for u in got if "e.com/N/" in u} == {"block"}  # one that differs among forty stays apart
+    assert {got[u].verdict for u in got if "e.com/" in u and "/N/" not in u} == {"allow"}
     assert got[rows[-1][0]].template.endswith("/**")
 
 
