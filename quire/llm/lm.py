@@ -13,7 +13,7 @@ How it is spread: documents form blocks of about BLOCK tokens, written once in l
 Each block sends its distinct keys with its own counts to hash buckets, a bucket adds them up over
 blocks, and sends back totals that differ from the block's own; so each block holds the slice of the
 automaton that its documents can reach. No table of all n-grams is ever in one place. Word and
-bigram keys are 64-bit hashes.
+bigram keys are 64-bit hashes, whole: of n different keys, n * n / 2 ** 65 pairs are expected to share one.
 
 Cases: a null or empty text is its end token alone; a null doc_id is in training; without training
 rows all outcomes are one unknown class; repeated rows count and are scored each; an empty table
@@ -33,8 +33,6 @@ BLOCK = 600_000
 #: Keys that a bucket of counts aims at.
 BUCKET_KEYS = 1_000_000
 BINS = 64
-#: Keys are sent with 64 - KEY_LOSS bits.
-KEY_LOSS = 8
 END, START = b"\x00end", b"\x00start"
 
 
@@ -131,10 +129,10 @@ def _before(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 
 def _message(block: int, keys: np.ndarray, bits: int, *more: np.ndarray) -> list[tuple]:
-    """Sorted keys of a block cut into buckets by their upper bits; the bucket implies these, and the lowest KEY_LOSS bits are left out."""
+    """Sorted keys of a block cut into buckets by their upper bits; the bucket implies these."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, int)
-    rest = (keys << np.uint64(bits)) >> np.uint64(bits + KEY_LOSS)
+    rest = (keys << np.uint64(bits)) >> np.uint64(bits)
     return [(int(bucket[s]), block, pack_sorted(rest[s:e]), *(pack_ints(m[s:e]) for m in more)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 

@@ -9,9 +9,9 @@ counts as quotation, next to the second person as abuse. A logistic function of
 (abuse, quotation, misspelled words) gives the score.
 
 Bounds: the lexicon and the function are fitted on at most FIT_ROWS labelled documents, those of the
-least hashes of doc_id; every document is scored whole.
+least hashes of doc_id, and terms have LEAST_TERM letters at least; every document is scored whole.
 
-Cases: a null or empty text scores like a text without a found word; labels that are null or whose
+Cases: a null or empty text scores like a text without a found word; a very long one is read whole, and its sums count by their logarithms; labels that are null or whose
 doc_id has none are ignored, a doc_id with several labels is toxic if one says so; without labels the
 fixed words and prior weights hold; repeated rows score alike; an empty table gives an empty one;
 other columns are kept by drop_toxic()."""
@@ -32,6 +32,8 @@ FIT_ROWS = 20_000
 REJECT = 0.3
 EDITS, FUZZY_FROM, WINDOW = 1, 5, 5
 STEM_LENGTHS = (3, 4, 5, 6, 7)
+#: Shorter words are not learned as terms: they are near too many others.
+LEAST_TERM = 4
 LEAST_ODDS, LEAST_EVIDENCE, LEAST_CONTEXTS, STEM_FORMS, SLACK = 3.0, 20.0, 4, 3, 0.3
 #: A term that more than this share of harmless texts come within an edit of matches exactly only.
 MISREAD = 0.002
@@ -196,7 +198,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
             for t in pdf["t"].array:
                 words, seen = [plain(w) for w in (t or "").lower().split()], set()
                 for i, w in enumerate(words):
-                    if 4 <= len(w) <= 40 and w not in seen:
+                    if len(w) >= LEAST_TERM and w not in seen:
                         seen.add(w)
                         context = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
                         rows += [(f, context, zlib.crc32(w.encode()) % 1024) for f in forms(w) if f == w or f not in seen]
