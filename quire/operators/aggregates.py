@@ -106,10 +106,13 @@ def duplicate_ids(spark, sf_dir):
     return V.files(spark, sf_dir).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.lower("path")).alias("first_path")).where("n > 1")
 
 
-@query(sql("SELECT doc_id, string_agg(word, ' ' ORDER BY first) AS words FROM (SELECT doc_id, word, min(k) AS first FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS k FROM v_units WHERE ord = 1) GROUP BY 1, 2) GROUP BY 1", *UNITS))
+@query(sql("SELECT doc_id, string_agg(word, ' ' ORDER BY first) AS words FROM (SELECT doc_id, word, min(k) AS first FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS k FROM (SELECT doc_id, string_agg(text, ' ' ORDER BY ord) AS text FROM v_units GROUP BY 1)) GROUP BY 1, 2) GROUP BY 1", *UNITS))
 def ordered_distinct(spark, sf_dir):
-    """Distinct words in the order they first occur."""
-    return V.units(spark, sf_dir).where("ord = 1").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+    """Distinct words of a document in the order they first occur."""
+    words = V.units(spark, sf_dir).select("doc_id", "ord", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    first = words.groupBy("doc_id", "word").agg(F.min(F.struct("ord", "k")).alias("at"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])
+    return first.groupBy("doc_id").agg(F.array_join(ordered, " ").alias("words"))
 
 
 @query(sql("SELECT task, round, least(count(*), 5) AS kept, greatest(count(*) - 5, 0) AS dropped FROM v_calls WHERE operation = 'evaluate' GROUP BY 1, 2", "v_calls"))
@@ -145,12 +148,14 @@ def match_failures(spark, sf_dir):
     return c.where("status = 'failed'").join(last, "task", "left").where("round >= coalesce(last, 0)").groupBy("task").agg(F.count_distinct("round").alias("rounds"))
 
 
-@query(sql("SELECT split_part(path, '/', 1) AS root, sha256(string_agg(path || ':' || sha, ';' ORDER BY path)) AS tree FROM v_files GROUP BY 1", "v_files"))
+@query(sql("SELECT root, sha256(string_agg(part || ':' || h, ';' ORDER BY part)) AS tree FROM (SELECT split_part(path, '/', 1) AS root, substr(sha256(path), 1, 3) AS part, sha256(string_agg(path || ':' || sha, ';' ORDER BY path)) AS h FROM v_files GROUP BY 1, 2) GROUP BY 1", "v_files"))
 def tree_hash(spark, sf_dir):
-    """One hash of a folder: of its sorted paths and their hashes."""
-    f = V.files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root"), "path", F.concat_ws(":", "path", "sha").alias("line"))
+    """One hash of a folder: of 4,096 parts by the paths' own hashes, each of its sorted paths and their hashes, so no task holds all paths."""
+    f = V.files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root"), F.substring(F.sha2("path", 256), 1, 3).alias("part"), "path", F.concat_ws(":", "path", "sha").alias("line"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
-    return f.groupBy("root").agg(F.sha2(F.array_join(lines, ";"), 256).alias("tree"))
+    parts = f.groupBy("root", "part").agg(F.sha2(F.array_join(lines, ";"), 256).alias("h"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: F.concat_ws(":", x["part"], x["h"]))
+    return parts.groupBy("root").agg(F.sha2(F.array_join(whole, ";"), 256).alias("tree"))
 
 
 @query(sql("SELECT tab, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols FROM v_cells GROUP BY 1", *CELLS))

@@ -94,10 +94,10 @@ def candidate_pool(spark, sf_dir):
 
 @query(sql("""SELECT tab, row, c_row, tier FROM (SELECT *, min(tier) OVER (PARTITION BY tab, row) AS best FROM (SELECT a.tab, a.row, b.row AS c_row,
 CASE WHEN a.text = b.text AND a.row <> b.row THEN 1 WHEN b.row = a.row THEN 3 WHEN abs(a.row - b.row) = 1 THEN 4 ELSE 6 END AS tier
-FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.col = 4 AND b.col = 4 AND NOT a.header AND NOT b.header AND a.tab % 3 = 0)) WHERE tier = best""", *CELLS))
+FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.col = 4 AND b.col = 4 AND NOT a.header AND NOT b.header)) WHERE tier = best""", *CELLS))
 def candidate_tier(spark, sf_dir):
     """Candidates by tiers: same label, same row, next row, any; only the best tier of a query stays."""
-    c = V.cells(spark, sf_dir).where("col = 4 AND NOT header AND tab % 3 = 0").select("tab", "row", "text")
+    c = V.cells(spark, sf_dir).where("col = 4 AND NOT header").select("tab", "row", "text")
     pairs = c.join(c.select("tab", F.col("row").alias("c_row"), F.col("text").alias("c_text")), "tab")
     tier = F.when((F.col("text") == F.col("c_text")) & (F.col("row") != F.col("c_row")), 1).when(F.col("row") == F.col("c_row"), 3).when(F.abs(F.col("row") - F.col("c_row")) == 1, 4).otherwise(6)
     pairs = pairs.withColumn("tier", tier)
@@ -114,7 +114,7 @@ def sibling_cells(spark, sf_dir):
     return each.withColumn("o", others).where(F.size("o") > 0).select("tab", "row", F.col("me.col").alias("col"), F.array_join(F.transform("o", lambda x: x["text"]), " | ").alias("siblings"))
 
 
-@query(sql("SELECT a.tab, a.line, a.row, b.text AS above FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND b.col = 0 AND b.line = a.line - 1 WHERE a.col = 0", *CELLS))
+@query(sql("SELECT a.tab, a.line, a.row, b.text AS above FROM (SELECT * FROM v_cells WHERE col = 0) a JOIN (SELECT tab, line + 1 AS line, text FROM v_cells WHERE col = 0) b USING (tab, line)", *CELLS))
 def adjacent_row_label(spark, sf_dir):
     """The label one line above; lines may be missing, so the number decides, not the place."""
     c = V.cells(spark, sf_dir).where("col = 0").select("tab", "line", "row", "text")

@@ -95,12 +95,12 @@ def translatable_spans(spark, sf_dir):
     return V.spans(spark, sf_dir).where(~F.col("kind").isin("code", "line_break") & F.col("translated").isNull() & F.col("revised").isNull()).select("span_id", "source")
 
 
-@query(sql("SELECT a.event_id, b.event_id AS reused FROM v_calls a JOIN v_calls b ON a.task = b.task AND a.operation = b.operation AND a.round = b.round AND a.tokens = b.tokens AND b.status = 'succeeded' AND b.event_id < a.event_id", "v_calls"))
+@query(sql("SELECT event_id, reused FROM (SELECT event_id, max(CASE WHEN status = 'succeeded' THEN event_id END) OVER (PARTITION BY task, operation, round, tokens ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reused FROM v_calls) WHERE reused IS NOT NULL", "v_calls"))
 def call_reuse(spark, sf_dir):
-    """Saved calls that answer a later one: same task, operation, round and input, and succeeded."""
-    c = V.calls(spark, sf_dir).select("event_id", "task", "operation", "round", "tokens", "status")
-    saved = c.where("status = 'succeeded'").select(F.col("event_id").alias("reused"), "task", "operation", "round", "tokens")
-    return c.join(saved, ["task", "operation", "round", "tokens"]).where("reused < event_id").select("event_id", "reused")
+    """The latest saved call that answers a later one: same task, operation, round and input, and succeeded."""
+    w = Window.partitionBy("task", "operation", "round", "tokens").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    saved = F.max(F.when(F.col("status") == "succeeded", F.col("event_id"))).over(w)
+    return V.calls(spark, sf_dir).select("event_id", saved.alias("reused")).where("reused IS NOT NULL")
 
 
 @query(sql("SELECT t.task, bool_and(m.sha IS NOT NULL AND m.size > 300) AS reusable, count(*) AS artifacts FROM (SELECT DISTINCT task, event_id % 500 AS doc_id FROM v_calls) t LEFT JOIN v_files m USING (doc_id) GROUP BY 1", "v_calls", "v_files"))
@@ -197,12 +197,12 @@ def first_available(spark, sf_dir):
     return V.calls(spark, sf_dir).groupBy("task").agg(F.min(F.struct(rank.alias("k"), "event_id"))["event_id"].alias("event_id"))
 
 
-@query(sql("SELECT task, CASE max(CASE event_type WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END) WHEN 4 THEN 'FIX' WHEN 3 THEN 'REVIEW' WHEN 2 THEN 'TRANSLATE' ELSE 'STRUCTURE' END AS shown FROM v_calls WHERE round < 3 GROUP BY 1", "v_calls"))
+@query(sql("SELECT task, CASE max(CASE event_type WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END) WHEN 4 THEN 'FIX' WHEN 3 THEN 'REVIEW' WHEN 2 THEN 'DRAFT' ELSE 'STRUCTURE' END AS shown FROM v_calls GROUP BY 1", "v_calls"))
 def latest_comparison(spark, sf_dir):
     """The most advanced comparison there is."""
     stage = F.when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "signup", 3).when(F.col("event_type") == "click", 2).otherwise(1)
-    most = V.calls(spark, sf_dir).where("round < 3").groupBy("task").agg(F.max(stage).alias("m"))
-    return most.select("task", F.element_at(F.array(*map(F.lit, ("STRUCTURE", "TRANSLATE", "REVIEW", "FIX"))), F.col("m")).alias("shown"))
+    most = V.calls(spark, sf_dir).groupBy("task").agg(F.max(stage).alias("m"))
+    return most.select("task", F.element_at(F.array(*map(F.lit, ("STRUCTURE", "DRAFT", "REVIEW", "FIX"))), F.col("m")).alias("shown"))
 
 
 @query(sql("SELECT unit_id, round(length(regexp_replace(text, '[^À-ÿ]', '', 'g')) / length(text)::DOUBLE, 6) AS ratio, length(regexp_replace(text, '[^À-ÿ]', '', 'g')) * 100 <= length(text) AS mostly_other FROM v_units", *UNITS))

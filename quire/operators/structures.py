@@ -7,28 +7,32 @@ import difflib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import chunks_of, sentences_of
+from quire.functions.text import by_row, chunks_of, sentences_of
 from quire.plans.registry import query
 from quire.sources import views as V
+from quire.sources.files import settled
 from quire.sources.views import CELLS, SPANS, UNITS, sql
 
 # ---- trees: nodes and parents ------------------------------------------------------------------
 
 
-def ancestors(edges: DataFrame, most: int = 32) -> DataFrame:
-    """(child, up): each node with all its ancestors, by doubling: log(depth) joins.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(child, up, d): each node with all its ancestors and how far up they are, by doubling: log(depth) joins.
 
-    edges: (child, parent), roots with a null parent. Cycles end after `most` levels."""
-    known = edges.where("parent IS NOT NULL").select("child", F.col("parent").alias("up"), F.lit(1).alias("d"))
+    edges: (child, parent), one row for each child, roots with a null parent. Rounds end when none brings a new pair,
+    so any depth is whole, and a cycle's nodes are each other's ancestors (not their own)."""
+    known = settled(edges.where("parent IS NOT NULL AND parent <> child").select("child", F.col("parent").alias("up"), F.lit(1).alias("d")))
     reach = 1
-    while reach < most:
+    while True:
         last = known.where(F.col("d") == reach).select(F.col("child").alias("mid"), F.col("up").alias("far"))
-        more = known.join(last, F.col("up") == F.col("mid")).select("child", F.col("far").alias("up"), (F.col("d") + reach).alias("d"))
-        known, reach = known.unionByName(more), 2 * reach
-    return known
+        more = known.join(last, F.col("up") == F.col("mid")).where("child <> far").groupBy("child", F.col("far").alias("up")).agg(F.min(F.col("d") + reach).alias("d"))
+        new = settled(more.join(known.select("child", "up"), ["child", "up"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, reach = known.unionByName(new), 2 * reach
 
 
-TREE = """WITH RECURSIVE {views}, up(child, up, d) AS (SELECT child, parent, 1 FROM v_edges WHERE parent IS NOT NULL UNION ALL SELECT u.child, e.parent, d + 1 FROM up u JOIN v_edges e ON e.child = u.up WHERE e.parent IS NOT NULL AND d < 16)
+TREE = """WITH RECURSIVE {views}, up(child, up, d) AS (SELECT child, parent, 1 FROM v_edges WHERE parent IS NOT NULL UNION ALL SELECT u.child, e.parent, d + 1 FROM up u JOIN v_edges e ON e.child = u.up WHERE e.parent IS NOT NULL)
 """
 
 
@@ -40,7 +44,7 @@ def tree_sql(body: str) -> str:
 def tree_prune(spark, sf_dir):
     """Nodes left when some go with all below them."""
     e = V.edges(spark, sf_dir)
-    gone = ancestors(e, 16).where("up % 11 = 3").select("child")
+    gone = ancestors(e).where("up % 11 = 3").select("child")
     return e.where("child % 11 <> 3").join(gone, "child", "left_anti").select("child")
 
 
@@ -48,7 +52,7 @@ def tree_prune(spark, sf_dir):
 def list_level(spark, sf_dir):
     """How many lists a node lies in."""
     e = V.edges(spark, sf_dir)
-    return ancestors(e, 16).join(e.select(F.col("child").alias("up"), "label"), "up").groupBy("child").agg(F.count_if(F.col("label") == "list").alias("level"))
+    return ancestors(e).join(e.select(F.col("child").alias("up"), "label"), "up").groupBy("child").agg(F.count_if(F.col("label") == "list").alias("level"))
 
 
 @query(tree_sql("SELECT DISTINCT up.child FROM up JOIN v_edges p ON p.child = up.up AND p.label = 'picture' JOIN v_edges t ON t.child = up.child AND t.label = 'text'"))
@@ -56,14 +60,14 @@ def picture_descendants(spark, sf_dir):
     """Texts under a picture at any depth."""
     e = V.edges(spark, sf_dir)
     pictures = e.where("label = 'picture'").select(F.col("child").alias("up"))
-    return ancestors(e, 16).join(pictures, "up", "left_semi").join(e.where("label = 'text'"), "child", "left_semi").select("child").distinct()
+    return ancestors(e).join(pictures, "up", "left_semi").join(e.where("label = 'text'"), "child", "left_semi").select("child").distinct()
 
 
 @query(tree_sql("SELECT child, path FROM (SELECT child, string_agg(lpad(up::VARCHAR, 6, '0'), '/' ORDER BY d DESC) || '/' || lpad(child::VARCHAR, 6, '0') AS path FROM up GROUP BY 1)"))
 def load_order(spark, sf_dir):
     """A sort key for the pre-order walk: the path from the root."""
     path = F.sort_array(F.collect_list(F.struct("d", F.lpad(F.col("up").cast("string"), 6, "0").alias("p"))), asc=False)
-    g = ancestors(V.edges(spark, sf_dir), 16).groupBy("child").agg(F.array_join(F.transform(path, lambda x: x["p"]), "/").alias("path"))
+    g = ancestors(V.edges(spark, sf_dir)).groupBy("child").agg(F.array_join(F.transform(path, lambda x: x["p"]), "/").alias("path"))
     return g.select("child", F.concat("path", F.lit("/"), F.lpad(F.col("child").cast("string"), 6, "0")).alias("path"))
 
 
@@ -150,14 +154,42 @@ def l2_normalize(spark, sf_dir):
 
 
 COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-NEAR = f"SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS same, round({COSINE}, 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label"
+#: Candidates that each query keeps: the feature of a search.
+POOL = 20
+NEAR = f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= {POOL}"
+#: Queries and rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
 
 
 def near_pairs(spark, sf_dir) -> DataFrame:
-    """Cosines of every fiftieth vector with the others of its kind."""
-    e = V.table(spark, sf_dir, "embeddings").withColumn("u", unit(F.col("embedding"))).select("vec_id", "label", "u")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("u").alias("v"))
-    return q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(dot(F.col("u"), F.col("v")), 5).alias("cosine"))
+    """Every fiftieth vector with its POOL nearest of all vectors, ties to smaller ids, and their cosine to five places.
+
+    Blocks of queries meet blocks of rows; each keeps its best, and these are merged. Vectors without a length take no part."""
+    e = V.table(spark, sf_dir, "embeddings").withColumn("u", unit(F.col("embedding"))).where("u IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "u")
+    asked = e.where("vec_id % 50 = 0")
+    n_q, n_r = -(-asked.count() // QUERY_BLOCK) or 1, -(-e.count() // ROW_BLOCK) or 1
+    own_q, own_r = F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int"), F.pmod(F.xxhash64("vec_id"), F.lit(n_r)).cast("int")
+    rows = e.select("vec_id", "u", own_r.alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
+    asked = asked.select("vec_id", "u", own_q.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("r"))
+
+    def best(asks, have):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(asks) and len(have):
+            ids, x = have["vec_id"].to_numpy(), np.stack(have["u"])
+            for at in range(0, len(asks), 256):
+                some = asks.iloc[at : at + 256]
+                for query, near in zip(some["vec_id"], np.round(np.stack(some["u"]) @ x.T, 5), strict=True):
+                    order = np.lexsort((ids, -near))[: POOL + 1]
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "cosine": near[order]}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+        return found[found["query_id"] != found["vec_id"]].astype({"query_id": "int64", "vec_id": "int64", "cosine": "float64"})
+
+    found = asked.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInPandas(best, "query_id long, vec_id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= POOL).drop("place")
 
 
 @query(f"SELECT query_id, vec_id, cosine FROM ({NEAR})")
@@ -167,7 +199,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"SELECT query_id, vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS k FROM ({NEAR})) WHERE k <= 5")
 def vector_topk(spark, sf_dir):
-    """The five nearest of the same kind, ties to smaller ids."""
+    """The five nearest of all, ties to smaller ids."""
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return near_pairs(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5").select("query_id", "vec_id", "k")
 
@@ -282,14 +314,14 @@ def batches(df: DataFrame, budget: int, most: int) -> DataFrame:
 f(doc_id, k, ord, batch, used, c) AS (SELECT doc_id, k, ord, 0, size, 1 FROM n WHERE k = 1 UNION ALL
 SELECT n.doc_id, n.k, n.ord, f.batch + CASE WHEN f.used + n.size > 1500 OR f.c >= 64 THEN 1 ELSE 0 END, CASE WHEN f.used + n.size > 1500 OR f.c >= 64 THEN n.size ELSE f.used + n.size END, CASE WHEN f.used + n.size > 1500 OR f.c >= 64 THEN 1 ELSE f.c + 1 END FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1)
 SELECT doc_id, batch, min(ord) AS first, count(*) AS units FROM f GROUP BY 1, 2""" % (V.SQL["v_lines"], V.SQL["v_units"]))
-def translate_batches(spark, sf_dir):
+def unit_batches(spark, sf_dir):
     """Units kept whole in batches of at most 64 and 1,500 bytes."""
     return batches(V.units(spark, sf_dir), 1500, 64)
 
 
 @query()
 def review_batches(spark, sf_dir):
-    """As translate_batches, and a batch ends where list items and other units change."""
+    """As unit_batches, and a batch ends where list items and other units change."""
     u = V.units(spark, sf_dir)
     change = F.col("l") != F.lag("l", 1).over(Window.partitionBy("doc_id").orderBy("ord"))
     marked = u.withColumn("l", F.col("kind") == "list_item").withColumn("c", F.coalesce(change, F.lit(False)).cast("int"))
@@ -338,7 +370,7 @@ def glossary_budget(spark, sf_dir):
 def rag_chunks(spark, sf_dir):
     """Chunks of at most 1,000 characters with up to 100 of overlap, cut at paragraphs, then sentences, then spaces."""
     text = F.col("text")
-    chunk = F.udf(chunks_of, "array<string>")
+    chunk = by_row(chunks_of, "array<string>")
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk(text)).alias("chunk", "content"))
     return d.select("doc_id", "chunk", "content", F.sha2("content", 256).alias("content_sha256"))
 
@@ -346,7 +378,7 @@ def rag_chunks(spark, sf_dir):
 @query()
 def sentence_split(spark, sf_dir):
     """Sentences of a document; put together they are its text again."""
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.udf(sentences_of, "array<string>")("text")).alias("k", "sentence"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(by_row(sentences_of, "array<string>")("text")).alias("k", "sentence"))
 
 
 @query(sql("""SELECT page, island, string_agg(text, ' ' ORDER BY k) AS text, count(*) AS parts FROM (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (
@@ -422,11 +454,11 @@ def regroup_unmatched(spark, sf_dir):
     return groups.join(again, "doc_id", "left").select("doc_id", F.array_sort(left).alias("x")).where(F.size("x") > 0).select("doc_id", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("ords"))
 
 
-@query(sql("SELECT id, 'kept' AS state FROM v_points o WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v_points n WHERE n.id % 2 = 1 AND n.id < 200 AND n.logical_path = o.logical_path AND n.source_key <> o.source_key) AND NOT EXISTS (SELECT 1 FROM v_points n WHERE n.id % 2 = 1 AND n.id < 200 AND n.source_key = o.source_key AND n.revision <> o.revision) UNION ALL SELECT id, 'inserted' FROM v_points WHERE id % 2 = 1 AND id < 200", "v_points"))
+@query(sql("SELECT id, 'kept' AS state FROM v_points o WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v_points n WHERE n.id % 2 = 1 AND n.logical_path = o.logical_path AND n.source_key <> o.source_key) AND NOT EXISTS (SELECT 1 FROM v_points n WHERE n.id % 2 = 1 AND n.source_key = o.source_key AND n.revision <> o.revision) UNION ALL SELECT id, 'inserted' FROM v_points WHERE id % 2 = 1", "v_points"))
 def vector_upsert(spark, sf_dir):
     """New points are inserted; old ones of their path by another source, or of their source in another revision, go."""
     p = V.points(spark, sf_dir)
-    old, new = p.where("id % 2 = 0"), p.where("id % 2 = 1 AND id < 200")
+    old, new = p.where("id % 2 = 0"), p.where("id % 2 = 1")
     paths = new.groupBy("logical_path").agg(F.collect_set("source_key").alias("sources"))
     revs = new.groupBy("source_key").agg(F.collect_set("revision").alias("revs"))
     kept = old.join(paths, "logical_path", "left").join(revs, "source_key", "left")
@@ -443,30 +475,44 @@ def versions(spark, sf_dir) -> DataFrame:
 
 def matching_places(a, b):
     """Places of equal runs of two lists, as pairs."""
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    m = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False)
     return [(x.a + i, x.b + i) for x in m.get_matching_blocks() for i in range(x.size)]
 
 
 @query()
 def identical_units(spark, sf_dir):
     """Units that two versions share in order."""
-    pairs = F.udf(matching_places, "array<struct<old:int,new:int>>")
+    pairs = by_row(matching_places, "array<struct<old:int,new:int>>")
     return versions(spark, sf_dir).select("doc_id", F.explode(pairs("a", "b")).alias("p")).select("doc_id", "p.old", "p.new")
 
 
+#: Least characters of a front page, and from what likeness on it is a copy.
+FRONT_CHARS, FRONT_LIKE = 100, 0.85
+
+
+def first_page_text(units: DataFrame, name: str) -> DataFrame:
+    page = units.where(F.floor(F.col("ord") / 10) == 0).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("t"))
+    return page.select("doc_id", F.trim(F.regexp_replace(F.lower(F.array_join("t", " ")), r"\s+", " ")).alias(name))
+
+
 @query()
 def front_page_copy(spark, sf_dir):
-    """How like the first units of two versions are, where both are long enough."""
-    ratio = F.udf(lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 6), "double")
-    a, b = V.units(spark, sf_dir).where("ord = 1"), V.version2(spark, sf_dir).where("ord = 1").select("doc_id", F.col("text").alias("b"))
-    both = a.join(b, "doc_id").where("length(text) BETWEEN 100 AND 4000 AND length(b) BETWEEN 100 AND 4000")
-    return both.select("doc_id", ratio("text", "b").alias("ratio"))
+    """How like the first pages of two versions are, and whether one copies the other.
+
+    All units of page 1, in order, put together, white space and case folded; both are long enough, and hardly any sign of the later one is
+    Japanese."""
+    a, b = first_page_text(V.units(spark, sf_dir), "a"), first_page_text(V.version2(spark, sf_dir), "b")
+    both = a.join(b, "doc_id").where(F.least(F.length("a"), F.length("b")) >= FRONT_CHARS)
+    japanese = F.length(F.regexp_replace("b", "[^\u3040-\u30ff\u4e00-\u9fff]", ""))
+    like = by_row(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio(), "double")
+    both = both.where(japanese * 100 <= F.length("b")).select("doc_id", like("a", "b").alias("r"))
+    return both.select("doc_id", F.round("r", 6).alias("ratio"), (F.col("r") >= FRONT_LIKE).alias("copied"))
 
 
 @query()
 def line_diff(spark, sf_dir):
     """The unified difference of two versions."""
-    lines = F.udf(lambda a, b: list(difflib.unified_diff(a, b, lineterm="", n=0))[2:], "array<string>")
+    lines = by_row(lambda a, b: list(difflib.unified_diff(list(a), list(b), lineterm="", n=0))[2:], "array<string>")
     return versions(spark, sf_dir).select("doc_id", F.posexplode(lines("a", "b")).alias("k", "line"))
 
 

@@ -27,7 +27,7 @@ def cell_row_label(spark, sf_dir):
     return V.cells(spark, sf_dir).select("tab", "row", "col", F.first(F.when(F.col("text").rlike("[A-Za-z0-9]"), F.col("text")), True).over(w).alias("label"))
 
 
-@query(sql("SELECT c.tab, c.row, c.col, h.text AS label FROM v_cells c LEFT JOIN v_cells h ON h.tab = c.tab AND h.col = c.col AND h.header AND h.row = 0 AND h.row < c.row", *CELLS))
+@query(sql("SELECT tab, row, col, CASE WHEN row > 0 THEN max(CASE WHEN header AND row = 0 THEN text END) OVER (PARTITION BY tab, col) END AS label FROM v_cells", *CELLS))
 def cell_column_label(spark, sf_dir):
     """The header of a cell's column in the table's first row."""
     c = V.cells(spark, sf_dir)

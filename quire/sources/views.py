@@ -71,6 +71,48 @@ def translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).where((F.col("doc_id") * 31 + F.col("ord")) % 13 != 0).select("doc_id", "ord", "unit_id", "kind", F.concat(F.lit("T: "), F.col("text")).alias("text"))
 
 
+#: What stands around a unit's text, by the remainder of k by 14: one case for each rule on texts. # is k by 20, @ by 7, ~ by 28.
+MARKS = (
+    "\x07 {}.....", " #.@  {}", "Chapter # {}", "(@) {} (#) and ( ~ ) next", "Figure #.@: {}", "{} ........ ~", "2024-0@-~", '```json\n{{"id": #, "b": null}}\n```',
+    "![c #](img@.png) {} ![d](http://h/~.png)", "XV-@ ~", "../a%20b/#.png?q=@", "日本 語 の text # {}", "{}\t#", "目次",
+)
+
+
+def _mark_sql(i: int) -> str:
+    before, _, after = MARKS[i].partition("{}")
+    quoted = []
+    for part in ((before, after) if "{}" in MARKS[i] else (before,)):
+        part = part.replace("{{", "{").replace("}}", "}").replace("'", "''")
+        for c in "\x07\n\t":
+            part = part.replace(c, f"' || chr({ord(c)}) || '")
+        for c, n in (("#", 20), ("@", 7), ("~", 28)):
+            part = part.replace(c, f"' || (k % {n}) || '")
+        quoted.append(f"'{part}'")
+    return " || text || ".join(quoted)
+
+
+SQL["v_marked"] = "SELECT unit_id, doc_id, ord, k, CASE k % 14 " + " ".join(f"WHEN {i} THEN {_mark_sql(i)}" for i in range(len(MARKS))) + " END AS raw FROM (SELECT *, doc_id * 31 + ord AS k FROM v_units)"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with what rules on texts look for: numbers, leaders, captions, dates, fences, images, page references, paths."""
+    u = units(spark, sf_dir).select("unit_id", "doc_id", "ord", (F.col("doc_id") * 31 + F.col("ord")).alias("k"), "text")
+    raw = F.lit(None).cast("string")
+    for i, mark in reversed(list(enumerate(MARKS))):
+        before, _, after = mark.partition("{}")
+        parts = [F.lit(before.replace("{{", "{").replace("}}", "}"))] + ([F.lit("{}"), F.lit(after)] if "{}" in mark else [])
+        one = F.lit("")
+        for p in parts:
+            for c, n in (("#", 20), ("@", 7), ("~", 28)):
+                p = F.replace(p, F.lit(c), (F.col("k") % n).cast("string"))
+            one = F.concat(one, p)
+        one = F.replace(one, F.lit("{}"), F.col("text")) if "{}" in mark else one
+        raw = F.when(F.col("k") % 14 == i, one).otherwise(raw)
+    return u.select("unit_id", "doc_id", "ord", "k", raw.alias("raw"))
+
+
+MARKED = (*UNITS, "v_marked")
+
 SQL["v_rows"] = r"""SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem"""
 SQL["v_cells"] = r"""SELECT l_orderkey AS tab, r AS row, l_linenumber AS line, c AS col, false AS header, CASE c WHEN 0 THEN 'part ' || l_partkey WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 's' || l_suppkey END WHEN 2 THEN l_quantity::BIGINT::VARCHAR WHEN 3 THEN CASE WHEN l_partkey % 5 = 0 THEN '--' ELSE round(l_extendedprice)::BIGINT::VARCHAR END ELSE l_returnflag END AS text
 FROM v_rows, (SELECT unnest(range(5))::INT AS c) UNION ALL

@@ -1,14 +1,21 @@
 """Operators without SQL against plain Python."""
 
 import difflib
+import os
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire.functions import rules as R
 from quire.functions import text as T
 from quire.operators import aggregates, structures, validation
+from quire.plans import registry
+from quire.sources import views as V
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @settings(max_examples=60, deadline=None)
@@ -51,6 +58,120 @@ def test_matching_places():
 
 
 def test_ancestors(spark):
-    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(14)], "child long, parent long")
+    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(41)], "child long, parent long")
     got = {(r.child, r.up, r.d) for r in structures.ancestors(edges).collect()}
-    assert got == {(c, u, c - u) for c in range(14) for u in range(c)}
+    assert got == {(c, u, c - u) for c in range(41) for u in range(c)}
+    circle = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(9, 0), (7, 7)], "child long, parent long")
+    got = {(r.child, r.up) for r in structures.ancestors(circle).collect()}
+    assert got == {(c, u) for c in range(5) for u in range(5) if c != u} | {(9, u) for u in range(5)}
+
+
+def test_chunks_by_rule():
+    text = "Aa bb.\r\n\r\nCc dd.\rEe.\n\n" + "x" * 25 + " " + "y" * 9 + "\n\nLast. One."
+    assert T.chunks_of(text, 20, 8)[:2] == ["Aa bb.\n\nCc dd.\nEe.", "x" * 20]
+    assert all(len(c) <= 20 for c in T.chunks_of(text, 20, 8)) and "\r" not in "".join(T.chunks_of(text, 20, 8))
+    assert T.chunks_of("one\n\ntwo\n\nthree\n\nfour", 12, 6) == ["one\n\ntwo", "two\n\nthree", "four"]
+    assert T.chunks_of(None) == T.chunks_of(" \n") == []
+
+
+def value(spark, column, **fields):
+    names = list(fields)
+    df = spark.createDataFrame([tuple(fields.values())], ", ".join(f"{n} string" for n in names))
+    return df.select(column(*[F.col(n) for n in names]).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("rule", "cases"),
+    [
+        (R.table_value, {"7,43 4": "7,434", "1,79\n6": "1,796", "12 34": "12 34", "1,234 567": "1,234 567", "Budget 2005": "Budget 2005"}),
+        (R.row_label, {"Page _ 05": "page_05", "A - b 7": "a-b7"}),
+        (R.page_ref, {"V-1 2": "V-1 2", "V-12": "V-1 2", "III-1 0": "III-1 0", "III-10": "III-1 0", "1 2": None, "12": None}),
+        (R.heading_depth, {"1.2.3 Title": 3, "4) x": 1, "Title": None, "1.2Title": None}),
+        (R.date_value, {"2024-02-29": "2024-02-29", "2024/0230": None, "2024 . 12 . 01": "2024-12-01", "20241201": None}),
+        (R.unfenced, {' ```json\n{"a": 1}\n``` ': '{"a": 1}', "```json```": "", "{}": "{}", "```json``": "```json``"}),
+        (R.markdown_escaped, {"a*b_[c]": "a\\*b\\_\\[c\\]"}),
+        (R.fence, {"a ```` b ` c": "`" * 5, "none": "```"}),
+        (R.list_items, {"(1)(2) x( 1 ) 3(4)": ["1", "2"]}),
+        (R.without_extraction_spaces, {"日本 語\nの  word two": "日本語のword two"}),
+        (R.local_path, {"a%20b/c.png?x": "a b/c.png", "http://h/a": None, "//h/a": None, "../a": None, "a/../../b": None, "/etc": None}),
+        (R.token_count, {"12": 12, "-1": None, "1.5": None, "true": None}),
+    ],
+)
+def test_rules(spark, rule, cases):
+    for text, want in cases.items():
+        got = value(spark, rule, a=text)
+        assert (str(got) if rule is R.date_value and got else got) == want, (text, got)
+
+
+def test_section_and_position(spark):
+    for a, b, want in (("5 A", "3 B", 2), ("5.1", "1", 5), ("Abstract", "3", None)):
+        assert value(spark, R.section_distance, a=a, b=b) == want
+    assert value(spark, R.section_penalty, a="5 A", b="Abstract") == 0.3 and value(spark, R.section_penalty, a="Abstract", b="5") == 0.0
+    assert value(spark, R.position_penalty, a="0.1", b="none") == 0.0 and value(spark, R.position_penalty, a="0.0", b="5") == 3.0
+    schema = {"$defs": {"n": {"type": "object", "properties": {"c": {"type": "array", "items": {"$ref": "#/$defs/n"}}}}}, "anyOf": [{"$ref": "#/$defs/n"}, {"type": "string"}]}
+    assert R.schema_depth(schema) == 2
+
+
+def plain_batches(sizes, budget, most):
+    out, used, n, batch = [], 0, 0, 0
+    for s in sizes:
+        if n and (used + s > budget or n >= most):
+            batch, used, n = batch + 1, 0, 0
+        out.append(batch)
+        used, n = used + s, n + 1
+    return out
+
+
+@pytest.mark.parametrize(("name", "budget"), [("structure_batches", 4000), ("review_batches", 1500), ("split_target", 600)])
+def test_batches_by_hand(spark, name, budget):
+    units = [r.asDict() for r in V.units(spark, SF).orderBy("doc_id", "ord").collect()]
+    groups = defaultdict(list)
+    if name == "split_target":
+        large = {u["unit_id"] for u in units if len(u["text"].encode()) > 600}
+        for r in V.spans(spark, SF).orderBy("unit_id", "span_ord").collect():
+            if r.unit_id in large:
+                groups[r.unit_id].append((r.span_ord, len(r.source.encode())))
+    else:
+        run, last = 0, None
+        for u in units:
+            own = u["kind"] == "list_item"
+            run = 0 if last is None or last[0] != u["doc_id"] else run + (name == "review_batches" and own != last[1])
+            last = (u["doc_id"], own)
+            groups[f"{u['doc_id']}#{run}" if name == "review_batches" else u["doc_id"]].append((u["ord"], len(u["text"].encode())))
+    want = Counter()
+    for g, items in groups.items():
+        for b, (o, _) in zip(plain_batches([n for _, n in items], budget, 1000 if name == "split_target" else 64), items, strict=True):
+            want[(str(g), b)] += 1
+    got = {(str(r[0]), r.batch): r.units for r in registry.queries()[name](spark, SF).collect()}
+    assert got == dict(want)
+
+
+def test_front_page_and_lines(spark):
+    a, b = ({r.doc_id: r.t for r in df.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("t")).collect()} for df in (V.units(spark, SF), V.version2(spark, SF)))
+    got = defaultdict(list)
+    for r in structures.line_diff(spark, SF).orderBy("doc_id", "k").collect():
+        got[r.doc_id].append(r.line)
+    for d in sorted(b)[:60]:
+        assert got.get(d, []) == list(difflib.unified_diff(a[d], b[d], lineterm="", n=0))[2:]
+    pages = [defaultdict(list), defaultdict(list)]
+    for k, df in enumerate((V.units(spark, SF), V.version2(spark, SF))):
+        for r in df.orderBy("doc_id", "ord").collect():
+            if r.ord < 10:
+                pages[k][r.doc_id].append(r.text)
+    want = {}
+    for d in set(pages[0]) & set(pages[1]):
+        x, y = (" ".join(" ".join(p[d]).lower().split()) for p in pages)
+        if min(len(x), len(y)) >= 100:
+            want[d] = difflib.SequenceMatcher(None, x, y).ratio()
+    found = {r.doc_id: r for r in structures.front_page_copy(spark, SF).collect()}
+    assert set(found) == set(want) and all(abs(found[d].ratio - v) < 1e-6 and found[d].copied == (v >= 0.85) for d, v in want.items())
+
+
+def test_reading_order_by_hand(spark):
+    want = defaultdict(list)
+    for r in V.boxes(spark, SF).collect():
+        region = 0 if r.t < 36 else 2 if r.t > 324 else 1
+        column = min((abs(r.l - a), a) for a in (4, 204, 404))
+        want[r.page].append((region, column, r.t, r.l, r.id))
+    got = {(r.page, r.id): r.place for r in structures.reading_order(spark, SF).collect()}
+    assert got == {(p, x[-1]): k for p, rows in want.items() for k, x in enumerate(sorted(rows), 1)}
