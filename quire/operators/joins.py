@@ -92,16 +92,26 @@ def candidate_pool(spark, sf_dir):
     return near.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query"))).where("exact OR NOT any_exact").select("query", "candidate", "exact")
 
 
-@query(sql("""SELECT tab, row, c_row, tier FROM (SELECT *, min(tier) OVER (PARTITION BY tab, row) AS best FROM (SELECT a.tab, a.row, b.row AS c_row,
-CASE WHEN a.text = b.text AND a.row <> b.row THEN 1 WHEN b.row = a.row THEN 3 WHEN abs(a.row - b.row) = 1 THEN 4 ELSE 6 END AS tier
-FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.col = 4 AND b.col = 4 AND NOT a.header AND NOT b.header)) WHERE tier = best""", *CELLS))
+LABELLED = r"""SELECT c.tab, c.row, c.col, c.tab % 3 AS section, l.label, CASE WHEN c.text <> '' THEN lead(l.label) OVER (PARTITION BY c.tab, c.col ORDER BY c.row) END AS below FROM v_cells c JOIN (SELECT tab, row, regexp_replace(lower(text), '\s+(\d)', '\1', 'g') AS label FROM v_cells WHERE col = 0 AND NOT header) l USING (tab, row) WHERE c.col IN (1, 4) AND NOT c.header"""
+
+
+@query(sql(f"""SELECT tab, row, col, c_row, c_col, tier FROM (SELECT *, min(tier) OVER (PARTITION BY tab, row, col) AS best FROM (SELECT a.tab, a.row, a.col, b.row AS c_row, b.col AS c_col,
+CASE WHEN a.label = b.label AND a.col = b.col THEN 1 WHEN a.label = b.label THEN 2 WHEN a.below = b.below AND a.col = b.col THEN 3 WHEN a.col = b.col THEN 4 WHEN a.section = b.section THEN 5 ELSE 6 END AS tier
+FROM ({LABELLED}) a JOIN (SELECT * FROM ({LABELLED}) WHERE (tab * 7 + row) % 3 <> 0) b ON a.tab = b.tab)) WHERE tier = best""", *CELLS))
 def candidate_tier(spark, sf_dir):
-    """Candidates by tiers: same label, same row, next row, any; only the best tier of a query stays."""
-    c = V.cells(spark, sf_dir).where("col = 4 AND NOT header").select("tab", "row", "text")
-    pairs = c.join(c.select("tab", F.col("row").alias("c_row"), F.col("text").alias("c_text")), "tab")
-    tier = F.when((F.col("text") == F.col("c_text")) & (F.col("row") != F.col("c_row")), 1).when(F.col("row") == F.col("c_row"), 3).when(F.abs(F.col("row") - F.col("c_row")) == 1, 4).otherwise(6)
-    pairs = pairs.withColumn("tier", tier)
-    return pairs.withColumn("best", F.min("tier").over(Window.partitionBy("tab", "row"))).where("tier = best").select("tab", "row", "c_row", "tier")
+    """Candidates of a cell among those of the other version of its table, by tiers; only its best tier stays.
+
+    1 same row label and column, 2 same row label, 3 same label below and same column, 4 same column, 5 same section, 6 any."""
+    c = V.cells(spark, sf_dir).where("NOT header")
+    label = c.where("col = 0").select("tab", "row", F.regexp_replace(F.lower("text"), r"\s+(\d)", "$1").alias("label"))
+    cells = c.where("col IN (1, 4)").join(label, ["tab", "row"])
+    below = F.when(F.col("text") != "", F.lead("label").over(Window.partitionBy("tab", "col").orderBy("row")))
+    cells = cells.select("tab", "row", "col", (F.col("tab") % 3).alias("section"), "label", below.alias("below"))
+    other = cells.where("(tab * 7 + row) % 3 <> 0").select("tab", *[F.col(x).alias(f"c_{x}") for x in ("row", "col", "section", "label", "below")])
+    same = lambda x: F.col(x) == F.col(f"c_{x}")
+    tier = F.when(same("label") & same("col"), 1).when(same("label"), 2).when(same("below") & same("col"), 3).when(same("col"), 4).when(same("section"), 5).otherwise(6)
+    pairs = cells.join(other, "tab").withColumn("tier", tier)
+    return pairs.withColumn("best", F.min("tier").over(Window.partitionBy("tab", "row", "col"))).where("tier = best").select("tab", "row", "col", "c_row", "c_col", "tier")
 
 
 @query(sql("SELECT a.tab, a.row, a.col, string_agg(b.text, ' | ' ORDER BY b.col) AS siblings FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.row = b.row AND a.col <> b.col WHERE b.text <> '' GROUP BY 1, 2, 3", *CELLS))
@@ -121,16 +131,24 @@ def adjacent_row_label(spark, sf_dir):
     return c.drop("text").join(c.select("tab", (F.col("line") + 1).alias("line"), F.col("text").alias("above")), ["tab", "line"])
 
 
-GLOSS = "SELECT item_id, lower(split_part(text, ' ', 1)) AS term FROM benchmark WHERE length(split_part(text, ' ', 1)) > 5 AND regexp_matches(split_part(text, ' ', 1), '^[A-Za-z]+$')"
+GLOSS = """SELECT item_id, lower(CASE WHEN regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+( |$)') THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) WHEN regexp_matches(text, '^[A-Za-z]{6,}( |$)') THEN split_part(text, ' ', 1) END) AS term FROM benchmark"""
+GRAMS = """SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM (SELECT doc_id, string_split(unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?: [a-z0-9]+)*')), ' ') AS w FROM documents)"""
 
 
-@query(sql(f"SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) JOIN ({GLOSS}) g ON g.term = word", "v_lines"))
+@query(sql(f"SELECT DISTINCT doc_id, item_id FROM ({GRAMS}) JOIN ({GLOSS}) g ON g.term = gram", "v_lines"))
 def glossary_match(spark, sf_dir):
-    """Glossary terms that occur in a document as whole words, whatever their case: an equi-join on words."""
-    first = F.get(F.split("text", " "), F.lit(0))
-    g = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(first).alias("word"), first.alias("raw")).where((F.length("raw") > 5) & F.col("raw").rlike("^[A-Za-z]+$")).drop("raw")
-    words = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    return words.join(g, "word").select("doc_id", "item_id").distinct()
+    """Glossary terms of one word or two that occur in a document, whatever their case, between signs that are no ASCII letter or digit.
+
+    An equi-join on the words, and pairs of words one space apart, of a document."""
+    t = F.col("text")
+    two = F.concat_ws(" ", F.get(F.split(t, " "), F.lit(0)), F.get(F.split(t, " "), F.lit(1)))
+    term = F.when(t.rlike("^[A-Za-z]+ [A-Za-z]+( |$)"), two).when(t.rlike("^[A-Za-z]{6,}( |$)"), F.get(F.split(t, " "), F.lit(0)))
+    g = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(term).alias("gram")).where("gram IS NOT NULL")
+    runs = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+(?: [a-z0-9]+)*"), F.lit(0)))).alias("run"))
+    words = runs.select("doc_id", F.split("run", " ").alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    grams = words.select("doc_id", F.explode(F.concat("w", pairs)).alias("gram"))
+    return grams.join(g, "gram").select("doc_id", "item_id").distinct()
 
 
 @query(sql("""SELECT a.id, b.id AS other FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b""", "v_boxes"))

@@ -109,13 +109,25 @@ def bbox_conflicts(spark, sf_dir):
     return V.boxes(spark, sf_dir).groupBy("text", "page").agg(F.count_distinct("l", "t").alias("boxes")).where("boxes > 1")
 
 
-@query(sql("SELECT g.tab, g.row, g.col, coalesce(c.text, '') AS text, c.text IS NULL AS filled FROM (SELECT tab, unnest(range(max(line) + 1)) AS row, c AS col FROM v_cells, (SELECT unnest(range(5)) AS c) GROUP BY tab, c) g LEFT JOIN (SELECT tab, line, col, min(text) AS text FROM v_cells GROUP BY 1, 2, 3) c ON c.tab = g.tab AND c.line = g.row AND c.col = g.col", *CELLS))
+SPANNED = "SELECT tab, row, col, text, row + CASE WHEN col = 0 AND row % 4 = 1 THEN 1 ELSE 0 END AS to_row, col + CASE WHEN col = 1 AND row % 3 = 1 THEN 1 ELSE 0 END AS to_col FROM v_cells WHERE NOT (col = 3 AND row % 5 = 2)"
+
+
+@query(sql(f"""SELECT g.tab, g.row, g.col, coalesce(c.text, '') AS text, coalesce(c.cells, 0) AS cells, coalesce(c.texts, 0) > 1 AS conflict FROM (SELECT tab, row, unnest(range(n_cols))::INT AS col FROM (SELECT tab, unnest(range(max(to_row) + 1))::INT AS row, max(to_col) + 1 AS n_cols FROM ({SPANNED}) GROUP BY 1)) g
+LEFT JOIN (SELECT tab, r AS row, c AS col, arg_min(text, row * 1000 + col) AS text, count(*) AS cells, count(DISTINCT text) AS texts FROM (SELECT *, unnest(generate_series(col, to_col)) AS c FROM (SELECT *, unnest(generate_series(row, to_row)) AS r FROM ({SPANNED}))) GROUP BY 1, 2, 3) c ON c.tab = g.tab AND c.row = g.row AND c.col = g.col""", *CELLS))
 def grid_expand(spark, sf_dir):
-    """A full grid of rows and columns; places without a cell are empty, colliding cells become one."""
-    c = V.cells(spark, sf_dir)
-    grid = c.groupBy("tab").agg(F.max("line").alias("n")).select("tab", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("row")).select("tab", "row", F.explode(F.array(*map(F.lit, range(5)))).alias("col"))
-    have = c.groupBy("tab", F.col("line").alias("row"), "col").agg(F.min("text").alias("t"))
-    return grid.join(have, ["tab", "row", "col"], "left").select("tab", "row", "col", F.coalesce("t", F.lit("")).alias("text"), F.col("t").isNull().alias("filled"))
+    """A full grid of a table's rows and columns, merged cells in each of their places; places without a cell are empty.
+
+    Where cells meet, the one that begins first stands, and a conflict is marked if their texts differ. One shuffle, by table."""
+    row, col = F.col("row"), F.col("col")
+    c = V.cells(spark, sf_dir).where("NOT (col = 3 AND row % 5 = 2)").repartition("tab")
+    rows = F.sequence(row, row + F.when((col == 0) & (row % 4 == 1), 1).otherwise(0))
+    cols = F.sequence(col, col + F.when((col == 1) & (row % 3 == 1), 1).otherwise(0))
+    places = c.select("tab", "row", "col", "text", F.explode(rows).alias("r"), cols.alias("cs")).select("tab", "row", "col", "text", "r", F.explode("cs").alias("c"))
+    each = places.groupBy("tab", "r", "c").agg(F.min_by("text", F.struct("row", "col")).alias("text"), F.count(F.lit(1)).alias("cells"), (F.min("text") != F.max("text")).alias("conflict"))
+    whole = each.groupBy("tab").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("r", "c"), F.struct("text", "cells", "conflict")))).alias("m"), F.max("r").alias("rs"), F.max("c").alias("cs"))
+    grid = whole.select("tab", "m", "cs", F.explode(F.sequence(F.lit(0), F.col("rs"))).alias("row")).select("tab", "m", "row", F.explode(F.sequence(F.lit(0), F.col("cs"))).alias("col"))
+    at = F.try_element_at("m", F.struct(F.col("row").alias("r"), F.col("col").alias("c")))
+    return grid.select("tab", "row", "col", at.alias("x")).select("tab", "row", "col", F.coalesce("x.text", F.lit("")).alias("text"), F.coalesce("x.cells", F.lit(0)).cast("long").alias("cells"), F.coalesce("x.conflict", F.lit(False)).alias("conflict"))
 
 
 @query()
@@ -343,6 +355,35 @@ def split_target(spark, sf_dir):
     return batches(s.join(large, "doc_id", "left_semi"), 600, 1000).withColumnRenamed("doc_id", "unit_id")
 
 
+def pieces(units: DataFrame, spans: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, ord, piece, bytes, spans, oversize): units within the budget whole (piece 0), larger ones cut at spans.
+
+    A single span over the budget is a piece of its own, and marked: no cut keeps it within."""
+    small = units.where(F.octet_length("text") <= budget).select("doc_id", "ord", F.lit(0).alias("piece"), F.octet_length("text").cast("long").alias("bytes"), F.lit(0).cast("long").alias("spans"))
+    large = units.where(F.octet_length("text") > budget).select("unit_id", "doc_id", "ord")
+    s = spans.select("unit_id", "span_ord", F.octet_length("source").alias("n")).join(large, "unit_id")
+    g = s.groupBy("doc_id", "ord").agg(F.sort_array(F.collect_list(F.struct(F.col("span_ord").cast("int").alias("ord"), "n"))).alias("u"))
+    each = g.select("doc_id", "ord", F.explode(F.zip_with("u", packed(F.col("u"), lambda x: x["n"], budget, 1 << 30), lambda x, y: F.struct(y["batch"].alias("piece"), x["n"].alias("n")))).alias("p"))
+    cut = each.groupBy("doc_id", "ord", F.col("p.piece").alias("piece")).agg(F.sum("p.n").alias("bytes"), F.count(F.lit(1)).alias("spans"))
+    return small.unionByName(cut).withColumn("oversize", F.col("bytes") > budget)
+
+
+@query()
+def unit_pieces(spark, sf_dir):
+    """Units in pieces of at most 600 bytes."""
+    return pieces(V.units(spark, sf_dir), V.spans(spark, sf_dir), 600)
+
+
+@query()
+def piece_batches(spark, sf_dir):
+    """Pieces of units in batches of at most 64 and 1,500 bytes, in order; none is over budget but for a single oversize span."""
+    p = pieces(V.units(spark, sf_dir), V.spans(spark, sf_dir), 1500)
+    g = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "piece", F.col("bytes").alias("n")))).alias("s"))
+    u = F.transform("s", lambda x, i: F.struct(i.alias("ord"), x["n"].alias("n")))
+    each = g.select("doc_id", F.explode(F.zip_with("s", packed(u, lambda x: x["n"], 1500, 64), lambda x, y: F.struct(y["batch"].alias("batch"), x["n"].alias("n")))).alias("b"))
+    return each.groupBy("doc_id", F.col("b.batch").alias("batch")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("b.n").alias("bytes"))
+
+
 @query(sql("SELECT unit_id, max(used)::BIGINT AS bytes FROM (SELECT unit_id, sum(strlen(source)) OVER (PARTITION BY unit_id ORDER BY span_ord ROWS UNBOUNDED PRECEDING) AS used FROM v_spans) WHERE used <= 200 GROUP BY 1", *SPANS))
 def sentence_prefix(spark, sf_dir):
     """The longest run of whole sentences from the start within 200 bytes."""

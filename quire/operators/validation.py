@@ -36,6 +36,44 @@ def lint_report(spark, sf_dir):
     return violations(u, {r: F.expr(e) for r, e in LINT.items()}, "unit_id")
 
 
+BLOCK_LINT = {
+    "page_order": "prev_page > page",
+    "block_order": "prev_place >= place",
+    "duplicate_id": "same_id > 1",
+    "missing_content": "kind NOT IN ('figure', 'table', 'horizontal_rule') AND content IS NULL",
+    "missing_level": "kind = 'heading' AND level IS NULL",
+    "missing_alert_kind": "kind = 'alert' AND alert_kind IS NULL",
+    "missing_image": "kind = 'figure' AND image IS NULL",
+    "missing_cells": "kind = 'table' AND n_cells = 0",
+    "overlapping_cell": "kind = 'table' AND n_cells > n_places",
+    "empty_unit": "trim(content) = ''",
+}
+BLOCK_FIELDS = {
+    "id": "CASE WHEN k % 23 = 0 THEN doc_id || '/first' ELSE unit_id END",
+    "kind": "CASE k % 9 WHEN 0 THEN 'heading' WHEN 1 THEN 'figure' WHEN 2 THEN 'table' WHEN 3 THEN 'alert' WHEN 4 THEN 'horizontal_rule' WHEN 5 THEN 'list_item' WHEN 6 THEN 'formula' ELSE 'paragraph' END",
+    "page": "page - CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END",
+    "place": "ord - CASE WHEN k % 19 = 0 THEN 1 ELSE 0 END",
+    "content": "CASE WHEN k % 17 = 0 THEN NULL WHEN k % 13 = 0 THEN ' ' ELSE text END",
+    "level": "CASE WHEN k % 2 = 0 THEN k % 6 + 1 END",
+    "alert_kind": "CASE WHEN k % 4 <> 0 THEN 'note' END",
+    "image": "CASE WHEN k % 5 <> 0 THEN 'i' || k END",
+    "n_cells": "k % 4",
+    "n_places": "CASE WHEN k % 7 = 0 THEN k % 4 - 1 ELSE k % 4 END",
+}
+_BLOCKS = "SELECT doc_id, ord, unit_id, " + ", ".join(f"{e} AS {n}" for n, e in BLOCK_FIELDS.items()) + " FROM (SELECT *, doc_id * 31 + ord AS k FROM v_units)"
+_LINKED = f"SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS prev_page, lag(place) OVER (PARTITION BY doc_id, page ORDER BY ord) AS prev_place, count(*) OVER (PARTITION BY doc_id, id) AS same_id FROM ({_BLOCKS})"
+
+
+@query(sql(" UNION ALL ".join(f"SELECT unit_id, '{r}' AS rule FROM ({_LINKED}) WHERE {e}" for r, e in BLOCK_LINT.items()), *UNITS))
+def lint_blocks(spark, sf_dir):
+    """Blocks that break a rule of publication: order of pages and blocks, ids, and what each kind must have."""
+    u = V.units(spark, sf_dir).withColumn("k", F.col("doc_id") * 31 + F.col("ord"))
+    b = u.select("doc_id", "ord", "unit_id", *[F.expr(e).alias(n) for n, e in BLOCK_FIELDS.items()])
+    b = b.withColumn("prev_page", F.lag("page").over(Window.partitionBy("doc_id").orderBy("ord"))).withColumn("prev_place", F.lag("place").over(Window.partitionBy("doc_id", "page").orderBy("ord")))
+    b = b.withColumn("same_id", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "id")))
+    return violations(b, {r: F.coalesce(F.expr(e), F.lit(False)) for r, e in BLOCK_LINT.items()}, "unit_id")
+
+
 @query(sql("SELECT event_id, unnest(list_filter([CASE WHEN n <> 1 THEN 'not once' END, CASE WHEN status = 'failed' AND tokens > 100 THEN 'kind and side' END, CASE WHEN tokens % 10 = 0 THEN 'empty summary' END, CASE WHEN round > 15 THEN 'unknown id' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT *, count(*) OVER (PARTITION BY task, round, operation) AS n FROM v_calls)", "v_calls"))
 def diff_violations(spark, sf_dir):
     """Each selected id exactly once, kinds that fit their sides, summaries that aren't empty."""

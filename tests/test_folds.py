@@ -175,3 +175,32 @@ def test_reading_order_by_hand(spark):
         want[r.page].append((region, column, r.t, r.l, r.id))
     got = {(r.page, r.id): r.place for r in structures.reading_order(spark, SF).collect()}
     assert got == {(p, x[-1]): k for p, rows in want.items() for k, x in enumerate(sorted(rows), 1)}
+
+
+def test_pieces_by_hand(spark):
+    units = V.units(spark, SF).orderBy("doc_id", "ord").collect()
+    spans = defaultdict(list)
+    for r in V.spans(spark, SF).orderBy("unit_id", "span_ord").collect():
+        spans[r.unit_id].append(len(r.source.encode()))
+
+    def cut(budget):
+        for u in units:
+            size = len(u.text.encode())
+            if size <= budget:
+                yield u.doc_id, u.ord, 0, size, 0
+            else:
+                at, sizes = plain_batches(spans[u.unit_id], budget, 1 << 30), spans[u.unit_id]
+                for b in sorted(set(at)):
+                    own = [n for x, n in zip(at, sizes, strict=True) if x == b]
+                    yield u.doc_id, u.ord, b, sum(own), len(own)
+
+    got = sorted((r.doc_id, r.ord, r.piece, r.bytes, r.spans, r.oversize) for r in structures.unit_pieces(spark, SF).collect())
+    assert got == sorted((*x, x[3] > 600) for x in cut(600)) and any(x[2] for x in got)
+    by = defaultdict(list)
+    for d, *_, size, _n in cut(1500):
+        by[d].append(size)
+    want = Counter()
+    for d, sizes in by.items():
+        for b, n in zip(plain_batches(sizes, 1500, 64), sizes, strict=True):
+            want[d, b] += n
+    assert {(r.doc_id, r.batch): r.bytes for r in structures.piece_batches(spark, SF).collect()} == dict(want)
