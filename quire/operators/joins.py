@@ -144,8 +144,8 @@ def glossary_match(spark, sf_dir):
     two = F.concat_ws(" ", F.get(F.split(t, " "), F.lit(0)), F.get(F.split(t, " "), F.lit(1)))
     term = F.when(t.rlike("^[A-Za-z]+ [A-Za-z]+( |$)"), two).when(t.rlike("^[A-Za-z]{6,}( |$)"), F.get(F.split(t, " "), F.lit(0)))
     g = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(term).alias("gram")).where("gram IS NOT NULL")
-    runs = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+(?: [a-z0-9]+)*"), F.lit(0)))).alias("run"))
-    words = runs.select("doc_id", F.split("run", " ").alias("w"))
+    runs = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9 ]+| {2,}"))).alias("run"))  # a repeated group would recurse over a long text
+    words = runs.select("doc_id", F.filter(F.split("run", " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
     grams = words.select("doc_id", F.explode(F.concat("w", pairs)).alias("gram"))
     return grams.join(g, "gram").select("doc_id", "item_id").distinct()
