@@ -6,7 +6,7 @@ rerun, or another engine, gets the same counts. All copies are then dealt out by
 (seed, doc_id, copy), which is the global shuffle. DataFrame functions only.
 
 Cases: a null source is a source of its own; a null doc_id hashes as the empty text; a null text
-has size 0; repeated rows each get the same count; an empty table gives an empty one; all columns
+has size 0, a very long one counts by its characters; repeated rows each get the same count; an empty table gives an empty one; all columns
 of the input are kept, and the new ones take a leading underscore where a name is taken."""
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, table, written
 
 TEMPERATURE, SEED = 0.5, "mix-1"
-#: Up to so many sources their rates are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Up to so many numbers in all, 32 MB, the sources' distributions are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_NUMBERS = 4_000_000
 #: A higher rate is a sum of equal Poisson counts of at most this rate, each with its own hash.
 MOST_RATE = 1_000.0
 
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, epochs: flo
     table_ = written(rates(docs, weights, epochs=epochs, temperature=temperature, source=source, text=text), "rates")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int")
     small = table_.withColumn("p", parts).select(F.col("src").alias(c_src), F.col("rate").alias(c_rate), F.col("p").alias(c_parts), F.expr(distribution("(rate / p)")).alias(c_cdf))
-    if table_.count() <= BROADCAST_SOURCES:
+    if (small.agg(F.sum(F.size(c_cdf))).first()[0] or 0) <= BROADCAST_NUMBERS:
         small = F.broadcast(small)
     joined = docs.join(small, docs[source].eqNullSafe(small[c_src]), "inner")
     one = lambda u: F.size(F.filter(c_cdf, lambda c: c <= u))  # noqa: E731  inverts the distribution at u

@@ -19,7 +19,7 @@ compared in blocks by size, as similar sets are of like sizes: a set goes to blo
 the limit of this path; within a block work follows the probes. Candidates leave as spanning forests, and within their
 components exact similarities are taken until a member is reached.
 
-Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a
+Cases: a null or wordless text has fingerprint zero and is linked like any other; a very long text is hashed in slices, whole; fewer words than a
 shingle form one; null doc_ids keep their row (a component of only such has a null id); repeated rows
 share a component; an empty table gives an empty one; other columns are kept by deduplicate()."""
 

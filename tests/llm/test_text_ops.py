@@ -1,6 +1,7 @@
 """Operators on texts against plain Python over a small table with awkward rows."""
 
 import math
+import os
 import zlib
 from collections import Counter
 from itertools import pairwise
@@ -264,3 +265,23 @@ def test_misspelled_words_of_a_stem(spark):
     m = toxicity.Matcher(terms, stems, exact)
     assert m.match("blorgasting")[1] == 0 and all(m.match(w)[1] == 1 for w in ("bxorgast", "lorgasts", "bxorgaster"))
     assert m.match("plain") is None and toxicity.features("a bxorgast", m)[2] > 0
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Learned from other rows only, the score tells most held-out labelled rows apart."""
+    sf = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    rows = [(r.predicted, truth[r.doc_id], r.score) for r in toxicity.op4_levenshtein_lexicon(spark, sf).where("held_out").collect() if r.doc_id in truth]
+    assert len(rows) > 20 and sum(p == t for p, t, _ in rows) >= 0.9 * len(rows)
+    assert all(0 <= s <= 1 and p == int(s >= toxicity.REJECT) for p, _, s in rows)
+
+
+def test_toxic_windows_by_hand():
+    m = toxicity.Matcher({"idiot": 4.0, "scum": 3.0}, {"loath": 2.0})
+    log = np.log1p
+    cases = {
+        None: (0, 0, 0), "plain words only": (0, 0, 0), "an idiot": (log(4), 0, 0), "you idiot": (log(5), 0, 0), "he said idiot": (0, log(4), 0),
+        'the word "idiot" here': (0, log(4), 0), "an idoit idiott": (log(0.8 * 4), 0, log(4)), "loathsome": (log(2), 0, 0), "skum": (0, 0, 0), "1d10t": (log(4), 0, 0),
+    }
+    for text, want in cases.items():
+        assert np.allclose(toxicity.features(text, m), want), (text, toxicity.features(text, m))
