@@ -2,7 +2,11 @@
 
 toxic documents go; one document of each SimHash component stays; personal data get surrogates;
 sources are repeated to target weights; what is left is packed into sequences. Each stage takes
-(spark, docs, sf_dir) and all rows its predecessor kept. All but the last return the columns of docs."""
+(spark, docs, sf_dir) and all rows its predecessor kept. All but the last return the columns of docs.
+
+Cases: a null or empty text isn't toxic, is a near copy of the other wordless texts, holds no personal data, counts as size 0 in its source's
+weight and packs as its end id; a null doc_id or source is a value like any other; repeated rows are one near copy, or, further on, rows each;
+a very long text is read whole in each stage; an empty table runs through; columns beyond those named are kept up to packing."""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, packing, pii, simhash, toxicity
-from quire.llm.common import scratch, table
+from quire.llm.common import dropped, table, written
 
 #: The rule for near copies: words of a shingle, least Jaccard similarity.
 SHINGLE, SIMILAR = 5, 0.8
@@ -60,10 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what each returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = scratch(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(docs)  # nothing reads the stage before it any more
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
