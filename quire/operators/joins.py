@@ -102,9 +102,8 @@ def candidate_tier(spark, sf_dir):
     """Candidates of a cell among those of the other version of its table, by tiers; only its best tier stays.
 
     1 same row label and column, 2 same row label, 3 same label below and same column, 4 same column, 5 same section, 6 any."""
-    c = V.cells(spark, sf_dir).where("NOT header")
-    label = c.where("col = 0").select("tab", "row", F.regexp_replace(F.lower("text"), r"\s+(\d)", "$1").alias("label"))
-    cells = c.where("col IN (1, 4)").join(label, ["tab", "row"])
+    label = F.max(F.when(F.col("col") == 0, F.regexp_replace(F.lower("text"), r"\s+(\d)", "$1"))).over(Window.partitionBy("tab", "row"))
+    cells = V.cells(spark, sf_dir).where("NOT header").repartition("tab").withColumn("label", label).where("col IN (1, 4)")  # one shuffle, by table
     below = F.when(F.col("text") != "", F.lead("label").over(Window.partitionBy("tab", "col").orderBy("row")))
     cells = cells.select("tab", "row", "col", (F.col("tab") % 3).alias("section"), "label", below.alias("below"))
     other = cells.where("(tab * 7 + row) % 3 <> 0").select("tab", *[F.col(x).alias(f"c_{x}") for x in ("row", "col", "section", "label", "below")])
