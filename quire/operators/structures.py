@@ -500,11 +500,10 @@ def vector_upsert(spark, sf_dir):
     """New points are inserted; old ones of their path by another source, or of their source in another revision, go."""
     p = V.points(spark, sf_dir)
     old, new = p.where("id % 2 = 0"), p.where("id % 2 = 1")
-    paths = new.groupBy("logical_path").agg(F.collect_set("source_key").alias("sources"))
-    revs = new.groupBy("source_key").agg(F.collect_set("revision").alias("revs"))
-    kept = old.join(paths, "logical_path", "left").join(revs, "source_key", "left")
-    other = lambda name, own: F.coalesce(F.exists(name, lambda x: x != F.col(own)), F.lit(False))
-    kept = kept.where(~other("sources", "source_key") & ~other("revs", "revision")).select("id", F.lit("kept").alias("state"))
+    ends = lambda by, c: new.groupBy(by).agg(F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"))
+    kept = old.join(ends("logical_path", "source_key"), "logical_path", "left").join(ends("source_key", "revision"), "source_key", "left")
+    other = lambda c: F.coalesce((F.col(f"{c}_low") != F.col(c)) | (F.col(f"{c}_high") != F.col(c)), F.lit(False))  # noqa: E731  one value other than c is the least or the largest
+    kept = kept.where(~other("source_key") & ~other("revision")).select("id", F.lit("kept").alias("state"))
     return kept.unionByName(new.select("id", F.lit("inserted").alias("state")))
 
 

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from quire.operators import aggregates, joins, projections, structures, texts, validation, windows  # noqa: F401
+from quire.operators import agent, aggregates, joins, parts, projections, structures, texts, validation, windows  # noqa: F401
 from quire.streaming import calls  # noqa: F401
