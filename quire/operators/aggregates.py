@@ -196,10 +196,15 @@ def run_history(spark, sf_dir):
     return last.select("task", "m.status", F.col("m.ts").alias("updated_at"), "m.event_id").orderBy(F.desc("updated_at"), F.desc("event_id")).limit(100)
 
 
-@query(sql("SELECT path, size, sha FROM v_files WHERE lower(path) LIKE '%.pdf'", "v_files"))
+LISTED = "SELECT *, 'in/' || lower(replace(path, '.PDF', '.pdf')) AS logical, doc_id % 29 = 0 AS symlink, doc_id % 31 = 0 AS own_output FROM v_files"
+
+
+@query(sql(f"SELECT path, size, sha, logical, count(*) OVER (PARTITION BY logical) > 1 AS duplicate FROM ({LISTED}) WHERE lower(path) LIKE '%.pdf' AND NOT symlink AND NOT own_output", "v_files"))
 def source_listing(spark, sf_dir):
-    """Accepted files of a listing."""
-    return V.files(spark, sf_dir).where(F.lower("path").endswith(".pdf")).select("path", "size", "sha")
+    """Accepted files of a listing (no links, nothing of the output's folder), and whether two share a logical path."""
+    f = V.files(spark, sf_dir).withColumn("logical", F.concat(F.lit("in/"), F.lower(F.replace("path", F.lit(".PDF"), F.lit(".pdf")))))
+    kept = f.where(F.lower("path").endswith(".pdf")).where("doc_id % 29 <> 0 AND doc_id % 31 <> 0")
+    return kept.select("path", "size", "sha", "logical", (F.count(F.lit(1)).over(Window.partitionBy("logical")) > 1).alias("duplicate"))
 
 
 @query(sql("SELECT split_part(path, '/', 1) AS root, split_part(path, '/', 2) AS name, sha, size FROM v_files", "v_files"))
@@ -222,11 +227,13 @@ def upload_name_checks(spark, sf_dir):
     return f.groupBy(F.lower(F.split("path", "/")[1]).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("path").rlike("^[A-Za-z0-9/._-]+$")).alias("unsafe"), (F.count(F.lit(1)) > 1).alias("duplicate"))
 
 
-@query(sql("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page, ord) AS text FROM v_units GROUP BY 1", *UNITS))
+@query(sql("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page, cell, ord) AS text FROM (SELECT doc_id, page, ord % 4 = 3 AS cell, text, min(ord) AS ord FROM v_units GROUP BY 1, 2, 3, 4, CASE WHEN ord % 4 = 3 THEN 0 ELSE ord END) GROUP BY 1", *UNITS))
 def extracted_text(spark, sf_dir):
-    """Texts of parts put together in their order."""
-    parts = F.sort_array(F.collect_list(F.struct("page", "ord", "text")))
-    return V.units(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+    """Texts of parts (pages) put together in their order: in each its texts, then every different cell once."""
+    cell = F.col("ord") % 4 == 3
+    once = V.units(spark, sf_dir).groupBy("doc_id", "page", cell.alias("cell"), "text", F.when(cell, 0).otherwise(F.col("ord")).alias("own")).agg(F.min("ord").alias("ord"))
+    parts = F.sort_array(F.collect_list(F.struct("page", "cell", "ord", "text")))
+    return once.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
 
 
 @query("SELECT lower(trim(split_part(text, ' ', 1))) AS term, min(item_id) AS item_id, count(*) AS n FROM benchmark GROUP BY 1")

@@ -78,18 +78,18 @@ def image_to_cell(spark, sf_dir):
     return images.join(columns, "page").where("x2 BETWEEN x_from AND x_to").join(rows, "page").where("y2 BETWEEN y_from AND y_to").select("id", "column_id", "row_id")
 
 
-POOL_SQL = """SELECT * FROM (SELECT a.unit_id AS query, b.unit_id AS candidate, a.kind = b.kind AS exact, max(a.kind = b.kind) OVER (PARTITION BY a.unit_id) AS any_exact
+POOL_SQL = """SELECT * FROM (SELECT a.unit_id AS query, b.unit_id AS candidate, a.kind = b.kind AS exact, max(a.kind = b.kind) OVER (PARTITION BY a.unit_id) AS any_exact, len(string_split(b.text, '. ')) >= 8 AS merged
 FROM v_units a JOIN v_tr b ON a.doc_id = b.doc_id AND abs(a.ord - b.ord) <= 3 AND (a.kind = b.kind OR (a.kind = 'heading') = (b.kind = 'heading')))"""
 
 
-@query(sql(f"SELECT query, candidate, exact FROM ({POOL_SQL}) WHERE exact OR NOT any_exact", *UNITS, "v_tr"))
+@query(sql(f"SELECT query, candidate, exact FROM ({POOL_SQL}) WHERE exact OR merged OR NOT any_exact", *UNITS, "v_tr"))
 def candidate_pool(spark, sf_dir):
-    """Candidates of a compatible kind nearby; those of the same kind only, where there are any."""
+    """Candidates of a compatible kind nearby; where there are any of the same kind, only these and merged units (of eight spans or more)."""
     a = V.units(spark, sf_dir).select("doc_id", F.col("unit_id").alias("query"), "kind", "ord")
-    b = V.translation(spark, sf_dir).select("doc_id", F.col("unit_id").alias("candidate"), F.col("kind").alias("c_kind"), F.col("ord").alias("c_ord"))
+    b = V.translation(spark, sf_dir).select("doc_id", F.col("unit_id").alias("candidate"), F.col("kind").alias("c_kind"), F.col("ord").alias("c_ord"), (F.size(F.split("text", r"\. ")) >= 8).alias("merged"))
     exact = F.col("kind") == F.col("c_kind")
     near = a.join(b, "doc_id").where((F.abs(F.col("ord") - F.col("c_ord")) <= 3) & (exact | ((F.col("kind") == "heading") == (F.col("c_kind") == "heading")))).withColumn("exact", exact)
-    return near.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query"))).where("exact OR NOT any_exact").select("query", "candidate", "exact")
+    return near.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query"))).where("exact OR merged OR NOT any_exact").select("query", "candidate", "exact")
 
 
 LABELLED = r"""SELECT c.tab, c.row, c.col, c.tab % 3 AS section, l.label, CASE WHEN c.text <> '' THEN lead(l.label) OVER (PARTITION BY c.tab, c.col ORDER BY c.row) END AS below FROM v_cells c JOIN (SELECT tab, row, regexp_replace(lower(text), '\s+(\d)', '\1', 'g') AS label FROM v_cells WHERE col = 0 AND NOT header) l USING (tab, row) WHERE c.col IN (1, 4) AND NOT c.header"""

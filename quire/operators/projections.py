@@ -125,15 +125,24 @@ def context_projection(spark, sf_dir):
     return V.units(spark, sf_dir).select("unit_id", F.array_join(F.transform(F.map_entries(shown), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("context"))
 
 
-@query(sql("""SELECT u.unit_id, u.kind AS old_kind, coalesce(p.kind, u.kind) AS kind, CASE WHEN p.kind IS NULL THEN 'none' WHEN p.kind = 'caption' THEN 'ignored' WHEN u.kind = 'heading' AND p.kind = 'paragraph' AND regexp_matches(u.text, '^[A-Z]') THEN 'rejected' ELSE 'applied' END AS result
-FROM v_units u LEFT JOIN (SELECT unit_id, CASE (doc_id + ord) % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'caption' ELSE 'heading' END AS kind FROM v_units WHERE (doc_id + ord) % 3 = 0) p USING (unit_id)""", *UNITS))
+PATCHES = "SELECT unit_id, CASE k % 5 WHEN 0 THEN 'paragraph' WHEN 1 THEN ' Caption ' WHEN 2 THEN 'formula' WHEN 3 THEN 'alert' ELSE 'Heading' END AS said, CASE WHEN k % 7 <> 0 THEN 1 + k % 6 END AS level, CASE WHEN k % 8 <> 0 THEN 'note' END AS alert, k % 2 = 0 AS has_box, k % 11 = 0 AS has_caption FROM (SELECT *, doc_id * 31 + ord AS k FROM v_units) WHERE k % 3 = 0"
+PATCHED = """CASE WHEN said IS NULL THEN 'none' WHEN new = 'caption' THEN 'ignored' WHEN new = 'heading' AND level IS NULL THEN 'missing level' WHEN new = 'alert' AND alert IS NULL THEN 'missing alert'
+WHEN kind = 'heading' AND new = 'paragraph' AND numbered THEN 'rejected' WHEN new = 'formula' AND (NOT has_box OR has_caption) THEN 'no formula' ELSE 'applied' END"""
+
+
+@query(sql(f"SELECT unit_id, old_kind, CASE WHEN result = 'applied' THEN new ELSE old_kind END AS kind, result FROM (SELECT unit_id, kind AS old_kind, new, {PATCHED} AS result FROM (SELECT u.unit_id, u.kind, p.*, lower(trim(said)) AS new, regexp_matches(u.text, '^[A-Z0-9]') AS numbered FROM v_units u LEFT JOIN ({PATCHES}) p USING (unit_id)))", *UNITS))
 def structure_patch_apply(spark, sf_dir):
-    """Patches laid over blocks, each with what became of it."""
+    """Patches laid over blocks, each with what became of it: kinds in any case, captions ignored, what a kind must have.
+
+    A numbered heading (here: one that begins with a capital or a digit) stays one; a formula has a box and no caption."""
     u = V.units(spark, sf_dir)
-    k = F.col("doc_id") + F.col("ord")
-    patches = u.where(k % 3 == 0).select("unit_id", F.when(k % 4 == 0, "paragraph").when(k % 4 == 1, "caption").otherwise("heading").alias("new"))
-    result = F.when(F.col("new").isNull(), "none").when(F.col("new") == "caption", "ignored").when((F.col("kind") == "heading") & (F.col("new") == "paragraph") & F.col("text").rlike("^[A-Z]"), "rejected").otherwise("applied")
-    return u.join(patches, "unit_id", "left").select("unit_id", F.col("kind").alias("old_kind"), F.coalesce("new", "kind").alias("kind"), result.alias("result"))
+    k = F.col("doc_id") * 31 + F.col("ord")
+    said = F.element_at(F.array(*map(F.lit, ("paragraph", " Caption ", "formula", "alert", "Heading"))), (k % 5 + 1).cast("int"))
+    patches = u.where(k % 3 == 0).select(
+        "unit_id", said.alias("said"), F.when(k % 7 != 0, 1 + k % 6).alias("level"), F.when(k % 8 != 0, "note").alias("alert"), (k % 2 == 0).alias("has_box"), (k % 11 == 0).alias("has_caption")
+    )
+    j = u.join(patches, "unit_id", "left").withColumn("new", F.lower(F.trim("said"))).withColumn("numbered", F.col("text").rlike("^[A-Z0-9]")).withColumn("result", F.expr(PATCHED))
+    return j.select("unit_id", F.col("kind").alias("old_kind"), F.when(F.col("result") == "applied", F.col("new")).otherwise(F.col("kind")).alias("kind"), "result")
 
 
 @query(sql("SELECT unit_id, position(q.q IN lower(text)) AS at FROM v_units, (SELECT unnest(['the ', 'licensed', '@mail']) AS q) q WHERE contains(lower(text), q.q)", *UNITS))

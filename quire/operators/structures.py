@@ -7,6 +7,7 @@ import difflib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import rules as R
 from quire.functions.text import by_row, chunks_of, sentences_of
 from quire.plans.registry import query
 from quire.sources import views as V
@@ -91,10 +92,13 @@ def bbox_normalize(spark, sf_dir):
     return V.boxes(spark, sf_dir).select("id", F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"), F.when(flip, -F.greatest("t", "b")).otherwise(F.least("t", "b")).alias("t"), F.when(flip, -F.least("t", "b")).otherwise(F.greatest("t", "b")).alias("b"))
 
 
-@query(sql("SELECT id, l, r, 800 - b AS t, 800 - t AS b, l < r AND t < b AND 800 - b >= 0 AS valid FROM v_boxes", "v_boxes"))
+@query(sql("SELECT id, l, r, h - b AS t, h - t AS b, coalesce(l < r AND t < b AND l >= 0 AND h - b >= 0 AND h > 0, false) AS valid FROM (SELECT *, max(b) OVER (PARTITION BY page) AS h FROM (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN t - 1 ELSE b END AS b) FROM v_boxes))", "v_boxes"))
 def bbox_topleft(spark, sf_dir):
-    valid = (F.col("l") < F.col("r")) & (F.col("t") < F.col("b")) & (800 - F.col("b") >= 0)
-    return V.boxes(spark, sf_dir).select("id", "l", "r", (800 - F.col("b")).alias("t"), (800 - F.col("t")).alias("b"), valid.alias("valid"))
+    """Boxes counted from the top of their own page; valid ones have an extent and lie within it."""
+    x = V.boxes(spark, sf_dir).withColumn("b", F.when(F.col("id") % 11 == 0, F.col("t") - 1).otherwise(F.col("b")))
+    x = x.withColumn("h", F.max("b").over(Window.partitionBy("page")))
+    valid = F.coalesce(F.expr("l < r AND t < b AND l >= 0 AND h - b >= 0 AND h > 0"), F.lit(False))
+    return x.select("id", "l", "r", (F.col("h") - F.col("b")).alias("t"), (F.col("h") - F.col("t")).alias("b"), valid.alias("valid"))
 
 
 @query(sql("SELECT id, greatest(0, l - 2) AS l, greatest(0, t - 2) AS t, least(600, r + 2) AS r, least(700, b + 2) AS b FROM v_boxes", "v_boxes"))
@@ -216,14 +220,20 @@ def vector_topk(spark, sf_dir):
     return near_pairs(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5").select("query_id", "vec_id", "k")
 
 
-SCORED = f"SELECT query_id, vec_id, cosine, round(cosine - least(0.3, 0.05 * abs(query_id % 7 - vec_id % 7)) - least(3, 3 * abs(query_id - vec_id) / 1000.0::DOUBLE) + CASE WHEN query_id % 4 = vec_id % 4 THEN 0.2 ELSE 0 END, 5) AS score FROM ({NEAR})"
+#: How far apart two ids' places and sections are; a section is a number of two parts, a row one of four.
+PLACES = "least(3::DOUBLE, 3::DOUBLE * abs(query_id % 1000 / 1000.0::DOUBLE - vec_id % 1000 / 1000.0::DOUBLE))"
+SECTIONS = "least(0.3::DOUBLE, 0.05::DOUBLE * (abs(query_id % 4 - vec_id % 4) + abs(query_id % 7 - vec_id % 7)))"
+SCORED = f"SELECT query_id, vec_id, cosine, {PLACES} AS place_penalty, round(cosine - {SECTIONS} - {PLACES} + CASE WHEN query_id % 4 = vec_id % 4 THEN 0.2::DOUBLE ELSE 0::DOUBLE END, 5) AS score FROM ({NEAR})"
 
 
 def scored_pairs(spark, sf_dir) -> DataFrame:
     """Cosine less penalties for section and position, plus a bonus for equal row numbers."""
     q, v = F.col("query_id"), F.col("vec_id")
-    score = F.col("cosine") - F.least(F.lit(0.3), 0.05 * F.abs(q % 7 - v % 7)) - F.least(F.lit(3.0), 3 * F.abs(q - v) / 1000.0) + F.when(q % 4 == v % 4, 0.2).otherwise(0.0)
-    return near_pairs(spark, sf_dir).withColumn("score", F.round(score, 5))
+    section = lambda x: F.concat_ws(".", x % 4 + 1, x % 7)
+    place = lambda x: (x % 1000 / F.lit(1000.0)).cast("string")
+    near = near_pairs(spark, sf_dir).withColumn("place_penalty", R.position_penalty(place(q), place(v)))
+    score = F.col("cosine") - R.section_penalty(section(q), section(v)) - F.col("place_penalty") + F.when(q % 4 == v % 4, 0.2).otherwise(0.0)
+    return near.withColumn("score", F.round(score, 5))
 
 
 @query(f"SELECT query_id, vec_id, score FROM ({SCORED})")
@@ -231,12 +241,41 @@ def candidate_score(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("query_id", "vec_id", "score")
 
 
-@query(f"SELECT query_id, max(score) AS best, round(max(score) - coalesce(max(score) FILTER (WHERE k = 2), -9), 5) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM ({SCORED})) GROUP BY 1")
+#: A heading below SHORT characters with a margin up to its bound has a second choice; so has a row of equal numbers.
+SHORT, HEADING_MARGIN, ROW_MARGIN = 24, 0.12, 0.03
+
+
+@query(f"""SELECT query_id, best, margin, coalesce(k2 IS NOT NULL AND ((n < {SHORT} AND margin <= {HEADING_MARGIN}::DOUBLE) OR (query_id % 4 = k2 % 4 AND margin <= {ROW_MARGIN}::DOUBLE)), false) AS second_choice FROM (
+SELECT query_id, max(score) AS best, round(max(score) - coalesce(max(score) FILTER (WHERE k = 2), -9::DOUBLE), 5) AS margin, max(vec_id) FILTER (WHERE k = 2) AS k2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM ({SCORED})) GROUP BY 1)
+LEFT JOIN (SELECT doc_id, length(split_part(text, chr(10), 1)) AS n FROM documents) ON doc_id = query_id""")
 def candidate_margin(spark, sf_dir):
-    """How far the best candidate is before the second."""
+    """How far the best candidate is before the second, and whether the second stays a choice: by a short heading, or a row of equal numbers."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored_pairs(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 2")
-    return ranked.groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.max("score") - F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(-9.0)), 5).alias("margin"))
+    second = lambda c: F.max(F.when(F.col("k") == 2, F.col(c)))
+    g = ranked.groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.max("score") - F.coalesce(second("score"), F.lit(-9.0)), 5).alias("margin"), second("vec_id").alias("k2"))
+    heads = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.length(F.substring_index("text", "\n", 1)).alias("n"))
+    short = F.coalesce((F.col("n") < SHORT) & (F.col("margin") <= HEADING_MARGIN), F.lit(False))
+    equal = F.coalesce((F.col("query_id") % 4 == F.col("k2") % 4) & (F.col("margin") <= ROW_MARGIN), F.lit(False))
+    return g.join(heads, "query_id", "left").select("query_id", "best", "margin", (F.col("k2").isNotNull() & (short | equal)).alias("second_choice"))
+
+
+#: Candidates kept of each class: cells, the query's own label, other labels.
+CLASSES = {"cell": 2, "same": 8, "cross": 16}
+
+
+@query(f"""SELECT query_id, vec_id, class, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id, class ORDER BY score DESC, vec_id) AS k FROM (
+SELECT s.query_id, s.vec_id, s.score, CASE WHEN s.vec_id % 5 = 4 THEN 'cell' WHEN a.label IS NOT DISTINCT FROM b.label THEN 'same' ELSE 'cross' END AS class FROM ({SCORED}) s JOIN embeddings a ON a.vec_id = s.query_id JOIN embeddings b ON b.vec_id = s.vec_id))
+WHERE k <= CASE class WHEN 'cell' THEN 2 WHEN 'same' THEN 8 ELSE 16 END""")
+def rerank_classes(spark, sf_dir):
+    """The pool to rank anew: at most two cells, eight candidates of the query's label and sixteen of others."""
+    e = V.table(spark, sf_dir, "embeddings")
+    own, other = (e.select(F.col("vec_id").alias(i), F.col("label").alias(n)) for i, n in (("query_id", "own"), ("vec_id", "other")))
+    s = scored_pairs(spark, sf_dir).join(own, "query_id").join(other, "vec_id")
+    s = s.withColumn("class", F.when(F.col("vec_id") % 5 == 4, "cell").when(F.col("own").eqNullSafe(F.col("other")), "same").otherwise("cross"))
+    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair]), F.col("class"))
+    w = Window.partitionBy("query_id", "class").orderBy(F.desc("score"), "vec_id")
+    return s.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("query_id", "vec_id", "class", "k")
 
 
 @query(f"SELECT a.query_id, a.vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM ({SCORED})) a JOIN (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, query_id) AS k FROM ({SCORED})) b ON a.query_id = b.query_id AND a.vec_id = b.vec_id AND a.k = 1 AND b.k = 1")
@@ -260,17 +299,23 @@ def span_coverage(spark, sf_dir):
     return spans.groupBy("query_id").agg(mean_of(F.sum(F.round(F.col("m") * 100000).cast("long")), F.count(F.lit(1))).alias("coverage"))
 
 
-@query(f"SELECT query_id, floor((s * 20 + n) / (2 * n)) / 1000000 AS evidence FROM (SELECT query_id, (sum(round(cosine * 100000)::BIGINT) FILTER (WHERE cosine >= 0.2) + max(round(cosine * 100000)::BIGINT)) AS s, count(*) FILTER (WHERE cosine >= 0.2) + 1 AS n FROM ({NEAR}) GROUP BY 1) WHERE n > 1")
+#: From what likeness on a neighbour is evidence; the best score and its place's penalty that a front page must not have.
+EVIDENCE_LIKE, GATE_PENALTY, GATE_SCORE = 0.69, 0.10, 0.60
+
+
+@query(f"SELECT query_id, greatest(m / 100000.0::DOUBLE, floor((s * 20 + n) / (2 * n)) / 1000000) AS evidence, n - 1 AS neighbours FROM (SELECT query_id, max(round(cosine * 100000)::BIGINT) AS m, (coalesce(sum(round(cosine * 100000)::BIGINT) FILTER (WHERE cosine >= {EVIDENCE_LIKE}::DOUBLE), 0) + max(round(cosine * 100000)::BIGINT)) AS s, count(*) FILTER (WHERE cosine >= {EVIDENCE_LIKE}::DOUBLE) + 1 AS n FROM ({NEAR}) GROUP BY 1)")
 def neighbor_evidence(spark, sf_dir):
-    """The mean of near neighbours' evidence and one's own."""
-    near, whole = F.col("cosine") >= 0.2, F.round(F.col("cosine") * 100000).cast("long")
-    g = near_pairs(spark, sf_dir).groupBy("query_id").agg(F.sum(F.when(near, whole)).alias("s"), F.count_if(near).alias("n"), F.max(whole).alias("m"))
-    return g.where("n > 0").select("query_id", mean_of(F.col("s") + F.col("m"), F.col("n") + 1).alias("evidence"))
+    """The larger of one's own score and its mean with near neighbours' scores."""
+    near, whole = F.col("cosine") >= EVIDENCE_LIKE, F.round(F.col("cosine") * 100000).cast("long")
+    g = near_pairs(spark, sf_dir).groupBy("query_id").agg(F.coalesce(F.sum(F.when(near, whole)), F.lit(0)).alias("s"), F.count_if(near).alias("n"), F.max(whole).alias("m"))
+    return g.select("query_id", F.greatest(F.col("m") / 100000.0, mean_of(F.col("s") + F.col("m"), F.col("n") + 1)).alias("evidence"), F.col("n").alias("neighbours"))
 
 
-@query(f"SELECT query_id, vec_id FROM ({SCORED}) WHERE NOT (abs(query_id - vec_id) / 1000.0::DOUBLE * 3 >= 0.10 AND score < 0.2)")
+@query(f"SELECT query_id, vec_id, NOT (place_penalty >= {GATE_PENALTY}::DOUBLE AND score < {GATE_SCORE}::DOUBLE) AS passes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM ({SCORED})) WHERE k = 1")
 def front_page_gate(spark, sf_dir):
-    return scored_pairs(spark, sf_dir).where(~((F.abs(F.col("query_id") - F.col("vec_id")) / 1000.0 * 3 >= 0.10) & (F.col("score") < 0.2))).select("query_id", "vec_id")
+    """Each query's best candidate, and whether it passes: not far away in place and low in score."""
+    best = scored_pairs(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("k = 1")
+    return best.select("query_id", "vec_id", (~((F.col("place_penalty") >= GATE_PENALTY) & (F.col("score") < GATE_SCORE))).alias("passes"))
 
 
 @query(f"SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY k) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS k FROM ({NEAR})) WHERE k <= 5 GROUP BY 1")
@@ -287,15 +332,27 @@ def expand_selection(spark, sf_dir):
     s = scored_pairs(spark, sf_dir)
     ranked = s.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     more = ranked.where("k <= 20").select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("o"), "k", "vec_id"), F.struct(F.lit(1).alias("o"), "k", (F.col("vec_id") - 1).alias("vec_id")), F.struct(F.lit(2).alias("o"), "k", (F.col("vec_id") + 1).alias("vec_id")))).alias("x"))
-    first = more.select("query_id", "x.*").groupBy("query_id", "vec_id").agg(F.min(F.struct("o", "k")).alias("at"))
+    there = V.table(spark, sf_dir, "embeddings").select("vec_id").distinct()
+    first = more.select("query_id", "x.*").join(there, "vec_id", "left_semi").groupBy("query_id", "vec_id").agg(F.min(F.struct("o", "k")).alias("at"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "vec_id"))).where("place <= 32").select("query_id", "vec_id", "place")
 
 
-@query(sql("SELECT tab, row, col, concat_ws(' ', text, CASE WHEN col > 0 THEN first END, CASE WHEN row > 0 THEN head END) AS search FROM (SELECT c.*, first_value(text) OVER (PARTITION BY tab, row ORDER BY col) AS first, max(CASE WHEN header THEN text END) OVER (PARTITION BY tab, col) AS head FROM v_cells c) WHERE text <> ''", *CELLS))
+@query(sql("""SELECT tab, row, col, concat_ws(' ', text, CASE WHEN col > 0 THEN first END, CASE WHEN row > 0 THEN head END, siblings, above, below) AS search FROM (
+SELECT c.*, first_value(text) OVER (PARTITION BY tab, row ORDER BY col) AS first, max(CASE WHEN header THEN text END) OVER (PARTITION BY tab, col) AS head FROM v_cells c)
+LEFT JOIN (SELECT a.tab, a.row, a.col, string_agg(b.text, ' | ' ORDER BY b.col) AS siblings FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.row = b.row AND a.col <> b.col AND b.text <> '' GROUP BY 1, 2, 3) USING (tab, row, col)
+LEFT JOIN (SELECT tab, row, CASE WHEN NOT lag(header) OVER w THEN lag(text) OVER w END AS above, lead(text) OVER w AS below FROM v_cells WHERE col = 0 WINDOW w AS (PARTITION BY tab ORDER BY row)) USING (tab, row) WHERE text <> ''""", *CELLS))
 def search_text(spark, sf_dir):
-    """A cell's text with its row's and its column's label."""
-    c = V.cells(spark, sf_dir).withColumn("first", F.first("text").over(Window.partitionBy("tab", "row").orderBy("col"))).withColumn("head", F.max(F.when(F.col("header"), F.col("text"))).over(Window.partitionBy("tab", "col")))
-    return c.where("text <> ''").select("tab", "row", "col", F.concat_ws(" ", "text", F.when(F.col("col") > 0, F.col("first")), F.when(F.col("row") > 0, F.col("head"))).alias("search"))
+    """A cell's text with its row's and its column's label, the other cells of its row and the labels of the rows around. One shuffle, by table."""
+    c = V.cells(spark, sf_dir).repartition("tab")
+    heads = F.max(F.when(F.col("header"), F.col("text"))).over(Window.partitionBy("tab", "col"))
+    rows = c.withColumn("head", heads).groupBy("tab", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "head"))).alias("all"), F.bool_or("header").alias("header"))
+    w, label = Window.partitionBy("tab").orderBy("row"), F.get("all", F.lit(0))["text"]
+    rows = rows.withColumn("above", F.when(~F.lag("header").over(w), F.lag(label).over(w))).withColumn("below", F.lead(label).over(w))
+    each = rows.select("tab", "row", "all", "above", "below", label.alias("first"), F.explode("all").alias("me")).where("me.text <> ''")
+    others = F.filter("all", lambda x: (x["col"] != F.col("me.col")) & (x["text"] != ""))
+    siblings = F.when(F.size(others) > 0, F.array_join(F.transform(others, lambda x: x["text"]), " | "))
+    search = F.concat_ws(" ", "me.text", F.when(F.col("me.col") > 0, F.col("first")), F.when(F.col("row") > 0, F.col("me.head")), siblings, "above", "below")
+    return each.select("tab", "row", F.col("me.col").alias("col"), search.alias("search"))
 
 
 # ---- ordered folds -----------------------------------------------------------------------------

@@ -110,10 +110,21 @@ def structure_missing(spark, sf_dir):
     return V.units(spark, sf_dir).where("kind = 'heading'").join(V.version2(spark, sf_dir), "unit_id", "left_anti").select("unit_id")
 
 
-@query(sql("SELECT task, round, unnest(list_filter([CASE WHEN n > 4 THEN 'too many ids' END, CASE WHEN ops > 2 THEN 'operations' END, CASE WHEN done AND pending > 0 THEN 'finish too early' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT task, round, count(*) AS n, count(DISTINCT operation) AS ops, bool_or(status = 'succeeded') AS done, count(*) FILTER (WHERE status = 'processing') AS pending FROM v_calls GROUP BY 1, 2)", "v_calls"))
+#: An action names ids of both roles; its rules over (n, roles, ops, unknown, outside, done, pending).
+ACTION = {
+    "no ids": "n = 0", "too many ids": "n > 4", "too many of a role": "most > 3", "several operations": "ops > 1", "unknown id": "unknown > 0", "outside its targets": "outside > 0", "finish too early": "done AND pending > 0",
+}
+ACTION_STATE = {
+    "n": "count(CASE WHEN tokens >= 5 THEN 1 END)", "most": "greatest(count(CASE WHEN event_id % 2 = 0 THEN 1 END), count(CASE WHEN event_id % 2 = 1 THEN 1 END))", "ops": "count(DISTINCT operation)",
+    "unknown": "count(CASE WHEN event_id % 23 = 0 THEN 1 END)", "outside": "count(CASE WHEN operation = 'recheck' AND event_id % 9 = 8 THEN 1 END)", "done": "bool_or(status = 'succeeded')", "pending": "count(CASE WHEN status = 'processing' THEN 1 END)",
+}
+
+
+@query(sql(" UNION ALL ".join(f"SELECT task, round, '{rule}' AS rule FROM (SELECT task, round, {', '.join(f'{e} AS {n}' for n, e in ACTION_STATE.items())} FROM v_calls GROUP BY 1, 2) WHERE {e}" for rule, e in ACTION.items()), "v_calls"))
 def action_violations(spark, sf_dir):
-    g = V.calls(spark, sf_dir).groupBy("task", "round").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("operation").alias("ops"), F.bool_or(F.col("status") == "succeeded").alias("done"), F.count_if(F.col("status") == "processing").alias("pending"))
-    return violations(g, {"too many ids": F.col("n") > 4, "operations": F.col("ops") > 2, "finish too early": F.col("done") & (F.col("pending") > 0)}, "task", "round")
+    """Actions that break a rule: how many ids, in all and of a role, one operation, known ids within the targets, no end while something is pending."""
+    g = V.calls(spark, sf_dir).groupBy("task", "round").agg(*[F.expr(e).alias(n) for n, e in ACTION_STATE.items()])
+    return violations(g, {rule: F.expr(e) for rule, e in ACTION.items()}, "task", "round")
 
 
 @query(sql("SELECT path, CASE WHEN size <= 0 THEN 'size' WHEN NOT regexp_matches(sha, '^[0-9a-f]{64}$') THEN 'sha256' WHEN lower(path) NOT LIKE '%.pdf' THEN 'suffix' END AS rule FROM v_files WHERE size <= 0 OR NOT regexp_matches(sha, '^[0-9a-f]{64}$') OR lower(path) NOT LIKE '%.pdf'", "v_files"))
@@ -151,24 +162,46 @@ def fix_apply(spark, sf_dir):
 
 # ---- the agent's fall-back policies --------------------------------------------------------------
 
-STATE = "SELECT task, count(*) FILTER (WHERE status = 'failed' AND round > 12) AS conflicts, count(*) FILTER (WHERE status = 'partial' AND round > 8) AS unchecked, count(*) FILTER (WHERE status = 'processing') AS pending FROM v_calls GROUP BY 1"
+#: Ids of an action, and of a recheck or an evaluation.
+MAX_IDS, MAX_EACH = 32, 8
+COUNTS = {
+    "conflicts": "status = 'failed'", "unchecked": "status = 'partial'", "pending": "status = 'processing' AND event_id % 2 = 0", "other_pending": "status = 'processing' AND event_id % 2 = 1",
+    "unmatched": "status = 'succeeded' AND event_type = 'purchase'", "other_unmatched": "status = 'succeeded' AND event_type <> 'purchase'",
+}
+STATE = "SELECT task, " + ", ".join(f"count(*) FILTER (WHERE {e}) AS {n}" for n, e in COUNTS.items()) + " FROM (SELECT *, max(round) OVER (PARTITION BY task) AS last FROM v_calls) WHERE round = last GROUP BY 1"
 
 
 def task_state(spark, sf_dir) -> DataFrame:
-    return V.calls(spark, sf_dir).groupBy("task").agg(F.count_if(F.expr("status = 'failed' AND round > 12")).alias("conflicts"), F.count_if(F.expr("status = 'partial' AND round > 8")).alias("unchecked"), F.count_if(F.col("status") == "processing").alias("pending"))
+    """What the last round of each task left in each role: conflicts, unchecked and pending units, units without a match."""
+    rounds = V.calls(spark, sf_dir).groupBy("task", "round").agg(*[F.count_if(F.expr(e)).alias(n) for n, e in COUNTS.items()])
+    return rounds.groupBy("task").agg(F.max_by(F.struct(*COUNTS), "round").alias("s")).select("task", "s.*")
+
+
+REVIEW = {
+    "conflicts > 0": ("recheck", f"least({MAX_EACH}, conflicts)"),
+    "unchecked > 0": ("evaluate", f"least({MAX_EACH}, unchecked)"),
+    "pending + other_pending > 0": ("match", f"least({MAX_IDS // 2}, pending) + least({MAX_IDS // 2}, other_pending)"),
+    "unmatched > 0 AND other_unmatched > 0": ("match", f"least({MAX_IDS // 2}, unmatched) + least({MAX_IDS // 2}, other_unmatched)"),
+}
+UPGRADE = {"pending + other_pending > 0": ("evaluate", " + ".join(f"least({MAX_IDS // 3}, {n})" for n in ("pending", "other_pending", "other_unmatched")))}
 
 
-@query(sql(f"SELECT task, CASE WHEN conflicts > 4 THEN 'recheck' WHEN unchecked > 6 THEN 'evaluate' WHEN pending > 10 THEN 'match' ELSE 'finish' END AS action, least(8, CASE WHEN conflicts > 4 THEN conflicts WHEN unchecked > 6 THEN unchecked ELSE pending END) AS ids FROM ({STATE})", "v_calls"))
+def policy(rules: dict) -> str:
+    """The first rule that holds, as SQL; else the end."""
+    pick = lambda i: "CASE " + " ".join(f"WHEN {when} THEN {x}" for when, x in ((w, (f"'{r[0]}'", r[1])[i]) for w, r in rules.items())) + (" ELSE 'finish' END", " ELSE 0 END")[i]
+    return f"{pick(0)} AS action, {pick(1)} AS ids"
+
+
+@query(sql(f"SELECT task, {policy(REVIEW)} FROM ({STATE})", "v_calls"))
 def next_action_review(spark, sf_dir):
-    """Conflicts first, then what is unchecked, then what is pending; else the end."""
-    pick = lambda a, b, c, d: F.when(F.col("conflicts") > 4, a).when(F.col("unchecked") > 6, b).when(F.col("pending") > 10, c).otherwise(d)
-    ids = F.least(F.lit(8).cast("long"), pick(F.col("conflicts"), F.col("unchecked"), F.col("pending"), F.col("pending")))
-    return task_state(spark, sf_dir).select("task", pick(F.lit("recheck"), F.lit("evaluate"), F.lit("match"), F.lit("finish")).alias("action"), ids.alias("ids"))
+    """Conflicts first, then what is unchecked, then what is pending, then what has no match on either side; else the end."""
+    return task_state(spark, sf_dir).selectExpr("task", *policy(REVIEW).replace(" AS action, ", " AS action\n").split("\n"))
 
 
-@query(sql(f"SELECT task, CASE WHEN pending > 10 THEN 'evaluate' ELSE 'finish' END AS action, least(10, pending) AS ids FROM ({STATE})", "v_calls"))
+@query(sql(f"SELECT task, {policy(UPGRADE)} FROM ({STATE})", "v_calls"))
 def next_action_upgrade(spark, sf_dir):
-    return task_state(spark, sf_dir).select("task", F.when(F.col("pending") > 10, "evaluate").otherwise("finish").alias("action"), F.least(F.lit(10).cast("long"), F.col("pending")).alias("ids"))
+    """What is pending, up to a third of the ids in each role, with candidates of the translation; else the end."""
+    return task_state(spark, sf_dir).selectExpr("task", *policy(UPGRADE).replace(" AS action, ", " AS action\n").split("\n"))
 
 
 # ---- ids -----------------------------------------------------------------------------------------
@@ -197,16 +230,27 @@ def escaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\`*_\[\]<>#|])", r"\\$1")
 
 
+def coded(c: Column) -> Column:
+    """Inline code between fences longer than any run of back-ticks in it."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("`"), longest + 1)
+    space = F.when(longest > 0, " ").otherwise("")
+    return F.concat(fence, space, c, space, fence)
+
+
 def inline() -> Column:
-    """A span as Markdown: code as code, else escaped and wrapped by its marks in order."""
+    """A span as Markdown: code as code, else escaped, wrapped by its marks in order and linked to its unit if it is a link."""
     wrapped = reduce(lambda t, m: F.when(F.col(m[0]), F.concat(F.lit(m[1]), t, F.lit(m[1]))).otherwise(t), MARKS, escaped(F.col("source")))
-    return F.when(F.col("kind") == "code", F.concat(F.lit("`"), F.col("source"), F.lit("`"))).when(F.col("kind") == "line_break", "\n").otherwise(wrapped)
+    link = F.concat(F.lit("["), wrapped, F.lit("](<#u%20"), F.col("unit_id"), F.lit(">)"))
+    return F.when(F.col("kind") == "code", coded(F.col("source"))).when(F.col("kind") == "line_break", "\n").when(F.col("kind") == "link", link).otherwise(wrapped)
 
 
 ESC = r"regexp_replace(source, '([\\`*_\[\]<>#|])', '\\\1', 'g')"
 for _flag, _mark in MARKS:
     ESC = f"CASE WHEN {_flag} THEN '{_mark}' || {ESC} || '{_mark}' ELSE {ESC} END"
-INLINE = f"CASE kind WHEN 'code' THEN '`' || source || '`' WHEN 'line_break' THEN chr(10) ELSE {ESC} END"
+RUN = "coalesce(list_max(list_transform(regexp_extract_all(source, '`+'), lambda x: length(x))), 0)"
+CODE = f"repeat('`', {RUN} + 1) || CASE WHEN {RUN} > 0 THEN ' ' ELSE '' END || source || CASE WHEN {RUN} > 0 THEN ' ' ELSE '' END || repeat('`', {RUN} + 1)"
+INLINE = f"CASE kind WHEN 'code' THEN {CODE} WHEN 'line_break' THEN chr(10) WHEN 'link' THEN '[' || {ESC} || '](<#u%20' || unit_id || '>)' ELSE {ESC} END"
 
 
 @query(sql(f"SELECT span_id, {INLINE} AS markdown FROM v_spans", *SPANS))
