@@ -10,7 +10,7 @@ from quire.operators.texts import gsub, has
 from quire.operators.validation import violations
 from quire.plans.registry import query
 from quire.sources import views as V
-from quire.sources.views import MARKED, UNITS, sql
+from quire.sources.views import MARKED, SPANS, UNITS, sql
 
 #: Calls without progress, of the same kind without progress, and failures of a kind that end the loop.
 IDLE, SAME, FAILED = 12, 3, 3
@@ -82,7 +82,6 @@ def change_answers(spark, sf_dir):
     return violations(a, {rule: F.expr(e) for rule, e in ANSWER_RULES.items()}, "unit_id")
 
 
-_B = r"\1"
 EDITED = "CASE WHEN k % 5 = 0 THEN raw || ' x' WHEN k % 14 = 6 THEN replace(raw, '-', '/') WHEN k % 14 = 9 THEN replace(raw, ' ', '') WHEN k % 14 = 5 THEN {} ELSE raw END"
 
 
@@ -143,3 +142,66 @@ def heading_baselines(spark, sf_dir):
     back = (given == 1) & (base > 1) & seen & (page > F.min(page).over(by)) & ~raw.rlike(R.TOP_LEVEL)
     level = F.when(raw.rlike(R.NUMBERED), F.least(F.lit(6), R.heading_depth(raw))).when(back, base).otherwise(given)
     return V.marked(spark, sf_dir).select("unit_id", level.cast("int").alias("level"))
+
+
+def broken(answered: str, rules: dict[str, str], key: str, *views: str) -> str:
+    """SQL: a row for each rule that an answer breaks."""
+    return sql(" UNION ALL ".join(f"SELECT {key}, '{rule}' AS rule FROM ({answered}) WHERE {e}" for rule, e in rules.items()), *views)
+
+
+PAIRS = {
+    "claimed": "CASE WHEN k % 17 = 0 THEN 'match' WHEN k % 5 = 0 THEN 'source only' ELSE 'match' END",
+    "named": "CASE WHEN k % 5 <> 0 THEN concat(doc_id, '/', ord - CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END) END",
+    "reason": "CASE WHEN k % 10 = 0 THEN ' ' ELSE 'no counterpart' END",
+    "times": "CASE WHEN k % 9 = 1 THEN 0 WHEN k % 23 = 0 THEN 2 ELSE 1 END",
+}
+PAIR_RULES = {
+    "missing id": "times = 0",
+    "repeated id": "times > 1",
+    "kind and sides": "times > 0 AND (claimed = 'match') <> (named IS NOT NULL)",
+    "no reason": "times > 0 AND claimed <> 'match' AND trim(reason) = ''",
+    "unknown translation": "times > 0 AND named IS NOT NULL AND NOT known",
+    "repeated translation": "times > 0 AND named IS NOT NULL AND same > 1",
+}
+_PAIRED = "SELECT a.*, t.unit_id IS NOT NULL AS known, count(*) OVER (PARTITION BY a.doc_id, named) AS same FROM (SELECT unit_id, doc_id, " + ", ".join(f"{e} AS {n}" for n, e in PAIRS.items()) + " FROM (SELECT *, doc_id * 31 + ord AS k FROM v_units)) a LEFT JOIN v_tr t ON t.unit_id = a.named"
+
+
+@query(broken(_PAIRED, PAIR_RULES, "unit_id", *UNITS, "v_tr"))
+def alignment_answers(spark, sf_dir):
+    """Answers about alignment that break a rule: each unit once, known translations once each, kinds that fit their sides, a reason where there is no match."""
+    u = V.units(spark, sf_dir).withColumn("k", F.col("doc_id") * 31 + F.col("ord"))
+    a = u.select("unit_id", "doc_id", *[F.expr(e).alias(n) for n, e in PAIRS.items()])
+    known = V.translation(spark, sf_dir).select(F.col("unit_id").alias("named"), F.lit(True).alias("known"))
+    a = a.join(known, "named", "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "named")))
+    return violations(a, {rule: F.expr(e) for rule, e in PAIR_RULES.items()}, "unit_id")
+
+
+REVIEWED = {
+    "verdict": "CASE WHEN m % 2 = 0 THEN 'correct' ELSE 'issue' END",
+    "category": "CASE WHEN m % 10 <> 1 THEN 'wording' END",
+    "severity": "CASE WHEN m % 6 <> 1 THEN 'minor' END",
+    "edit": "CASE WHEN m % 7 = 0 THEN lower(source) WHEN m % 8 = 0 THEN replace(source, ' ', '  ') WHEN m % 9 = 0 THEN concat(prev, source) WHEN m % 11 = 0 THEN concat(source, next) END",
+    "times": "CASE WHEN m % 13 = 1 THEN 0 WHEN m % 19 = 0 THEN 2 ELSE 1 END",
+}
+REVIEW_RULES = {
+    "missing id": "times = 0",
+    "repeated id": "times > 1",
+    "correct with an edit": "times > 0 AND verdict = 'correct' AND edit IS NOT NULL",
+    "no category": "times > 0 AND verdict = 'issue' AND category IS NULL",
+    "no severity": "times > 0 AND verdict = 'issue' AND severity IS NULL",
+    "code edited": "times > 0 AND kind IN ('code', 'line_break') AND edit IS NOT NULL",
+    "white space only": "times > 0 AND edit <> source AND replace(edit, ' ', '') = replace(source, ' ', '')",
+    "copies the one before": "times > 0 AND length(prev) > 3 AND substr(edit, 1, length(prev)) = prev AND substr(edit, length(prev) + 1) = source",
+    "copies the next": "times > 0 AND length(next) > 3 AND substr(edit, 1, length(source)) = source AND substr(edit, length(source) + 1) = next",
+}
+_REVIEWED = "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in REVIEWED.items()) + " FROM (SELECT span_id, kind, source, ord + span_ord AS m, coalesce(lag(source) OVER w, '') AS prev, coalesce(lead(source) OVER w, '') AS next FROM v_spans WINDOW w AS (PARTITION BY unit_id ORDER BY span_ord))"
+
+
+@query(broken(_REVIEWED, REVIEW_RULES, "span_id", *SPANS))
+def review_answers(spark, sf_dir):
+    """Answers of a review that break a rule: each span once, nothing edited that is correct, category and severity of an issue, no edit of
+    code, of white space alone, or that takes in the span before or after."""
+    w = Window.partitionBy("unit_id").orderBy("span_ord")
+    s = V.spans(spark, sf_dir).select("span_id", "kind", "source", (F.col("ord") + F.col("span_ord")).alias("m"), F.coalesce(F.lag("source").over(w), F.lit("")).alias("prev"), F.coalesce(F.lead("source").over(w), F.lit("")).alias("next"))
+    a = s.select("*", *[F.expr(e).alias(n) for n, e in REVIEWED.items()])
+    return violations(a, {rule: F.expr(e) for rule, e in REVIEW_RULES.items()}, "span_id")

@@ -28,7 +28,7 @@ def merge_rewrites(spark, sf_dir):
     return own.join(before, ["part", "range"]).select("doc_id", F.concat(F.lit("#/texts/"), F.col("n_before") + F.col("k")).alias("ref"), (F.col("p_before") + F.col("q") + 1).alias("first_page"), uri.alias("uri"), F.conv(F.right("sha", F.lit(16)), 16, 10).alias("origin"))
 
 
-FRAGMENTS = "SELECT *, id % 2 + 2 AS n_cols, id % 4 + 1 AS n_rows, lag(l) OVER w AS p_l, lag(r) OVER w AS p_r, lag(b) OVER w AS p_b, lag(id % 2 + 2) OVER w AS p_cols FROM v_boxes WINDOW w AS (PARTITION BY page, l // 200 ORDER BY t, id)"
+FRAGMENTS = "SELECT *, id // 9 % 2 + 2 AS n_cols, id % 4 + 1 AS n_rows, lag(l) OVER w AS p_l, lag(r) OVER w AS p_r, lag(b) OVER w AS p_b, lag(id // 9 % 2 + 2) OVER w AS p_cols FROM v_boxes WINDOW w AS (PARTITION BY page, l // 200 ORDER BY t, id)"
 JOINS = "t - p_b BETWEEN -2 AND 24 AND n_cols = p_cols AND (least(r, p_r) - greatest(l, p_l)) * 10 >= 8 * least(r - l, p_r - p_l)"
 
 
@@ -36,7 +36,7 @@ JOINS = "t - p_b BETWEEN -2 AND 24 AND n_cols = p_cols AND (least(r, p_r) - grea
 def table_fragments(spark, sf_dir):
     """Fragments of a table in a chain, and where each one's rows begin: as many columns, a gap of -2 to 24, widths that overlap by 0.8."""
     column = F.floor(F.col("l") / 200)
-    b = V.boxes(spark, sf_dir).select("id", "page", "l", "t", "r", "b", column.alias("c"), (F.col("id") % 2 + 2).alias("n_cols"), (F.col("id") % 4 + 1).alias("n_rows"))
+    b = V.boxes(spark, sf_dir).select("id", "page", "l", "t", "r", "b", column.alias("c"), (F.floor(F.col("id") / 9) % 2 + 2).alias("n_cols"), (F.col("id") % 4 + 1).alias("n_rows"))
     w = Window.partitionBy("page", "c").orderBy("t", "id")
     for name in ("l", "r", "b", "n_cols"):
         b = b.withColumn(f"p_{name}", F.lag(name).over(w))
@@ -55,3 +55,30 @@ def nodes_replaced(spark, sf_dir):
     whole = F.array(F.struct(F.lit(0).alias("span_ord"), F.col("unit_id").alias("node")))
     nodes = g.select("doc_id", "ord", F.explode(F.when((F.col("n") > 1) & (F.col("heads") == F.col("n")), F.col("pieces")).otherwise(whole)).alias("x"))
     return nodes.select("doc_id", "x.node", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "x.span_ord")) - 1).alias("place"))
+
+
+#: How often a batch is halved at most.
+DEPTH = 10
+
+
+@query(sql(f"""SELECT doc_id, lo, hi - lo + 1 AS units, depth, fails > 0 AS failed FROM steps WHERE fails = 0 OR lo = hi OR depth = {DEPTH}""", *UNITS).replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT doc_id, lo", f""",
+n AS (SELECT doc_id, list((doc_id * 31 + ord) % 23 = 0 ORDER BY ord) AS f FROM v_units GROUP BY 1),
+steps AS (SELECT doc_id, f, 1::BIGINT AS lo, len(f) AS hi, 0 AS depth, len(list_filter(f, lambda x: x)) AS fails FROM n
+UNION ALL SELECT doc_id, f, x.lo, x.hi, depth, len(list_filter(f[x.lo:x.hi], lambda x: x)) FROM (SELECT doc_id, f, depth + 1 AS depth, unnest([{{'lo': lo, 'hi': lo + (hi - lo + 2) // 2 - 1}}, {{'lo': lo + (hi - lo + 2) // 2, 'hi': hi}}]) AS x FROM steps WHERE fails > 0 AND lo < hi AND depth < {DEPTH}))
+SELECT doc_id, lo""", 1))
+def halvings(spark, sf_dir):
+    """Batches that fail are halved until what fails stands alone (or ten times): the batches that are left, and which of these still fail.
+
+    One shuffle, by document: each round is a window within its batches."""
+    u = V.units(spark, sf_dir).select("doc_id", "ord", ((F.col("doc_id") * 31 + F.col("ord")) % 23 == 0).cast("int").alias("f")).repartition("doc_id")
+    w = Window.partitionBy("doc_id")
+    u = u.withColumn("k", F.row_number().over(w.orderBy("ord")).cast("long")).withColumn("lo", F.lit(1).cast("long")).withColumn("hi", F.count(F.lit(1)).over(w)).withColumn("depth", F.lit(0))
+    for _ in range(DEPTH):
+        cut = (F.sum("f").over(Window.partitionBy("doc_id", "lo")) > 0) & (F.col("lo") < F.col("hi"))
+        mid = F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 2) / 2) - 1
+        u = u.withColumns({"cut": cut, "mid": mid}).withColumns({
+            "lo": F.when(F.col("cut") & (F.col("k") > F.col("mid")), F.col("mid") + 1).otherwise(F.col("lo")),
+            "hi": F.when(F.col("cut") & (F.col("k") <= F.col("mid")), F.col("mid")).otherwise(F.col("hi")),
+            "depth": F.col("depth") + F.col("cut").cast("int"),
+        }).drop("cut", "mid")
+    return u.groupBy("doc_id", "lo").agg(F.count(F.lit(1)).alias("units"), F.max("depth").alias("depth"), (F.sum("f") > 0).alias("failed"))

@@ -103,11 +103,15 @@ def call_reuse(spark, sf_dir):
     return V.calls(spark, sf_dir).select("event_id", saved.alias("reused")).where("reused IS NOT NULL")
 
 
-@query(sql("SELECT t.task, bool_and(m.sha IS NOT NULL AND m.size > 300) AS reusable, count(*) AS artifacts FROM (SELECT DISTINCT task, event_id % 500 AS doc_id FROM v_calls) t LEFT JOIN v_files m USING (doc_id) GROUP BY 1", "v_calls", "v_files"))
+@query(sql("SELECT t.task, bool_and(coalesce(m.sha = s.sha AND m.size = s.size, false)) AND max(done) AS reusable, count(*) AS artifacts FROM (SELECT DISTINCT task, event_id % 500 AS doc_id FROM v_calls) t JOIN (SELECT task, arg_max(status, event_id) IN ('succeeded', 'partial') AS done FROM v_calls GROUP BY 1) d USING (task) LEFT JOIN v_files m USING (doc_id) LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'changed' ELSE sha END AS sha, size FROM v_files) s USING (doc_id) GROUP BY 1", "v_calls", "v_files"))
 def task_reuse(spark, sf_dir):
-    """A task is reused only if each of its artifacts is there and valid."""
-    needs = V.calls(spark, sf_dir).select("task", (F.col("event_id") % 500).alias("doc_id")).distinct()
-    return needs.join(V.files(spark, sf_dir), "doc_id", "left").groupBy("task").agg(F.bool_and(F.col("sha").isNotNull() & F.coalesce(F.col("size") > 300, F.lit(False))).alias("reusable"), F.count(F.lit(1)).alias("artifacts"))
+    """A task is reused only if it ended well and each of its artifacts is there with the size and hash that were saved."""
+    c = V.calls(spark, sf_dir)
+    done = c.groupBy("task").agg(F.max_by("status", "event_id").isin("succeeded", "partial").alias("done"))
+    needs = c.select("task", (F.col("event_id") % 500).alias("doc_id")).distinct()
+    now = V.files(spark, sf_dir).select("doc_id", "sha", "size", F.when(F.col("doc_id") % 97 == 0, "changed").otherwise(F.col("sha")).alias("saved_sha"), F.col("size").alias("saved_size"))
+    valid = F.bool_and(F.coalesce((F.col("sha") == F.col("saved_sha")) & (F.col("size") == F.col("saved_size")), F.lit(False)))
+    return needs.join(now, "doc_id", "left").join(done, "task").groupBy("task").agg((valid & F.max("done")).alias("reusable"), F.count(F.lit(1)).alias("artifacts"))
 
 
 @query()

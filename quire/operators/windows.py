@@ -43,22 +43,30 @@ def adjacent_row_labels(spark, sf_dir):
     return V.cells(spark, sf_dir).where("col = 0").select("tab", "row", F.concat_ws(" | ", prev, F.concat(F.lit("next: "), F.lead("text").over(w))).alias("labels"))
 
 
-@query(sql("SELECT a.unit_id, string_agg(b.ord::VARCHAR, ',' ORDER BY b.ord) AS neighbors FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) a JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) b ON a.doc_id = b.doc_id AND abs(a.k - b.k) BETWEEN 1 AND 3 GROUP BY 1", *UNITS))
+@query(sql("SELECT a.unit_id, string_agg(b.ord::VARCHAR, ',' ORDER BY b.ord) AS neighbors FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) a JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) b ON a.doc_id = b.doc_id AND abs(a.k - b.k) BETWEEN 1 AND 3 AND NOT starts_with(b.text, '|') GROUP BY 1", *UNITS))
 def neighbors3(spark, sf_dir):
-    """Three units before and after."""
+    """Three units before and after, of these the ones of running text (no table lines)."""
     w = Window.partitionBy("doc_id").orderBy("ord")
-    near = F.concat(F.collect_list("ord").over(w.rowsBetween(-3, -1)), F.collect_list("ord").over(w.rowsBetween(1, 3)))
+    text = F.when(~F.col("text").startswith("|"), F.col("ord"))  # collect_list passes nulls over
+    near = F.concat(F.collect_list(text).over(w.rowsBetween(-3, -1)), F.collect_list(text).over(w.rowsBetween(1, 3)))
     u = V.units(spark, sf_dir).select("unit_id", near.alias("n")).where(F.size("n") > 0)
     return u.select("unit_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("neighbors"))
 
 
-@query(sql("SELECT a.unit_id, string_agg(b.ord::VARCHAR, ',' ORDER BY b.ord < a.ord, abs(b.ord - a.ord)) AS neighbors FROM v_units a JOIN v_units b ON a.doc_id = b.doc_id AND abs(a.ord - b.ord) BETWEEN 1 AND 3 WHERE a.kind = 'list_item' GROUP BY 1", *UNITS))
+#: Units on each side of a target; with FEW list items or more as many as there are, up to MOST.
+BESIDE, FEW, MOST = 3, 4, 30
+
+
+@query(sql(f"SELECT a.unit_id, string_agg(b.ord::VARCHAR, ',' ORDER BY b.ord < a.ord, abs(b.ord - a.ord)) AS neighbors FROM (SELECT *, count(*) FILTER (WHERE kind = 'list_item') OVER (PARTITION BY doc_id) AS items FROM v_units) a JOIN v_units b ON a.doc_id = b.doc_id AND abs(a.ord - b.ord) BETWEEN 1 AND CASE WHEN items >= {FEW} THEN least(greatest({BESIDE}, items), {MOST}) ELSE {BESIDE} END WHERE a.kind = 'list_item' GROUP BY 1", *UNITS))
 def target_neighbors(spark, sf_dir):
-    """Units that follow a target, nearest first, then those before it."""
+    """Units that follow a target, nearest first, then those before it; farther ones too in documents with several list items."""
     w = Window.partitionBy("doc_id").orderBy("ord")
-    after, before = F.collect_list("ord").over(w.rangeBetween(1, 3)), F.reverse(F.collect_list("ord").over(w.rangeBetween(-3, -1)))
-    u = V.units(spark, sf_dir).select("unit_id", "kind", F.concat(after, before).alias("n")).where("kind = 'list_item' AND size(n) > 0")
-    return u.select("unit_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("neighbors"))
+    items = F.count_if(F.col("kind") == "list_item").over(Window.partitionBy("doc_id"))
+    far = F.when(F.col("items") >= FEW, F.least(F.greatest(F.lit(BESIDE), F.col("items")), F.lit(MOST))).otherwise(BESIDE)
+    after, before = F.collect_list("ord").over(w.rangeBetween(1, MOST)), F.reverse(F.collect_list("ord").over(w.rangeBetween(-MOST, -1)))
+    u = V.units(spark, sf_dir).select("unit_id", "kind", "ord", items.alias("items"), F.concat(after, before).alias("n")).where("kind = 'list_item'")
+    near = u.select("unit_id", F.filter("n", lambda x: F.abs(x - F.col("ord")) <= far).alias("n")).where("size(n) > 0")
+    return near.select("unit_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("neighbors"))
 
 
 @query(sql("SELECT p.doc_id, p.page, string_agg(h.ord::VARCHAR, ',' ORDER BY h.ord) AS headings FROM (SELECT DISTINCT doc_id, page FROM v_units WHERE page > 1) p JOIN (SELECT doc_id, page, ord FROM v_units WHERE ord % 4 = 1) h ON h.doc_id = p.doc_id AND h.page < p.page AND (SELECT count(*) FROM v_units x WHERE x.doc_id = p.doc_id AND x.ord % 4 = 1 AND x.page < p.page AND x.ord > h.ord) < 8 GROUP BY 1, 2", *UNITS))

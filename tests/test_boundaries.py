@@ -65,3 +65,12 @@ def test_stream_takes_late_and_repeated_events_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "events.parquet"))
     got = calls.drained(calls.last_states(stream), "last").collect()
     assert [(r.user_id, r.event_id, r.event_type) for r in got] == [(1, 2, "view")]
+
+
+def test_last_update_of_a_key_stands(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:10:00", "a"), (2, "2024-01-01 00:20:00", "a"), (3, "2024-01-01 01:10:00", "b"), (4, "2024-01-01 00:30:00", "a")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "event_id long, ts string, event_type string").selectExpr("event_id", "timestamp(ts) AS ts", "event_type").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    stream = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    got = calls.drained(calls.window_counts(stream, "1 hour", late="2 hours"), "updates", "start", "event_type")
+    assert sorted((str(r.start), r.event_type, r.n) for r in got.collect()) == [("2024-01-01 00:00:00", "a", 3), ("2024-01-01 01:00:00", "b", 1)]
