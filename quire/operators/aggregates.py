@@ -196,13 +196,13 @@ def run_history(spark, sf_dir):
     return last.select("task", "m.status", F.col("m.ts").alias("updated_at"), "m.event_id").orderBy(F.desc("updated_at"), F.desc("event_id")).limit(100)
 
 
-LISTED = "SELECT *, split_part(path, '/', 1) || '/' || (doc_id // 2) || '.pdf' AS logical, doc_id % 29 = 0 AS symlink, doc_id % 31 = 0 AS own_output FROM v_files"
+LISTED = "SELECT *, split_part(path, '/', 1) || '/' || (doc_id // 8) || '.pdf' AS logical, doc_id % 29 = 0 AS symlink, doc_id % 31 = 0 AS own_output FROM v_files"
 
 
 @query(sql(f"SELECT path, size, sha, logical, count(*) OVER (PARTITION BY logical) > 1 AS duplicate FROM ({LISTED}) WHERE lower(path) LIKE '%.pdf' AND NOT symlink AND NOT own_output", "v_files"))
 def source_listing(spark, sf_dir):
     """Accepted files of a listing (no links, nothing of the output's folder), and whether two share a logical path."""
-    f = V.files(spark, sf_dir).withColumn("logical", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.floor(F.col("doc_id") / 2), F.lit(".pdf")))
+    f = V.files(spark, sf_dir).withColumn("logical", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.floor(F.col("doc_id") / 8), F.lit(".pdf")))
     kept = f.where(F.lower("path").endswith(".pdf")).where("doc_id % 29 <> 0 AND doc_id % 31 <> 0")
     return kept.select("path", "size", "sha", "logical", (F.count(F.lit(1)).over(Window.partitionBy("logical")) > 1).alias("duplicate"))
 
