@@ -15,6 +15,9 @@ _OPS = {
     "op8_path_templates": "url_filters",
     "op9_hilbert_packing": "packing",
     "op10_bit_planes": "token_files",
+    "op11_merkle_manifest": "merkle",
+    "op12_best_fit_packing": "best_fit",
+    "op13_spelling_variants": "spelling",
 }
 
 
