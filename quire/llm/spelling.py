@@ -5,7 +5,8 @@ places, and all further places of the third one's bigram. Two of these that don'
 pivots, chosen for the fewest words that have them by dynamic programming. One edit leaves at least one
 pivot whole and moves it by one place at most; so of two near words, the pivot of the one whose prefix
 ends with the rarer bigram stands in the prefix of the other. Pivots are looked up there by an equi-join
-on bigram, place and length: an edit allows five cases of shift and length. The distance is verified in the join.
+on bigram, place and length: an edit allows five cases of shift and length. The join verifies a pair: first that the
+sets of letters, as bits, differ by two letters at most, then the distance.
 
 Bigrams are counted over the words; their number is bounded by the alphabet (90 letters), so their ranks
 go to all tasks. Each word takes its most frequent near word as its form if that is frequent enough, and
@@ -70,8 +71,16 @@ def signature(word: str, rank: dict[str, tuple[int, int]]) -> tuple[int, list[tu
     return last[0], [(r[0], i) for r, i in prefix], [(r, i) for i, r, _ in pivots]
 
 
+def letters(word: str) -> int:
+    """The letters of a word as bits, by code point modulo 63: one edit changes two bits at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 63
+    return bits
+
+
 def signed(words: DataFrame) -> DataFrame:
-    """(word, n, size, last, prefix, pivots) of (word, n)."""
+    """(word, n, size, last, letters, prefix, pivots) of (word, n)."""
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substring("word", i, F.lit(GRAM)))).alias("gram")
     found = words.select(gram).groupBy("gram").count().collect()  # bounded by the alphabet
     rank = {r["gram"]: (k, r["count"]) for k, r in enumerate(sorted(found, key=lambda r: (r["count"], r["gram"])))}
@@ -82,21 +91,25 @@ def signed(words: DataFrame) -> DataFrame:
         for pdf in batches:
             signs = [signature(w, rank) for w in pdf["word"]]
             pdf["size"], pdf["last"] = [len(w) for w in pdf["word"]], [s[0] for s in signs]
+            pdf["letters"] = [letters(w) for w in pdf["word"]]
             for k, name in ((1, "prefix"), (2, "pivots")):
                 pdf[name] = [[{"gram": g, "place": i} for g, i in s[k]] for s in signs]
             yield pdf
 
     place = "array<struct<gram:int,place:int>>"
-    return words.mapInPandas(run, f"word string, n long, size int, last int, prefix {place}, pivots {place}")
+    return words.mapInPandas(run, f"word string, n long, size int, last int, letters long, prefix {place}, pivots {place}")
 
 
 def near(signs: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), a before b in code-point order: all pairs of words that differ by one edit."""
     shift = F.explode(F.array(*[F.struct(F.lit(s).alias("dl"), F.lit(p).alias("dp")) for s, p in SHIFTS])).alias("s")
-    probes = signs.select("word", "n", "size", "last", F.explode("pivots").alias("g")).select("*", shift)
-    probes = probes.select(F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"), "g.gram", (F.col("g.place") + F.col("s.dp")).alias("place"), (F.col("size") + F.col("s.dl")).alias("size"))
-    index = signs.select("word", "n", "size", "last", F.explode("prefix").alias("g")).select(F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"), "size", "g.gram", "g.place")
-    found = probes.alias("p").join(index.alias("i"), (F.col("p.gram") == F.col("i.gram")) & (F.col("p.place") == F.col("i.place")) & (F.col("p.size") == F.col("i.size")) & (F.col("last_x") <= F.col("last_y")) & (F.levenshtein("x", "y", EDITS) == EDITS))
+    probes = signs.select("word", "n", "size", "last", "letters", F.explode("pivots").alias("g")).select("*", shift)
+    probes = probes.select(F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"), F.col("letters").alias("letters_x"), "g.gram", (F.col("g.place") + F.col("s.dp")).alias("place"), (F.col("size") + F.col("s.dl")).alias("size"))
+    index = signs.select("word", "n", "size", "last", "letters", F.explode("prefix").alias("g"))
+    index = index.select(F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"), F.col("letters").alias("letters_y"), "size", "g.gram", "g.place")
+    met = (F.col("p.gram") == F.col("i.gram")) & (F.col("p.place") == F.col("i.place")) & (F.col("p.size") == F.col("i.size")) & (F.col("last_x") <= F.col("last_y"))
+    alike = F.bit_count(F.col("letters_x").bitwiseXOR(F.col("letters_y"))) <= 2 * EDITS
+    found = probes.alias("p").join(index.alias("i"), met & alike & (F.levenshtein("x", "y", EDITS) == EDITS))
     swap = F.col("x") > F.col("y")
     pair = [F.when(swap, F.col(v)).otherwise(F.col(u)).alias(name) for u, v, name in (("x", "y", "a"), ("n_x", "n_y", "n_a"), ("y", "x", "b"), ("n_y", "n_x", "n_b"))]
     return found.select(*pair).distinct()
@@ -104,7 +117,8 @@ def near(signs: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, pairs: DataFrame, *, ratio: int = RATIO) -> DataFrame:
     """(word, n, form, form_n, n_near) of (word, n) and its near pairs."""
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("y"), F.col("n_b").alias("n_y")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("y"), F.col("n_a").alias("n_y")))
+    ends = [F.struct(F.col(a).alias("word"), F.col(b).alias("y"), F.col(n).alias("n_y")) for a, b, n in (("a", "b", "n_b"), ("b", "a", "n_a"))]
+    both = pairs.select(F.inline(F.array(*ends)))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_y")).alias("less"), "y")).alias("best"))
     n = -F.col("best.less")
     taken = n >= ratio * F.col("n")
