@@ -209,3 +209,29 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.lower(F.hex(c)).alias(c)
     proof = F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")
     return out.select("doc_id", text("leaf"), text("subroot"), text("root"), proof, text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_CRC = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS crc"""
+_FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}"))
+_LOW = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_FRAME = "OVER (PARTITION BY tree, level, k // 16 ORDER BY k ROWS BETWEEN {})"
+ORACLE = f"""
+WITH RECURSIVE crc AS ({_CRC}),
+fields AS (SELECT doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf, CASE WHEN doc_id IS NOT NULL AND
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {TAMPER} = 0
+    THEN sha256({_LEAF.format(text=_LOW)}) END AS tampered FROM documents, crc),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS m FROM fields),
+own AS (SELECT tree, 0 AS level, k, m, leaf AS hash FROM leaves
+  UNION ALL SELECT tree, level + 1, k // {FAN}, (any_value(m) + {FAN - 1}) // {FAN}, sha256(string_agg(hash, '' ORDER BY k)) FROM own WHERE m > 1 GROUP BY tree, level, k // {FAN}),
+top AS (SELECT -1 AS tree, 0 AS level, tree AS k, count(*) OVER () AS m, hash FROM own WHERE m = 1
+  UNION ALL SELECT tree, level + 1, k // {FAN}, (any_value(m) + {FAN - 1}) // {FAN}, sha256(string_agg(hash, '' ORDER BY k)) FROM top WHERE m > 1 GROUP BY tree, level, k // {FAN}),
+nodes AS (SELECT *, coalesce(string_agg(hash, '') {_FRAME.format("UNBOUNDED PRECEDING AND 1 PRECEDING")}, '') AS l, coalesce(string_agg(hash, '') {_FRAME.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")}, '') AS r
+  FROM (SELECT * FROM own UNION ALL SELECT * FROM top)),
+climb AS (SELECT tree AS t, k AS id, tree, 0 AS level, k, coalesce(tampered, leaf) AS fold, '' AS proof, false AS over FROM leaves
+  UNION ALL SELECT t, id, CASE WHEN n.m = 1 THEN -1 ELSE n.tree END, CASE WHEN n.m = 1 THEN 0 ELSE n.level + 1 END, CASE WHEN n.m = 1 THEN n.tree ELSE n.k // {FAN} END,
+    CASE WHEN n.m = 1 THEN fold ELSE sha256(l || fold || r) END, proof || CASE WHEN n.m = 1 THEN '' ELSE l || r END, n.m = 1 AND n.tree < 0
+  FROM climb c JOIN nodes n ON n.tree = c.tree AND n.level = c.level AND n.k = c.k WHERE NOT over)
+SELECT doc_id, leaf, s.hash AS subroot, root.hash AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root.hash AS verified
+FROM leaves v JOIN climb c ON c.t = v.tree AND c.id = v.k AND c.over JOIN own s ON s.tree = v.tree AND s.m = 1, (SELECT hash FROM top WHERE m = 1) root
+"""

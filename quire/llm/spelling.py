@@ -149,3 +149,20 @@ def variants(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", los
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
+
+
+_CRC = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS crc"
+ORACLE = f"""
+WITH RECURSIVE crc AS ({_CRC}),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{LETTERS}')), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS n, hex(doc_id::VARCHAR || ':' || run) AS x FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::INT + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM kinds, crc),
+words AS (SELECT CASE WHEN h % {LOSE} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= {SHORTEST} AND sum(n) >= {FEWEST}),
+holes AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS hole FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS x, a.n AS n_x, b.word AS y, b.n AS n_y FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.hole = b.word UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.hole = b.word),
+best AS (SELECT x, count(*) AS n_near, arg_min(y, (-n_y, y)) AS y, max(n_y) AS n_y FROM pairs GROUP BY x),
+formed AS (SELECT word, n, CASE WHEN n_y >= {RATIO} * n THEN y END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN n_y >= {RATIO} * n THEN n_y END AS form_n FROM words LEFT JOIN best ON x = word),
+chain AS (SELECT word, word AS root, form FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.form)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chain WHERE form IS NULL) USING (word)
+"""
