@@ -130,26 +130,6 @@ def adjacent_row_label(spark, sf_dir):
     return c.drop("text").join(c.select("tab", (F.col("line") + 1).alias("line"), F.col("text").alias("above")), ["tab", "line"])
 
 
-GLOSS = """SELECT item_id, lower(CASE WHEN regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+( |$)') THEN split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) WHEN regexp_matches(text, '^[A-Za-z]{6,}( |$)') THEN split_part(text, ' ', 1) END) AS term FROM benchmark"""
-GRAMS = """SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM (SELECT doc_id, string_split(unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?: [a-z0-9]+)*')), ' ') AS w FROM documents)"""
-
-
-@query(sql(f"SELECT DISTINCT doc_id, item_id FROM ({GRAMS}) JOIN ({GLOSS}) g ON g.term = gram", "v_lines"))
-def glossary_match(spark, sf_dir):
-    """Glossary terms of one word or two that occur in a document, whatever their case, between signs that are no ASCII letter or digit.
-
-    An equi-join on the words, and pairs of words one space apart, of a document."""
-    t = F.col("text")
-    two = F.concat_ws(" ", F.get(F.split(t, " "), F.lit(0)), F.get(F.split(t, " "), F.lit(1)))
-    term = F.when(t.rlike("^[A-Za-z]+ [A-Za-z]+( |$)"), two).when(t.rlike("^[A-Za-z]{6,}( |$)"), F.get(F.split(t, " "), F.lit(0)))
-    g = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(term).alias("gram")).where("gram IS NOT NULL")
-    runs = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9 ]+| {2,}"))).alias("run"))  # a repeated group would recurse over a long text
-    words = runs.select("doc_id", F.filter(F.split("run", " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
-    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
-    grams = words.select("doc_id", F.explode(F.concat("w", pairs)).alias("gram"))
-    return grams.join(g, "gram").select("doc_id", "item_id").distinct()
-
-
 @query(sql("""SELECT a.id, b.id AS other FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b""", "v_boxes"))
 def cell_overlap(spark, sf_dir):
     """Rectangles of a page that overlap."""

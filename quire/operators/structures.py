@@ -1,4 +1,4 @@
-"""Trees, geometry, vectors, ordered folds, sets and differences of versions."""
+"""Owners, geometry, vectors, ordered folds, sets and differences of versions."""
 
 from __future__ import annotations
 
@@ -11,65 +11,9 @@ from quire.functions import rules as R
 from quire.functions.text import by_row, chunks_of, sentences_of
 from quire.plans.registry import query
 from quire.sources import views as V
-from quire.sources.files import settled
 from quire.sources.views import CELLS, SPANS, UNITS, sql
 
-# ---- trees: nodes and parents ------------------------------------------------------------------
-
-
-def ancestors(edges: DataFrame) -> DataFrame:
-    """(child, up, d): each node with all its ancestors and how far up they are, by doubling: log(depth) joins.
-
-    edges: (child, parent), one row for each child, roots with a null parent. Rounds end when none brings a new pair,
-    so any depth is whole, and a cycle's nodes are each other's ancestors (not their own)."""
-    known = settled(edges.where("parent IS NOT NULL AND parent <> child").select("child", F.col("parent").alias("up"), F.lit(1).alias("d")))
-    reach = 1
-    while True:
-        last = known.where(F.col("d") == reach).select(F.col("child").alias("mid"), F.col("up").alias("far"))
-        more = known.join(last, F.col("up") == F.col("mid")).where("child <> far").groupBy("child", F.col("far").alias("up")).agg(F.min(F.col("d") + reach).alias("d"))
-        new = settled(more.join(known.select("child", "up"), ["child", "up"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known, reach = known.unionByName(new), 2 * reach
-
-
-TREE = """WITH RECURSIVE {views}, up(child, up, d) AS (SELECT child, parent, 1 FROM v_edges WHERE parent IS NOT NULL UNION ALL SELECT u.child, e.parent, d + 1 FROM up u JOIN v_edges e ON e.child = u.up WHERE e.parent IS NOT NULL)
-"""
-
-
-def tree_sql(body: str) -> str:
-    return TREE.format(views=f"v_edges AS ({V.SQL['v_edges']})") + body
-
-
-@query(tree_sql("SELECT child FROM v_edges WHERE child % 11 <> 3 AND child NOT IN (SELECT child FROM up WHERE up % 11 = 3)"))
-def tree_prune(spark, sf_dir):
-    """Nodes left when some go with all below them."""
-    e = V.edges(spark, sf_dir)
-    gone = ancestors(e).where("up % 11 = 3").select("child")
-    return e.where("child % 11 <> 3").join(gone, "child", "left_anti").select("child")
-
-
-@query(tree_sql("SELECT child, count(*) FILTER (WHERE l.label = 'list') AS level FROM up JOIN (SELECT child AS id, label FROM v_edges) l ON l.id = up.up GROUP BY 1"))
-def list_level(spark, sf_dir):
-    """How many lists a node lies in."""
-    e = V.edges(spark, sf_dir)
-    return ancestors(e).join(e.select(F.col("child").alias("up"), "label"), "up").groupBy("child").agg(F.count_if(F.col("label") == "list").alias("level"))
-
-
-@query(tree_sql("SELECT DISTINCT up.child FROM up JOIN v_edges p ON p.child = up.up AND p.label = 'picture' JOIN v_edges t ON t.child = up.child AND t.label = 'text'"))
-def picture_descendants(spark, sf_dir):
-    """Texts under a picture at any depth."""
-    e = V.edges(spark, sf_dir)
-    pictures = e.where("label = 'picture'").select(F.col("child").alias("up"))
-    return ancestors(e).join(pictures, "up", "left_semi").join(e.where("label = 'text'"), "child", "left_semi").select("child").distinct()
-
-
-@query(tree_sql("SELECT child, path FROM (SELECT child, string_agg(lpad(up::VARCHAR, 6, '0'), '/' ORDER BY d DESC) || '/' || lpad(child::VARCHAR, 6, '0') AS path FROM up GROUP BY 1)"))
-def load_order(spark, sf_dir):
-    """A sort key for the pre-order walk: the path from the root."""
-    path = F.sort_array(F.collect_list(F.struct("d", F.lpad(F.col("up").cast("string"), 6, "0").alias("p"))), asc=False)
-    g = ancestors(V.edges(spark, sf_dir)).groupBy("child").agg(F.array_join(F.transform(path, lambda x: x["p"]), "/").alias("path"))
-    return g.select("child", F.concat("path", F.lit("/"), F.lpad(F.col("child").cast("string"), 6, "0")).alias("path"))
+# ---- owners of nodes ------------------------------------------------------------------------------
 
 
 @query(sql("SELECT c.child, count(*) AS owners, bool_and(p.label <> 'text') AS safe FROM v_edges c JOIN v_edges p ON c.parent = p.child OR (c.child % 10 = 0 AND c.parent + 1 = p.child) GROUP BY 1 HAVING count(*) <> 1 OR NOT bool_and(p.label <> 'text')", "v_edges"))
@@ -455,15 +399,6 @@ def halving(spark, sf_dir):
     return V.units(spark, sf_dir).select("doc_id", F.when(k <= F.floor((n + 1) / 2), 0).otherwise(1).alias("half")).groupBy("doc_id", "half").agg(F.count(F.lit(1)).alias("units"))
 
 
-@query()
-def glossary_budget(spark, sf_dir):
-    """Rows taken in order while they fit 800 bytes; those that don't fit are skipped."""
-    g = V.units(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.octet_length("text").alias("n")))).alias("u"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-    fold = F.aggregate("u", start, lambda a, x: F.when(a["used"] + x["n"] <= 800, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["out"], F.array(x["ord"])).alias("out"))).otherwise(a), lambda a: a["out"])
-    return g.select("doc_id", F.explode(fold).alias("ord"))
-
-
 @query()
 def rag_chunks(spark, sf_dir):
     """Chunks of at most 1,000 characters with up to 100 of overlap, cut at paragraphs, then sentences, then spaces."""

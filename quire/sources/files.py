@@ -33,7 +33,15 @@ def settled(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, so that rounds don't repeat what came before them."""
     path = scratch(df.sparkSession, "settled")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def unsettled(df: DataFrame) -> None:
+    """Deletes a table of settled() that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
