@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
 from quire.operators import agent, aggregates, glossary, joins, parts, projections, structures, texts, trees, validation, windows  # noqa: F401
-from quire.streaming import calls  # noqa: F401
+from quire.streaming import agent_loop, calls  # noqa: F401
