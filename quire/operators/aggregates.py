@@ -81,13 +81,6 @@ def column_anchors(spark, sf_dir):
     return V.boxes(spark, sf_dir).groupBy("page").agg(anchors_of(F.collect_list(F.col("l").cast("double")), 6.0).alias("anchors"))
 
 
-@query(sql("SELECT page, anchor, min(t)::BIGINT AS top, max(b)::BIGINT AS bottom FROM (SELECT *, CASE WHEN l < 104 THEN 4 WHEN l < 304 THEN 204 ELSE 404 END AS anchor FROM v_boxes) GROUP BY 1, 2", "v_boxes"))
-def column_extents(spark, sf_dir):
-    """The extent of each column: items belong to the nearest anchor, the first where two are as near."""
-    near = F.array_min(F.transform(F.array(*map(F.lit, (4, 204, 404))), lambda a: F.struct(F.abs(F.col("l") - a).alias("d"), a.alias("a"))))["a"]
-    return V.boxes(spark, sf_dir).groupBy("page", near.cast("long").alias("anchor")).agg(F.min("t").alias("top"), F.max("b").alias("bottom"))
-
-
 def bands(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """Unions of intervals: a new band begins where none of those before reaches."""
     w = Window.partitionBy(by).orderBy(start, end)

@@ -15,11 +15,6 @@ def ordered_text(order: str, text: str, sep: str = "") -> F.Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep)
 
 
-def containing(small: DataFrame, large: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of boxes (l, t, r, b) of the same page of which the first lies within the second (L, T, R, B)."""
-    return small.join(large, on).where("l >= L_ AND t >= T_ AND r <= R_ AND b <= B_")
-
-
 @query(sql("SELECT e.child, e.parent, p.label AS parent_label FROM v_edges e LEFT JOIN v_edges p ON e.parent = p.child", "v_edges"))
 def ref_resolve(spark, sf_dir):
     """References to nodes; one that leads nowhere gives null."""
@@ -57,27 +52,6 @@ def body_without_owned(spark, sf_dir):
     return u.join(owned, ["doc_id", "ord"], "left_anti").select("unit_id", "text")
 
 
-@query(sql("SELECT id, any_value(tab) AS tab FROM (SELECT i.id, t.id AS tab FROM v_boxes i JOIN v_boxes t ON i.page = t.page AND i.label = 'text' AND t.label = 'table' AND i.l >= t.l AND i.t >= t.t AND i.r <= t.r + 100 AND i.b <= t.b + 60) GROUP BY 1 HAVING count(*) = 1", "v_boxes"))
-def image_in_table(spark, sf_dir):
-    """Items that lie within exactly one table of their page (with some margin)."""
-    b = V.boxes(spark, sf_dir)
-    tables = b.where("label = 'table'").select("page", F.col("id").alias("tab"), F.col("l").alias("L_"), F.col("t").alias("T_"), (F.col("r") + 100).alias("R_"), (F.col("b") + 60).alias("B_"))
-    inside = containing(b.where("label = 'text'").select("page", "id", "l", "t", "r", "b"), tables, ["page"])
-    return inside.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("tab").alias("tab")).where("n = 1").select("id", "tab")
-
-
-@query(sql("""SELECT i.id, c.id AS column_id, r.id AS row_id FROM v_boxes i JOIN v_boxes c ON c.page = i.page AND c.label = 'text' AND (i.l + i.r) BETWEEN 2 * c.l AND 2 * c.r
-JOIN v_boxes r ON r.page = i.page AND r.label = 'text' AND (i.t + i.b) BETWEEN 2 * r.t AND 2 * r.b WHERE i.label = 'image'""", "v_boxes"))
-def image_to_cell(spark, sf_dir):
-    """Columns whose range holds an image's centre, and rows whose range does: candidate cells."""
-    b = V.boxes(spark, sf_dir)
-    images = b.where("label = 'image'").select("page", "id", (F.col("l") + F.col("r")).alias("x2"), (F.col("t") + F.col("b")).alias("y2"))
-    heads = b.where("label = 'text'")
-    columns = heads.select("page", F.col("id").alias("column_id"), (2 * F.col("l")).alias("x_from"), (2 * F.col("r")).alias("x_to"))
-    rows = heads.select("page", F.col("id").alias("row_id"), (2 * F.col("t")).alias("y_from"), (2 * F.col("b")).alias("y_to"))
-    return images.join(columns, "page").where("x2 BETWEEN x_from AND x_to").join(rows, "page").where("y2 BETWEEN y_from AND y_to").select("id", "column_id", "row_id")
-
-
 POOL_SQL = """SELECT * FROM (SELECT a.unit_id AS query, b.unit_id AS candidate, a.kind = b.kind AS exact, max(a.kind = b.kind) OVER (PARTITION BY a.unit_id) AS any_exact, len(string_split(b.text, '. ')) >= 8 AS merged
 FROM v_units a JOIN v_tr b ON a.doc_id = b.doc_id AND abs(a.ord - b.ord) <= 3 AND (a.kind = b.kind OR (a.kind = 'heading') = (b.kind = 'heading')))"""
 
@@ -130,14 +104,6 @@ def adjacent_row_label(spark, sf_dir):
     return c.drop("text").join(c.select("tab", (F.col("line") + 1).alias("line"), F.col("text").alias("above")), ["tab", "line"])
 
 
-@query(sql("""SELECT a.id, b.id AS other FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b""", "v_boxes"))
-def cell_overlap(spark, sf_dir):
-    """Rectangles of a page that overlap."""
-    b = V.boxes(spark, sf_dir).select("page", "id", "l", "t", "r", "b")
-    o = b.select("page", *[F.col(c).alias(f"{c}2") for c in ("id", "l", "t", "r", "b")])
-    return b.join(o, "page").where("id < id2 AND l < r2 AND l2 < r AND t < b2 AND t2 < b").select("id", F.col("id2").alias("other"))
-
-
 @query(sql("SELECT u.lang AS role, u.unit_id FROM v_units u WHERE NOT EXISTS (SELECT 1 FROM v_v2 v WHERE v.unit_id = u.unit_id)", *UNITS, "v_v2"))
 def pending_units(spark, sf_dir):
     """Units that no group holds yet."""

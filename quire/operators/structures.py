@@ -78,16 +78,6 @@ def grid_expand(spark, sf_dir):
     return grid.select("tab", "row", "col", at.alias("x")).select("tab", "row", "col", F.coalesce("x.text", F.lit("")).alias("text"), F.coalesce("x.cells", F.lit(0)).cast("long").alias("cells"), F.coalesce("x.conflict", F.lit(False)).alias("conflict"))
 
 
-@query()
-def reading_order(spark, sf_dir):
-    """Per page: by band, nearest column, top, left; items of headers first and of footers last."""
-    b = V.boxes(spark, sf_dir)
-    region = F.when(F.col("t") < 36, 0).when(F.col("t") > 324, 2).otherwise(1)
-    column = F.array_min(F.transform(F.array(*map(F.lit, (4, 204, 404))), lambda a: F.struct(F.abs(F.col("l") - a), a)))
-    w = Window.partitionBy("page").orderBy(region, column, "t", "l", "id")
-    return b.select("page", "id", F.row_number().over(w).alias("place"))
-
-
 # ---- vectors -----------------------------------------------------------------------------------
 
 
@@ -414,19 +404,6 @@ def sentence_split(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(by_row(sentences_of, "array<string>")("text")).alias("k", "sentence"))
 
 
-@query(sql("""SELECT page, island, string_agg(text, ' ' ORDER BY k) AS text, count(*) AS parts FROM (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (
-SELECT *, CASE WHEN lag(label) OVER w = label AND t - lag(b) OVER w BETWEEN -2 AND 20 THEN 0 ELSE 1 END AS brk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY l // 200, t, id) AS k FROM v_boxes) WINDOW w AS (PARTITION BY page ORDER BY k))) GROUP BY 1, 2""", "v_boxes"))
-def fragment_merge(spark, sf_dir):
-    """Neighbouring fragments of a kind joined into chains."""
-    order = Window.partitionBy("page").orderBy(F.floor(F.col("l") / 200), "t", "id")
-    w = Window.partitionBy("page").orderBy("k")
-    b = V.boxes(spark, sf_dir).withColumn("k", F.row_number().over(order))
-    same = (F.lag("label").over(w) == F.col("label")) & (F.col("t") - F.lag("b").over(w)).between(-2, 20)
-    b = b.withColumn("brk", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")
-    return b.groupBy("page", "island").agg(text.alias("text"), F.count(F.lit(1)).alias("parts"))
-
-
 @query(sql("SELECT o_custkey AS chain, tab, sum(n) OVER (PARTITION BY o_custkey ORDER BY tab ROWS UNBOUNDED PRECEDING)::BIGINT - n AS row_offset FROM (SELECT tab, max(row) AS n FROM v_cells GROUP BY 1) JOIN orders ON o_orderkey = tab", *CELLS))
 def table_merge(spark, sf_dir):
     """Tables of a chain appended: where each one's rows begin."""

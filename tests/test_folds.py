@@ -156,16 +156,6 @@ def test_front_page_and_lines(spark):
     assert set(found) == set(want) and all(abs(found[d].ratio - v) < 1e-6 and found[d].copied == (v >= 0.85) for d, v in want.items())
 
 
-def test_reading_order_by_hand(spark):
-    want = defaultdict(list)
-    for r in V.boxes(spark, SF).collect():
-        region = 0 if r.t < 36 else 2 if r.t > 324 else 1
-        column = min((abs(r.l - a), a) for a in (4, 204, 404))
-        want[r.page].append((region, column, r.t, r.l, r.id))
-    got = {(r.page, r.id): r.place for r in structures.reading_order(spark, SF).collect()}
-    assert got == {(p, x[-1]): k for p, rows in want.items() for k, x in enumerate(sorted(rows), 1)}
-
-
 def test_pieces_by_hand(spark):
     units = V.units(spark, SF).orderBy("doc_id", "ord").collect()
     spans = defaultdict(list)
