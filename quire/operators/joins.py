@@ -62,11 +62,12 @@ def candidate_pool(spark, sf_dir):
     a = V.units(spark, sf_dir).select("doc_id", F.col("unit_id").alias("query"), "kind", "ord")
     b = V.translation(spark, sf_dir).select("doc_id", F.col("unit_id").alias("candidate"), F.col("kind").alias("c_kind"), F.col("ord").alias("c_ord"), (F.size(F.split("text", r"\. ")) >= 8).alias("merged"))
     exact = F.col("kind") == F.col("c_kind")
-    near = a.join(b, "doc_id").where((F.abs(F.col("ord") - F.col("c_ord")) <= 3) & (exact | ((F.col("kind") == "heading") == (F.col("c_kind") == "heading")))).withColumn("exact", exact)
+    around = a.withColumn("c_ord", F.explode(F.sequence(F.col("ord") - 3, F.col("ord") + 3)))  # an equi-join on the place, not all pairs of a document
+    near = around.join(b, ["doc_id", "c_ord"]).where(exact | ((F.col("kind") == "heading") == (F.col("c_kind") == "heading"))).withColumn("exact", exact)
     return near.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query"))).where("exact OR merged OR NOT any_exact").select("query", "candidate", "exact")
 
 
-LABELLED = r"""SELECT c.tab, c.row, c.col, c.tab % 3 AS section, l.label, CASE WHEN c.text <> '' THEN lead(l.label) OVER (PARTITION BY c.tab, c.col ORDER BY c.row) END AS below FROM v_cells c JOIN (SELECT tab, row, regexp_replace(lower(text), '\s+(\d)', '\1', 'g') AS label FROM v_cells WHERE col = 0 AND NOT header) l USING (tab, row) WHERE c.col IN (1, 4) AND NOT c.header"""
+LABELLED = r"""SELECT c.tab, c.row, c.col, c.tab % 3 AS section, l.label, CASE WHEN c.text <> '' THEN lead(l.label) OVER (PARTITION BY c.tab, c.col ORDER BY c.row) END AS below FROM v_cells c JOIN (SELECT tab, row, regexp_replace(lower(text), '\s+(\d)', '\1', 'g') AS label FROM v_cells WHERE col = 0 AND NOT header) l USING (tab, row) WHERE NOT c.header"""
 
 
 @query(sql(f"""SELECT tab, row, col, c_row, c_col, tier FROM (SELECT *, min(tier) OVER (PARTITION BY tab, row, col) AS best FROM (SELECT a.tab, a.row, a.col, b.row AS c_row, b.col AS c_col,
@@ -77,14 +78,21 @@ def candidate_tier(spark, sf_dir):
 
     1 same row label and column, 2 same row label, 3 same label below and same column, 4 same column, 5 same section, 6 any."""
     label = F.max(F.when(F.col("col") == 0, F.regexp_replace(F.lower("text"), r"\s+(\d)", "$1"))).over(Window.partitionBy("tab", "row"))
-    cells = V.cells(spark, sf_dir).where("NOT header").repartition("tab").withColumn("label", label).where("col IN (1, 4)")  # one shuffle, by table
+    cells = V.cells(spark, sf_dir).where("NOT header").repartition("tab").withColumn("label", label)  # one shuffle, by table
     below = F.when(F.col("text") != "", F.lead("label").over(Window.partitionBy("tab", "col").orderBy("row")))
     cells = cells.select("tab", "row", "col", (F.col("tab") % 3).alias("section"), "label", below.alias("below"))
-    other = cells.where("(tab * 7 + row) % 3 <> 0").select("tab", *[F.col(x).alias(f"c_{x}") for x in ("row", "col", "section", "label", "below")])
-    same = lambda x: F.col(x) == F.col(f"c_{x}")
-    tier = F.when(same("label") & same("col"), 1).when(same("label"), 2).when(same("below") & same("col"), 3).when(same("col"), 4).when(same("section"), 5).otherwise(6)
-    pairs = cells.join(other, "tab").withColumn("tier", tier)
-    return pairs.withColumn("best", F.min("tier").over(Window.partitionBy("tab", "row", "col"))).where("tier = best").select("tab", "row", "col", "c_row", "c_col", "tier")
+    one = F.struct("row", "col", "section", "label", "below")
+    g = cells.groupBy("tab").agg(F.collect_list(one).alias("all"), F.collect_list(F.when((F.col("tab") * 7 + F.col("row")) % 3 != 0, one)).alias("other"))
+    each = g.select("tab", "other", F.explode("all").alias("me"))
+
+    def tier(x):
+        same = lambda n: F.coalesce(x[n] == F.col(f"me.{n}"), F.lit(False))
+        return F.when(same("label") & same("col"), 1).when(same("label"), 2).when(same("below") & same("col"), 3).when(same("col"), 4).when(same("section"), 5).otherwise(6)
+
+    tiered = each.select("tab", "me", F.transform("other", lambda x: F.struct(tier(x).alias("tier"), x["row"].alias("row"), x["col"].alias("col"))).alias("t"))
+    best = tiered.withColumn("best", F.array_min(F.transform("t", lambda x: x["tier"])))
+    kept = best.select("tab", "me", F.explode(F.filter("t", lambda x: x["tier"] == F.col("best"))).alias("x"))
+    return kept.select("tab", F.col("me.row").alias("row"), F.col("me.col").alias("col"), F.col("x.row").alias("c_row"), F.col("x.col").alias("c_col"), F.col("x.tier").alias("tier"))
 
 
 @query(sql("SELECT a.tab, a.row, a.col, string_agg(b.text, ' | ' ORDER BY b.col) AS siblings FROM v_cells a JOIN v_cells b ON a.tab = b.tab AND a.row = b.row AND a.col <> b.col WHERE b.text <> '' GROUP BY 1, 2, 3", *CELLS))
@@ -97,7 +105,8 @@ def sibling_cells(spark, sf_dir):
     return each.withColumn("o", others).where(F.size("o") > 0).select("tab", "row", F.col("me.col").alias("col"), F.array_join(F.transform("o", lambda x: x["text"]), " | ").alias("siblings"))
 
 
-@query(sql("SELECT a.tab, a.line, a.row, b.text AS above FROM (SELECT * FROM v_cells WHERE col = 0) a JOIN (SELECT tab, line + 1 AS line, text FROM v_cells WHERE col = 0) b USING (tab, line)", *CELLS))
+@query(f"""WITH v_rows AS ({V.SQL['v_rows']}), firsts AS MATERIALIZED (SELECT l_orderkey AS tab, r AS row, l_linenumber AS line, 'part ' || l_partkey AS text FROM v_rows UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 'part' FROM lineitem)
+SELECT a.tab, a.line, a.row, b.text AS above FROM firsts a JOIN (SELECT tab, line + 1 AS line, text FROM firsts) b USING (tab, line)""")
 def adjacent_row_label(spark, sf_dir):
     """The label one line above; lines may be missing, so the number decides, not the place."""
     c = V.cells(spark, sf_dir).where("col = 0").select("tab", "line", "row", "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions.json_refs import refs_of, shifted
+from quire.functions.text import by_row
 from quire.plans.registry import query
 from quire.sources import views as V
 from quire.sources.views import SPANS, UNITS, sql
@@ -28,6 +30,29 @@ def merge_rewrites(spark, sf_dir):
     return own.join(before, ["part", "range"]).select("doc_id", F.concat(F.lit("#/texts/"), F.col("n_before") + F.col("k")).alias("ref"), (F.col("p_before") + F.col("q") + 1).alias("first_page"), uri.alias("uri"), F.conv(F.right("sha", F.lit(16)), 16, 10).alias("origin"))
 
 
+#: Text that looks like references, which a walker must leave alone.
+DECOY = 'says "$ref": "#/texts/0" and \\ and {"$ref":"#/texts/1"}'
+
+
+@query(sql(f"""SELECT doc_id, before, string_agg('#/texts/' || (before + k - 1), ',' ORDER BY '#/texts/' || (before + k - 1)) AS refs, sha256(string_agg('{DECOY}' || text, '|' ORDER BY k)) AS texts
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) JOIN (SELECT doc_id, sum(n) OVER (PARTITION BY doc_id // 5 ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - n AS before FROM (SELECT doc_id, count(*) AS n FROM v_units GROUP BY 1)) USING (doc_id) GROUP BY doc_id, before""", *UNITS))
+def refs_shifted(spark, sf_dir):
+    """Documents as JSON parts of one document: their references, at any depth, moved on by the texts of the parts before, their texts untouched.
+
+    Every fifth document begins a new whole; some parts are written with spaces and line ends."""
+    u = V.units(spark, sf_dir).withColumn("text", F.concat(F.lit(DECOY), F.col("text"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("u"))
+    own = lambda i: F.concat(F.lit("#/texts/"), i)
+    body = F.struct(F.lit("#/body").alias("self_ref"), F.transform("u", lambda x, i: F.struct(own(i).alias("$ref"))).alias("children"))
+    texts = F.transform("u", lambda x, i: F.struct(own(i).alias("self_ref"), x["text"].alias("text"), F.struct(F.array(F.struct(own(i).alias("$ref"))).alias("captions")).alias("data")))
+    whole = F.struct(body.alias("body"), texts.alias("texts"))
+    parts = u.select("doc_id", F.size("u").cast("long").alias("n"), F.when(F.col("doc_id") % 2 == 0, F.to_json(whole, {"pretty": "true"})).otherwise(F.to_json(whole)).alias("json"))
+    w = Window.partitionBy(F.floor(F.col("doc_id") / 5)).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("before", F.sum("n").over(w) - F.col("n"))
+    moved = placed.withColumn("json", by_row(shifted, "string")("json", F.array(F.lit("texts")), F.array("before")))
+    read = F.from_json("json", "texts array<struct<self_ref:string,text:string>>")
+    return moved.select("doc_id", "before", F.array_join(by_row(refs_of, "array<string>")("json"), ",").alias("refs"), F.sha2(F.array_join(F.transform(read["texts"], lambda x: x["text"]), "|"), 256).alias("texts"))
+
+
 FRAGMENTS = "SELECT *, id // 9 % 2 + 2 AS n_cols, id % 4 + 1 AS n_rows, lag(l) OVER w AS p_l, lag(r) OVER w AS p_r, lag(b) OVER w AS p_b, lag(id // 9 % 2 + 2) OVER w AS p_cols FROM v_boxes WINDOW w AS (PARTITION BY page, l // 200 ORDER BY t, id)"
 JOINS = "t - p_b BETWEEN -2 AND 24 AND n_cols = p_cols AND (least(r, p_r) - greatest(l, p_l)) * 10 >= 8 * least(r - l, p_r - p_l)"
 

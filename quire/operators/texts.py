@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as R
+from quire.functions.json_refs import refs_of
+from quire.functions.text import by_row
 from quire.plans.registry import query
 from quire.sources import views as V
 from quire.sources.views import CELLS, MARKED, UNITS, sql
@@ -255,15 +257,11 @@ def image_links(spark, sf_dir):
     return s.select("unit_id", (F.col("pos") + 1).alias("nth"), "s.caption", "s.target")
 
 
-CANON_SQL = "'{\"ord\":' || ord || ',\"raw\":' || to_json(raw) || ',\"unit_id\":' || to_json(unit_id) || '}'"
-
-
-@query(sql(f"SELECT unit_id, sha256({CANON_SQL}) AS sha, strlen({CANON_SQL}) + 5 AS bytes FROM v_marked WHERE k % 14 <> 0", *MARKED))
+@query()
 def canonical_hashes(spark, sf_dir):
-    """The hash of a record as canonical JSON, and its bytes with default separators; control signs (k % 14 = 0) are a case for plain JSON writers."""
+    """The hash of a record as canonical JSON, and its bytes with default separators; control signs are escaped."""
     fields = {"unit_id": F.col("unit_id"), "ord": F.col("ord"), "raw": raw()}
-    rows = V.marked(spark, sf_dir).where("k % 14 <> 0")
-    return rows.select("unit_id", F.sha2(R.canonical_json(**fields), 256).alias("sha"), R.json_size(**fields).cast("long").alias("bytes"))
+    return V.marked(spark, sf_dir).select("unit_id", F.sha2(R.canonical_json(**fields), 256).alias("sha"), R.json_size(**fields).cast("long").alias("bytes"))
 
 
 @query(sql("SELECT child, CASE WHEN parent IS NULL THEN '' ELSE '#/nodes/' || parent END || CASE WHEN child % 2 = 0 THEN CASE WHEN parent IS NULL THEN '' ELSE ',' END || '#/pictures/' || child ELSE '' END AS refs FROM v_edges", "v_edges"))
@@ -275,7 +273,7 @@ def collected_refs(spark, sf_dir):
         F.struct(F.when(F.col("child") % 2 == 0, F.array(ref(F.lit("#/pictures/"), F.col("child")))).alias("children")).alias("data"),
         F.lit('text with "$ref":"#/none"').alias("text"),
     )
-    return V.edges(spark, sf_dir).select("child", F.array_join(R.refs(F.to_json(node)), ",").alias("refs"))
+    return V.edges(spark, sf_dir).select("child", F.array_join(by_row(refs_of, "array<string>")(F.to_json(node, {"pretty": "true"})), ",").alias("refs"))
 
 
 # ---- small set and state operators ---------------------------------------------------------------
