@@ -1,15 +1,15 @@
 """URL filters by rules and a path-template tree (operator 8).
 
 Rules (host, path) come first; the longest that fits decides. For other urls, each host gets a tree
-of path templates: digits, hexadecimal and very long segments become wildcards by form, and what lies
-deeper than DEPTH segments is one; children whose labelled share of bad pages doesn't differ from their
-parent's by a two-proportion test (unlabelled ones never do) merge into one wildcard branch, at any width. A template is rejected if its
-share of bad labels, smoothed towards its host's and that towards all pages', is over a threshold (half: so without labels none is).
-DataFrame functions only; trees are made from counts by host and path form, never from rows.
+of path templates, as deep as its paths: numbers and hexadecimal segments become wildcards by form; children whose labelled share of
+bad pages doesn't differ from their parent's by a two-proportion test (unlabelled ones never do) merge into one wildcard branch, at any
+width, depth and length. A template is rejected if its share of bad labels, smoothed towards its host's and that towards all pages', is
+over a threshold (half: so without labels none is). DataFrame functions only; trees are made from counts by host and path form, never from
+rows. A round takes each branch to its next fork at once, so rounds are as many as forks lie on one path, whatever its length.
 
 Cases: a null url, or one without ://, has empty host and path; null labels don't count; a page
 with several labels is bad if one is; an empty table gives an empty one; repeated rows are judged
-alike; other columns of pages are kept."""
+alike; a very long path is read whole; other columns of pages are kept."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from .common import dropped, fresh, table, written
 
 #: (host, path, verdict): the production rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH, Z2, STRENGTH, REJECT = 6, 3.84, 5.0, 0.5
+Z2, STRENGTH, REJECT = 3.84, 5.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -39,33 +39,43 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path's first `depth` segments with variable forms generalised; deeper ones become one **."""
-
-    def form(s):
-        return F.when(s.rlike("^[0-9a-fA-F]{8,}$") & s.rlike("[0-9]"), "{h}").when(F.length(s) > 40, "{s}").otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
-
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.when(F.size(segments) > depth, F.concat(F.transform(F.slice(segments, 1, depth), form), F.array(F.lit("**")))).otherwise(F.transform(segments, form))
-
-
-def template_tree(shapes: DataFrame, *, depth: int = DEPTH, z2: float = Z2) -> DataFrame:
-    """shapes (host, shape, labelled, bad) -> the same with template, the shape after merging, level by level."""
-    now = written(shapes.withColumn("t", F.col("shape")), "shapes")
-    deepest = now.agg(F.max(F.size("t"))).first()[0] or 0
-    for i in range(deepest):
-        here = now.where(F.size("t") > i).select("host", F.array_join(F.slice("t", 1, i), "/").alias("parent") if i else F.lit("").alias("parent"), F.get("t", F.lit(i)).alias("child"), "labelled", "bad")
-        child = here.groupBy("host", "parent", "child").agg(F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
-        parent = child.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
+def shape(path: Column) -> Column:
+    """The path's segments, hexadecimal ones and numbers generalised."""
+    form = lambda s: F.when(s.rlike("^[0-9a-fA-F]{8,}$") & s.rlike("[0-9]"), "{h}").otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), form)
+
+
+def template_tree(shapes: DataFrame, *, z2: float = Z2) -> DataFrame:
+    """shapes (host, shape, labelled, bad) -> the same with template, the shape after merging, fork by fork from the root.
+
+    t: the shape so far, of which the first `at` segments are settled. The least and the largest t of a branch share what all of it shares, so they tell
+    where its next fork is; a branch of one t is done, and so is a shape that ends at a fork."""
+    now = written(shapes.select("*", F.col("shape").alias("t"), F.lit(0).alias("at")), "shapes")
+    done: list[DataFrame] = []
+    while True:
+        keyed = now.withColumn("parent", F.array_join(F.slice("t", F.lit(1), F.col("at")), "/"))
+        branch = keyed.groupBy("host", "at", "parent").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+        fork = F.array_position(F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False))), False).cast("int") - 1
+        laid = written(keyed.join(branch.select("host", "at", "parent", F.when(F.col("low") != F.col("high"), fork).alias("fork")), ["host", "at", "parent"]), "forks")
+        live = F.col("fork").isNotNull() & (F.size("t") > F.col("fork"))
+        columns = ["host", "shape", "labelled", "bad"]
+        done.append(laid.where(~live).select(*columns, "t"))
+        here = laid.where(live).select(*columns, "t", "fork", F.array_join(F.slice("t", F.lit(1), F.col("fork")), "/").alias("parent"), F.get("t", F.col("fork")).alias("child"))
+        if here.isEmpty():
+            break
+        child = here.groupBy("host", "fork", "parent", "child").agg(F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
+        parent = child.groupBy("host", "fork", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
         p, c = (F.col("pb") + 0.5) / (F.col("pl") + 1.0), F.col("cb") / F.col("cl")
         alike = (F.col("cl") == 0) | (F.col("cl") * ((c - p) * (c - p)) <= F.lit(z2) * (p * (1.0 - p)))
-        merge = child.join(parent, ["host", "parent"]).where((F.col("children") > 1) & alike).select("host", "parent", "child", F.lit(True).alias("merge"))
-        keyed = now.withColumn("parent", F.array_join(F.slice("t", 1, i), "/") if i else F.lit("")).withColumn("child", F.get("t", F.lit(i)))
-        t = F.when(F.col("merge"), F.concat(F.slice("t", 1, i) if i else F.array().cast("array<string>"), F.array(F.lit("*")), F.slice("t", i + 2, 2 * depth))).otherwise(F.col("t"))
-        nxt = written(keyed.join(merge, ["host", "parent", "child"], "left").select("host", "shape", "labelled", "bad", t.alias("t")), "shapes")
-        dropped(now)
-        now = nxt
-    return now.select("host", "shape", "labelled", "bad", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"))
+        merge = child.join(parent, ["host", "fork", "parent"]).where((F.col("children") > 1) & alike).select("host", "fork", "parent", "child", F.lit(True).alias("merge"))
+        wild = F.concat(F.slice("t", F.lit(1), F.col("fork")), F.array(F.lit("*")), F.slice("t", F.col("fork") + 2, F.size("t")))
+        joined = here.join(merge, ["host", "fork", "parent", "child"], "left").select(*columns, F.when(F.col("merge"), wild).otherwise(F.col("t")).alias("t"), (F.col("fork") + 1).alias("at"))
+        last, now = now, written(joined, "shapes")
+        dropped(last)
+    out = done[0]
+    for one in done[1:]:
+        out = out.unionByName(one)
+    return out.select(*columns, F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, page_id: str = "page_id", url: str = "url", strength: float = STRENGTH, reject: float = REJECT, **tree) -> DataFrame:
@@ -75,7 +85,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, page_id: str = "p
     names = fresh(pages, "host", "path", "rule", "template", "purity", "verdict", "shape_")
     c_host, c_path, c_rule, c_template, c_purity, c_verdict, c_shape = names
     host, path = host_path(F.col(url))
-    base = pages.withColumn(c_host, host).withColumn(c_path, path).withColumn(c_shape, shape(F.col(c_path), tree.get("depth", DEPTH)))
+    base = pages.withColumn(c_host, host).withColumn(c_path, path).withColumn(c_shape, shape(F.col(c_path)))
     marks = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("page_id").alias("lid")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     seen = base.select(F.col(page_id).alias("pid"), F.col(c_host).alias("host"), F.col(c_shape).alias("shape")).join(marks, F.col("pid") == F.col("lid"), "left")
     shapes = seen.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
@@ -103,21 +113,18 @@ def _oracle() -> str:
     url = URL.replace("'", "''")
     rules = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     case = lambda i: "CASE " + " ".join(f"WHEN (host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}') THEN '{r[2] if i else r[0] + r[1]}'" for r in rules) + " END"
-    form = "CASE WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') AND regexp_matches(s, '[0-9]') THEN '{h}' WHEN length(s) > 40 THEN '{s}' ELSE regexp_replace(s, '[0-9]+', '{n}', 'g') END"
-    sql = f"""WITH base AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{url}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{url}', 2) AS path FROM pages),
-segs AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS s0 FROM base),
-shaped AS (SELECT page_id, host, path, CASE WHEN len(s0) > {DEPTH} THEN list_append(list_transform(s0[1:{DEPTH}], lambda s: {form}), '**') ELSE list_transform(s0, lambda s: {form}) END AS shape FROM segs),
+    form = "CASE WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') AND regexp_matches(s, '[0-9]') THEN '{h}' ELSE regexp_replace(s, '[0-9]+', '{n}', 'g') END"
+    child, parent = "OVER (PARTITION BY host, i, parent, child)", "OVER (PARTITION BY host, i, parent)"
+    sql = f"""WITH RECURSIVE base AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{url}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{url}', 2) AS path FROM pages),
+shaped AS (SELECT page_id, host, path, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: {form}) AS shape FROM base),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-t0 AS (SELECT host, shape, shape AS t, count(bad) AS labelled, sum(coalesce(bad, 0)) AS bad FROM shaped LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2)"""
-    for i in range(DEPTH + 1):
-        sql += f""",
-k{i} AS (SELECT *, array_to_string(t[1:{i}], '/') AS parent, t[{i + 1}] AS child FROM t{i}),
-c{i} AS (SELECT host, parent, child, sum(labelled) AS cl, sum(bad) AS cb FROM k{i} WHERE child IS NOT NULL GROUP BY 1, 2, 3),
-p{i} AS (SELECT host, parent, count(*) AS children, (sum(cb) + 0.5::DOUBLE) / (sum(cl) + 1.0::DOUBLE) AS p FROM c{i} GROUP BY 1, 2),
-m{i} AS (SELECT host, parent, child, true AS merge FROM c{i} JOIN p{i} USING (host, parent) WHERE children > 1 AND (cl = 0 OR cl * ((cb / nullif(cl, 0) - p) * (cb / nullif(cl, 0) - p)) <= {Z2}::DOUBLE * (p * (1.0::DOUBLE - p)))),
-t{i + 1} AS (SELECT k.host, shape, labelled, bad, CASE WHEN merge THEN list_concat(list_append(t[1:{i}], '*'), t[{i + 2}:]) ELSE t END AS t FROM k{i} k LEFT JOIN m{i} m ON k.host = m.host AND k.parent = m.parent AND k.child = m.child)"""
+t0 AS (SELECT host, shape, count(bad) AS labelled, sum(coalesce(bad, 0)) AS bad FROM shaped LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2),
+levels AS (SELECT 0 AS i, host, shape, shape AS t, labelled, bad, (SELECT max(len(shape)) FROM t0) AS deepest FROM t0 UNION ALL
+  SELECT i + 1, host, shape, CASE WHEN child IS NOT NULL AND children > 1 AND (cl = 0 OR cl * ((cb / nullif(cl, 0) - p) * (cb / nullif(cl, 0) - p)) <= {Z2}::DOUBLE * (p * (1.0::DOUBLE - p))) THEN list_concat(list_append(t[1:i], '*'), t[i + 2:]) ELSE t END, labelled, bad, deepest
+  FROM (SELECT *, sum(labelled) {child} AS cl, sum(bad) {child} AS cb, count(DISTINCT child) {parent} AS children, (sum(CASE WHEN child IS NOT NULL THEN bad END) {parent} + 0.5::DOUBLE) / (sum(CASE WHEN child IS NOT NULL THEN labelled END) {parent} + 1.0::DOUBLE) AS p
+    FROM (SELECT *, array_to_string(t[1:i], '/') AS parent, t[i + 1] AS child FROM levels WHERE i < deepest)))"""
     return sql + f""",
-tree AS (SELECT host, shape, labelled, bad, '/' || array_to_string(t, '/') AS template FROM t{DEPTH + 1}),
+tree AS (SELECT host, shape, labelled, bad, '/' || array_to_string(t, '/') AS template FROM levels WHERE i = deepest),
 stat AS (SELECT host, template, sum(labelled) AS tl, sum(bad) AS tb FROM tree GROUP BY 1, 2),
 g AS (SELECT (sum(tb) + 1.0::DOUBLE) / (sum(tl) + 2.0::DOUBLE) AS g FROM stat),
 h AS (SELECT host, (sum(tb) + {STRENGTH}::DOUBLE * max(g)) / (sum(tl) + {STRENGTH}::DOUBLE) AS hp FROM stat, g GROUP BY 1),

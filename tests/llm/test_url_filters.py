@@ -42,7 +42,10 @@ def test_templates_merge_alike_and_reject_bad(spark):
     rows += [(f"http://b.com/{w}/{i}", 200 + 10 * k + i, i % 2 if i < 2 else 0) for k, w in enumerate(["x", "y", "z"]) for i in range(10)]
     rows += [(f"http://c.com/s{'abcdefghijklmnopqrstuvwxyzABCDEFGH'[i]}", 400 + i, 0) for i in range(34)]
     rows += [(f"http://e.com/{'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN'[k]}/{i}", 600 + 10 * k + i, int(k == 39)) for k in range(40) for i in range(10)]
-    rows += [("http://d.com/" + "/".join("p" * 12), 500, 1)]
+    deep, long = "http://f.com/" + "p/" * 7, "http://g.com/" + "n" * 41
+    rows += [(f"{deep}{w}/{i}", 2000 + 100 * k + i, k) for k, w in enumerate(["good", "bad"]) for i in range(60)]
+    rows += [(f"{long}/{i}", 3000 + i, 1) for i in range(60)] + [(f"http://g.com/{'m' * 41}/{i}", 3100 + i, 0) for i in range(60)]
+    rows += [("http://d.com/" + "/".join(["p"] * 3000 + [w]), 500 + k, k) for k, w in enumerate("xy")]
     pages = spark.createDataFrame([(i, u) for u, i, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, b) for _, i, b in rows], "page_id long, bad int")
     got = {r.url: r for r in url_filters.judge(pages, labels).collect()}
@@ -51,7 +54,9 @@ def test_templates_merge_alike_and_reject_bad(spark):
     assert {got[u].template for u in got if "c.com" in u} == {"/*"}  # very many children, all alike
     assert {got[u].verdict for u in got if "e.com/N/" in u} == {"block"}  # one that differs among forty stays apart
     assert {got[u].verdict for u in got if "e.com/" in u and "/N/" not in u} == {"allow"}
-    assert got[rows[-1][0]].template.endswith("/**")
+    for part in ("f.com", "g.com"):  # at any depth and length
+        assert {(b, got[u].verdict) for u, _, b in rows if part in u} == {(0, "allow"), (1, "block")}
+    assert got[rows[-1][0]].template == "/" + "p/" * 3000 + "*"
 
 
 @pytest.mark.parametrize(("query", "sql"), [(mixing.op2_poisson_mixing, mixing.ORACLE), (url_filters.op8_path_templates, url_filters.ORACLE)])
