@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as R
+from quire.functions.folds import batch_numbers
 from quire.functions.text import by_row, chunks_of, sentences_of
 from quire.plans.registry import query
 from quire.sources import views as V
@@ -289,14 +290,8 @@ def packed(items: Column, size, budget: int, most: int) -> Column:
     """Batches of items in order: each at most `most` items and `budget` by size(item); a larger item alone.
 
     items: array of structs with `ord`; gives an array of (batch, ord)."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<batch:int,ord:int>>").alias("out"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["used"] + size(x) > budget) | (a["n"] >= most))
-        batch = a["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(a["used"]) + size(x)).cast("long").alias("used"), (F.when(full, 0).otherwise(a["n"]) + 1).alias("n"), F.concat(a["out"], F.array(F.struct(batch.alias("batch"), x["ord"].cast("int").alias("ord")))).alias("out"))
-
-    return F.aggregate(items, start, step, lambda a: a["out"])
+    numbers = by_row(lambda sizes: batch_numbers(sizes, budget, most), "array<int>")
+    return F.zip_with(items, numbers(F.transform(items, size)), lambda x, b: F.struct(b.alias("batch"), x["ord"].cast("int").alias("ord")))
 
 
 def batches(df: DataFrame, budget: int, most: int) -> DataFrame:
@@ -315,30 +310,6 @@ def unit_batches(spark, sf_dir):
     return batches(V.units(spark, sf_dir), 1500, 64)
 
 
-@query()
-def review_batches(spark, sf_dir):
-    """As unit_batches, and a batch ends where list items and other units change."""
-    u = V.units(spark, sf_dir)
-    change = F.col("l") != F.lag("l", 1).over(Window.partitionBy("doc_id").orderBy("ord"))
-    marked = u.withColumn("l", F.col("kind") == "list_item").withColumn("c", F.coalesce(change, F.lit(False)).cast("int"))
-    run = F.sum("c").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return batches(marked.withColumn("doc_id", F.concat_ws("#", "doc_id", run)), 1500, 64)
-
-
-@query()
-def structure_batches(spark, sf_dir):
-    """Blocks in batches of at most 64 and 4,000 bytes."""
-    return batches(V.units(spark, sf_dir), 4000, 64)
-
-
-@query()
-def split_target(spark, sf_dir):
-    """Units over 600 bytes cut at spans into parts within it."""
-    s = V.spans(spark, sf_dir).select(F.col("unit_id").alias("doc_id"), F.col("span_ord").alias("ord"), F.col("source").alias("text"))
-    large = V.units(spark, sf_dir).where("octet_length(text) > 600").select(F.col("unit_id").alias("doc_id"))
-    return batches(s.join(large, "doc_id", "left_semi"), 600, 1000).withColumnRenamed("doc_id", "unit_id")
-
-
 def pieces(units: DataFrame, spans: DataFrame, budget: int) -> DataFrame:
     """(doc_id, ord, piece, bytes, spans, oversize): units within the budget whole (piece 0), larger ones cut at spans.
 

@@ -134,32 +134,6 @@ def manifest_violations(spark, sf_dir):
     return f.select("path", rule.alias("rule")).where("rule IS NOT NULL")
 
 
-# ---- revisions ---------------------------------------------------------------------------------
-
-
-def applied_in_order(revs: Column) -> Column:
-    """Fold over revisions (id, spans array<string>, reason) in order: one whose spans an applied one took is a conflict.
-
-    A revision applies whole or not at all; only applied ones take their spans."""
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<id:bigint,result:string>>").alias("out"))
-
-    def step(a, x):
-        result = F.when(x["reason"].isNotNull(), x["reason"]).when(F.arrays_overlap(a["taken"], x["spans"]), "conflicting_edit").otherwise("applied")
-        return F.struct(F.when(result == "applied", F.array_union(a["taken"], x["spans"])).otherwise(a["taken"]).alias("taken"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), result.alias("result")))).alias("out"))
-
-    return F.aggregate(revs, start, step, lambda a: a["out"])
-
-
-@query()
-def fix_apply(spark, sf_dir):
-    """Revisions of each task's spans applied in order, with the first reason why one isn't."""
-    c = V.calls(spark, sf_dir)
-    reason = F.when(F.col("status") == "failed", "unknown_unit").when(F.col("tokens") < 5, "empty_edit")
-    spans = F.array(F.concat(F.lit("s"), F.col("round")), F.concat(F.lit("s"), F.col("round") + F.col("attempts")))
-    revs = c.groupBy("task").agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), spans.alias("spans"), reason.alias("reason")))).alias("r"))
-    return revs.select("task", F.explode(applied_in_order(F.col("r"))).alias("x")).select("task", F.col("x.id").alias("event_id"), "x.result")
-
-
 # ---- the agent's fall-back policies --------------------------------------------------------------
 
 #: Ids of an action, and of a recheck or an evaluation.

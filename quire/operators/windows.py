@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions.folds import batch_numbers
+from quire.functions.text import by_row
 from quire.plans.registry import query
 from quire.sources import views as V
 from quire.sources.views import CELLS, SPANS, UNITS, sql
@@ -180,12 +182,6 @@ def budget_prefix(spark, sf_dir):
 def observe_page(spark, sf_dir):
     """Pages of at most 32 units and 4,000 bytes; where the next one begins. A unit over the budget is a page alone."""
     u = V.units(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.octet_length("text").alias("n")))).alias("u"))
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).alias("bytes"), F.array().cast("array<struct<page:int,ord:int>>").alias("out"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["n"] >= 32) | (a["bytes"] + x["n"] > 4000))
-        page = a["page"] + F.when(full, 1).otherwise(0)
-        return F.struct(page.alias("page"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["n"]).otherwise(a["bytes"] + x["n"]).alias("bytes"), F.concat(a["out"], F.array(F.struct(page.alias("page"), x["ord"].alias("ord")))).alias("out"))
-
-    pages = u.select("doc_id", F.explode(F.aggregate("u", start, step, lambda a: a["out"])).alias("p"))
+    numbers = by_row(lambda sizes: batch_numbers(sizes, 4000, 32), "array<int>")
+    pages = u.select("doc_id", F.explode(F.zip_with("u", numbers(F.transform("u", lambda x: x["n"])), lambda x, page: F.struct(page.alias("page"), x["ord"].alias("ord")))).alias("p"))
     return pages.groupBy("doc_id", F.col("p.page").alias("page")).agg(F.min("p.ord").alias("first"), F.count(F.lit(1)).alias("units"))

@@ -44,13 +44,6 @@ def test_anchors_compare_with_the_last_anchor(spark):
     assert df.select(aggregates.anchors_of(F.col("v"), 6.0).alias("a")).first().a == [0.0, 8.0, 30.0]
 
 
-def test_conflicts_only_with_applied_revisions(spark):
-    rows = [[(1, ["a"], None), (2, ["a", "b"], None), (3, ["b"], None), (4, ["c"], "unknown_unit"), (5, ["c"], None)]]
-    df = spark.createDataFrame([(r,) for r in rows], "r array<struct<id:bigint,spans:array<string>,reason:string>>")
-    got = df.select(validation.applied_in_order(F.col("r")).alias("x")).first().x
-    assert [x.result for x in got] == ["applied", "conflicting_edit", "applied", "unknown_unit", "applied"]
-
-
 def test_matching_places():
     a, b = list("abcdxyz"), list("bcdaxz")
     assert all(a[i] == b[j] for i, j in structures.matching_places(a, b))
@@ -111,30 +104,6 @@ def plain_batches(sizes, budget, most):
     return out
 
 
-@pytest.mark.parametrize(("name", "budget"), [("structure_batches", 4000), ("review_batches", 1500), ("split_target", 600)])
-def test_batches_by_hand(spark, name, budget):
-    units = [r.asDict() for r in V.units(spark, SF).orderBy("doc_id", "ord").collect()]
-    groups = defaultdict(list)
-    if name == "split_target":
-        large = {u["unit_id"] for u in units if len(u["text"].encode()) > 600}
-        for r in V.spans(spark, SF).orderBy("unit_id", "span_ord").collect():
-            if r.unit_id in large:
-                groups[r.unit_id].append((r.span_ord, len(r.source.encode())))
-    else:
-        run, last = 0, None
-        for u in units:
-            own = u["kind"] == "list_item"
-            run = 0 if last is None or last[0] != u["doc_id"] else run + (name == "review_batches" and own != last[1])
-            last = (u["doc_id"], own)
-            groups[f"{u['doc_id']}#{run}" if name == "review_batches" else u["doc_id"]].append((u["ord"], len(u["text"].encode())))
-    want = Counter()
-    for g, items in groups.items():
-        for b, (o, _) in zip(plain_batches([n for _, n in items], budget, 1000 if name == "split_target" else 64), items, strict=True):
-            want[(str(g), b)] += 1
-    got = {(str(r[0]), r.batch): r.units for r in registry.queries()[name](spark, SF).collect()}
-    assert got == dict(want)
-
-
 def test_front_page_and_lines(spark):
     a, b = ({r.doc_id: r.t for r in df.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("t")).collect()} for df in (V.units(spark, SF), V.version2(spark, SF)))
     got = defaultdict(list)
