@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources import views as V
-from quire.sources.views import CELLS, SPANS, UNITS, sql
+from quire.sources.views import CELLS, MARKED, SPANS, UNITS, sql
 
 
 @query("SELECT quality, count(*) FILTER (WHERE toxic = 1) AS severe, count(*) FILTER (WHERE toxic = 0) AS mild, count(*) AS findings FROM labels GROUP BY 1")
@@ -141,14 +141,12 @@ def match_failures(spark, sf_dir):
     return c.where("status = 'failed'").join(last, "task", "left").where("round >= coalesce(last, 0)").groupBy("task").agg(F.count_distinct("round").alias("rounds"))
 
 
-@query(sql("SELECT root, sha256(string_agg(part || ':' || h, ';' ORDER BY part)) AS tree FROM (SELECT split_part(path, '/', 1) AS root, substr(sha256(path), 1, 3) AS part, sha256(string_agg(path || ':' || sha, ';' ORDER BY path)) AS h FROM v_files GROUP BY 1, 2) GROUP BY 1", "v_files"))
+@query(sql("SELECT root, sha256(to_json(list([part, h] ORDER BY part))::VARCHAR) AS tree FROM (SELECT split_part(path, '/', 1) AS root, substr(sha256(path), 1, 3) AS part, sha256(to_json(list([path, sha] ORDER BY path))::VARCHAR) AS h FROM v_files GROUP BY 1, 2) GROUP BY 1", "v_files"))
 def tree_hash(spark, sf_dir):
-    """One hash of a folder: of 4,096 parts by the paths' own hashes, each of its sorted paths and their hashes, so no task holds all paths."""
-    f = V.files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root"), F.substring(F.sha2("path", 256), 1, 3).alias("part"), "path", F.concat_ws(":", "path", "sha").alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
-    parts = f.groupBy("root", "part").agg(F.sha2(F.array_join(lines, ";"), 256).alias("h"))
-    whole = F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: F.concat_ws(":", x["part"], x["h"]))
-    return parts.groupBy("root").agg(F.sha2(F.array_join(whole, ";"), 256).alias("tree"))
+    """One hash of a folder, of canonical JSON: of 4,096 parts by the paths' own hashes, each the hash of its sorted paths and their hashes, so no task holds all paths."""
+    f = V.files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root"), F.substring(F.sha2("path", 256), 1, 3).alias("part"), "path", "sha")
+    listed = lambda a, b: F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(a, b))), lambda x: F.array(x[a], x[b]))), 256)
+    return f.groupBy("root", "part").agg(listed("path", "sha").alias("h")).groupBy("root").agg(listed("part", "h").alias("tree"))
 
 
 @query(sql("SELECT tab, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols FROM v_cells GROUP BY 1", *CELLS))
@@ -182,22 +180,55 @@ def run_duration(spark, sf_dir):
     return d.select("task", F.format_string("%02d:%02d:%02d", F.floor(F.col("s") / 3600), F.floor(F.col("s") / 60) % 60, F.col("s") % 60).alias("duration"))
 
 
-@query(sql("SELECT task, status, ts AS updated_at, event_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts DESC, event_id DESC) AS k FROM v_calls) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 100", "v_calls"))
+@query(sql("SELECT task, status, ts AS updated_at, event_id, CASE status WHEN 'succeeded' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'running' END || ' ' || task AS label, strftime(ts, '%Y-%m-%d %H:%M') AS date FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts DESC, event_id DESC) AS k FROM v_calls) WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 100", "v_calls"))
 def run_history(spark, sf_dir):
-    """The hundred runs updated last."""
+    """The hundred runs updated last, with what a list shows of them."""
     last = V.calls(spark, sf_dir).groupBy("task").agg(F.max(F.struct("ts", "event_id", "status")).alias("m"))
-    return last.select("task", "m.status", F.col("m.ts").alias("updated_at"), "m.event_id").orderBy(F.desc("updated_at"), F.desc("event_id")).limit(100)
+    state = F.when(F.col("m.status") == "succeeded", "done").when(F.col("m.status") == "failed", "failed").otherwise("running")
+    shown = last.select("task", "m.status", F.col("m.ts").alias("updated_at"), "m.event_id", F.concat_ws(" ", state, "task").alias("label"), F.date_format("m.ts", "yyyy-MM-dd HH:mm").alias("date"))
+    return shown.orderBy(F.desc("updated_at"), F.desc("event_id")).limit(100)
 
 
+#: Files of one registration or upload at most.
+MOST_FILES = 100
 LISTED = "SELECT *, split_part(path, '/', 1) || '/' || (doc_id // 8) || '.pdf' AS logical, doc_id % 29 = 0 AS symlink, doc_id % 31 = 0 AS own_output FROM v_files"
 
 
-@query(sql(f"SELECT path, size, sha, logical, count(*) OVER (PARTITION BY logical) > 1 AS duplicate FROM ({LISTED}) WHERE lower(path) LIKE '%.pdf' AND NOT symlink AND NOT own_output", "v_files"))
+@query(sql(f"SELECT path, size, sha, logical, duplicate, n > {MOST_FILES} AS too_many FROM (SELECT *, split_part(path, '/', 1) AS root, count(*) OVER (PARTITION BY logical) > 1 AS duplicate FROM ({LISTED}) WHERE lower(path) LIKE '%.pdf' AND NOT symlink AND NOT own_output) JOIN (SELECT split_part(path, '/', 1) AS root, count(*) AS n FROM ({LISTED}) WHERE lower(path) LIKE '%.pdf' AND NOT symlink AND NOT own_output GROUP BY 1) USING (root)", "v_files"))
 def source_listing(spark, sf_dir):
-    """Accepted files of a listing (no links, nothing of the output's folder), and whether two share a logical path."""
-    f = V.files(spark, sf_dir).withColumn("logical", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.floor(F.col("doc_id") / 8), F.lit(".pdf")))
+    """Accepted files of a listing (no links, nothing of the output's folder), whether two share a logical path, and whether their folder has too many."""
+    root = F.split_part("path", F.lit("/"), F.lit(1))
+    f = V.files(spark, sf_dir).withColumn("root", root).withColumn("logical", F.concat(root, F.lit("/"), F.floor(F.col("doc_id") / 8), F.lit(".pdf")))
     kept = f.where(F.lower("path").endswith(".pdf")).where("doc_id % 29 <> 0 AND doc_id % 31 <> 0")
-    return kept.select("path", "size", "sha", "logical", (F.count(F.lit(1)).over(Window.partitionBy("logical")) > 1).alias("duplicate"))
+    sizes = kept.groupBy("root").agg((F.count(F.lit(1)) > MOST_FILES).alias("too_many"))
+    return kept.join(sizes, "root").select("path", "size", "sha", "logical", (F.count(F.lit(1)).over(Window.partitionBy("logical")) > 1).alias("duplicate"), "too_many")
+
+
+@query(sql(f"SELECT root, sum(n)::BIGINT AS files, sum(n) > {MOST_FILES} AS too_many, bool_or(n > 1) AS duplicate, bool_or(folder) AND bool_or(file) AS mixed FROM (SELECT split_part(path, '/', 1) AS root, lower(split_part(path, '/', 2)) AS name, count(*) AS n, bool_or(doc_id % 40 = 0) AS folder, bool_or(doc_id % 40 <> 0) AS file FROM v_files GROUP BY 1, 2) GROUP BY 1", "v_files"))
+def upload_sets(spark, sf_dir):
+    """Uploads of a source: too many files, names that differ in case only, folders (here every fortieth) among files."""
+    p, d = F.split("path", "/"), F.col("doc_id") % 40 == 0
+    names = V.files(spark, sf_dir).groupBy(p[0].alias("root"), F.lower(p[1]).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(d).alias("folder"), F.bool_or(~d).alias("file"))
+    return names.groupBy("root").agg(F.sum("n").alias("files"), (F.sum("n") > MOST_FILES).alias("too_many"), F.bool_or(F.col("n") > 1).alias("duplicate"), (F.bool_or("folder") & F.bool_or("file")).alias("mixed"))
+
+
+@query(sql("SELECT doc_id, marker, count(*) AS n, count(*) = 1 AS only FROM (SELECT doc_id, unnest(regexp_extract_all(raw, '\\(([0-9]+)\\)', 1)) AS marker FROM v_marked) GROUP BY 1, 2", *MARKED))
+def marker_counts(spark, sf_dir):
+    """How often each marker in brackets stands in a document, and whether it is the only one."""
+    m = V.marked(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("raw", F.lit(r"\(([0-9]+)\)"), F.lit(1))).alias("marker"))
+    return m.groupBy("doc_id", "marker").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == 1).alias("only"))
+
+
+#: Ids that the schema of a request may list.
+MOST_IDS = 32
+
+
+@query(sql(f"SELECT task, operation, n AS ids, least(n, {MOST_IDS}) AS max_items, n > {MOST_IDS} AS split_needed, (n + {MOST_IDS - 1}) // {MOST_IDS} AS requests FROM (SELECT task, operation, count(DISTINCT event_id) AS n FROM v_calls GROUP BY 1, 2)", "v_calls"))
+def request_ids(spark, sf_dir):
+    """How many ids a request of a task may answer with: all that it asks for, up to the cap of a schema; more need several requests."""
+    n = F.count_distinct("event_id")
+    g = V.calls(spark, sf_dir).groupBy("task", "operation").agg(n.alias("ids"))
+    return g.select("task", "operation", "ids", F.least("ids", F.lit(MOST_IDS)).alias("max_items"), (F.col("ids") > MOST_IDS).alias("split_needed"), F.ceil(F.col("ids") / MOST_IDS).alias("requests"))
 
 
 @query(sql("SELECT split_part(path, '/', 1) AS root, split_part(path, '/', 2) AS name, sha, size FROM v_files", "v_files"))

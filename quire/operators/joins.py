@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.trees import running
 from quire.plans.registry import query
 from quire.sources import views as V
 from quire.sources.views import CELLS, SPANS, UNITS, sql
@@ -184,13 +185,23 @@ def caption_transfer(spark, sf_dir):
     return owners.join(texts, ["page", "l"]).where("t >= bottom AND t - bottom < 40").groupBy("caption").agg(F.min("owner").alias("owner")).select("owner", "caption")
 
 
-@query(sql("SELECT source, count(*) FILTER (WHERE a.sha IS DISTINCT FROM b.sha) = 0 AS same, count(*) AS files FROM (SELECT d.source, f.* FROM v_files f JOIN documents d USING (doc_id)) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'changed' ELSE sha END AS sha FROM v_files) b USING (doc_id) GROUP BY 1", "v_files"))
+@query(sql("""SELECT source, count(*) FILTER (WHERE a.sha IS DISTINCT FROM b.sha) = 0 AS same, count(*) FILTER (WHERE a.place IS DISTINCT FROM b.place) = 0 AS same_order, count(*) AS files
+FROM (SELECT d.source, f.doc_id, f.sha, row_number() OVER (PARTITION BY d.source ORDER BY f.doc_id) AS place FROM v_files f JOIN documents d USING (doc_id)) a
+FULL JOIN (SELECT source, doc_id, CASE WHEN doc_id % 97 = 0 THEN 'changed' ELSE f.sha END AS sha, row_number() OVER (PARTITION BY source ORDER BY doc_id % 89 = 0, doc_id) AS place FROM v_files f JOIN documents USING (doc_id)) b USING (source, doc_id) GROUP BY 1""", "v_files"))
 def resume_inputs_match(spark, sf_dir):
-    """Whether saved inputs equal the present ones, for each source."""
-    now = V.files(spark, sf_dir)
-    saved = now.select("doc_id", F.when(F.col("doc_id") % 97 == 0, "changed").otherwise(F.col("sha")).alias("saved"))
-    src = V.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return src.join(now.select("doc_id", "sha"), "doc_id").join(saved, "doc_id", "full_outer").groupBy("source").agg((F.count_if(~F.col("sha").eqNullSafe(F.col("saved"))) == 0).alias("same"), F.count(F.lit(1)).alias("files"))
+    """Whether saved inputs equal the present ones in content, and in order, for each source.
+
+    Places count over range partitions, so a source of any size is no single task."""
+    now = V.files(spark, sf_dir).join(V.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("source", "doc_id", "sha", (F.col("doc_id") % 89 == 0).alias("moved"))
+    saved = now.select("source", "doc_id", "moved", F.when(F.col("doc_id") % 97 == 0, "changed").otherwise(F.col("sha")).alias("saved"))
+
+    def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+        at = running(df, ["source", *order], F.lit(1).cast("long"), "at")
+        return at.join(at.groupBy("source").agg(F.min("at").alias("first")), "source").withColumn(name, F.col("at") - F.col("first")).drop("at", "first", "moved")
+
+    both = placed(now, ["doc_id"], "place").join(placed(saved, ["moved", "doc_id"], "saved_place"), ["source", "doc_id"], "full_outer")
+    differ = lambda a, b: F.count_if(~F.col(a).eqNullSafe(F.col(b))) == 0
+    return both.groupBy("source").agg(differ("sha", "saved").alias("same"), differ("place", "saved_place").alias("same_order"), F.count(F.lit(1)).alias("files"))
 
 
 @query(sql("""SELECT doc_id, count(*) FILTER (WHERE b.unit_id IS NULL) AS missing, count(*) FILTER (WHERE b.text = '') AS empty, count(*) AS units FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_units) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM v_tr) b USING (doc_id, k) GROUP BY 1""", *UNITS, "v_tr"))

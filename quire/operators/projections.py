@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources import views as V
-from quire.sources.views import CELLS, SPANS, UNITS, sql
+from quire.sources.views import CELLS, MARKED, SPANS, UNITS, sql
 
 NOT_ALNUM = "[^A-Za-z0-9]"
 
@@ -218,11 +218,14 @@ def latest_comparison(spark, sf_dir):
     return most.select("task", F.element_at(F.array(*map(F.lit, ("STRUCTURE", "DRAFT", "REVIEW", "FIX"))), F.col("m")).alias("shown"))
 
 
-@query(sql("SELECT unit_id, round(length(regexp_replace(text, '[^À-ÿ]', '', 'g')) / length(text)::DOUBLE, 6) AS ratio, length(regexp_replace(text, '[^À-ÿ]', '', 'g')) * 100 <= length(text) AS mostly_other FROM v_units", *UNITS))
+JAPANESE = "぀-ヿ一-鿿"
+
+
+@query(sql(f"SELECT unit_id, round(n / length(raw)::DOUBLE, 6) AS ratio, n * 100 > length(raw) AS japanese FROM (SELECT *, length(regexp_replace(raw, '[^{JAPANESE}]', '', 'g')) AS n FROM v_marked)", *MARKED))
 def cjk_ratio(spark, sf_dir):
-    """The share of a class of characters in a unit (here letters with marks)."""
-    n = F.length(F.regexp_replace("text", "[^À-ÿ]", ""))
-    return V.units(spark, sf_dir).select("unit_id", F.round(n / F.length("text"), 6).alias("ratio"), (n * 100 <= F.length("text")).alias("mostly_other"))
+    """The share of kana and kanji in a text, and whether it is more than one in a hundred."""
+    n = F.length(F.regexp_replace("raw", f"[^{JAPANESE}]", ""))
+    return V.marked(spark, sf_dir).select("unit_id", F.round(n / F.length("raw"), 6).alias("ratio"), (n * 100 > F.length("raw")).alias("japanese"))
 
 
 @query(sql("SELECT tab, row, arg_min(text, col) AS text FROM v_cells WHERE regexp_matches(text, '[A-Za-z0-9]') GROUP BY 1, 2", *CELLS))

@@ -99,10 +99,11 @@ def embedding_checks(spark, sf_dir):
     return V.table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), ((F.size("embedding") == 64) & ~bad).alias("valid"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
+@query("SELECT vec_id, n > 0 AS valid, CASE WHEN n > 0 THEN array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE / n * 100000)::BIGINT), ',') END AS unit FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
 def l2_normalize(spark, sf_dir):
-    """The length of each vector; what unit() divides by."""
-    return V.table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+    """Each vector over its length, in whole hundred thousandths; one without a length is rejected."""
+    e = V.table(spark, sf_dir, "embeddings").withColumn("u", unit(F.col("embedding")))
+    return e.select("vec_id", F.col("u").isNotNull().alias("valid"), F.array_join(F.transform("u", lambda x: F.round(x * 100000).cast("long").cast("string")), ",").alias("unit"))
 
 
 COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"

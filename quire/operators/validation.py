@@ -104,10 +104,12 @@ def suppress_findings(spark, sf_dir):
     return V.spans(spark, sf_dir).where("revised IS NOT NULL").select("span_id", verdict.alias("verdict"))
 
 
-@query(sql("SELECT u.unit_id FROM v_units u WHERE kind = 'heading' AND NOT EXISTS (SELECT 1 FROM v_v2 p WHERE p.unit_id = u.unit_id)", *UNITS, "v_v2"))
+@query(sql("SELECT u.unit_id, 'heading' AS kind FROM v_units u WHERE kind = 'heading' AND NOT EXISTS (SELECT 1 FROM v_v2 p WHERE p.unit_id = u.unit_id) UNION ALL SELECT 't' || tab, 'table' FROM (SELECT tab FROM v_cells WHERE col = 0 AND NOT header GROUP BY 1 HAVING count(*) = 1) WHERE tab % 5 = 0", *UNITS, "v_v2", *CELLS))
 def structure_missing(spark, sf_dir):
-    """Headings that a response didn't classify."""
-    return V.units(spark, sf_dir).where("kind = 'heading'").join(V.version2(spark, sf_dir), "unit_id", "left_anti").select("unit_id")
+    """Headings and tables of one cell (here of one row) that a response didn't classify."""
+    headings = V.units(spark, sf_dir).where("kind = 'heading'").join(V.version2(spark, sf_dir), "unit_id", "left_anti").select("unit_id", F.lit("heading").alias("kind"))
+    single = V.cells(spark, sf_dir).where("col = 0 AND NOT header").groupBy("tab").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return headings.unionByName(single.where("tab % 5 = 0").select(F.concat(F.lit("t"), "tab").alias("unit_id"), F.lit("table").alias("kind")))
 
 
 #: An action names ids of both roles; its rules over (n, roles, ops, unknown, outside, done, pending).
