@@ -7,13 +7,15 @@ their format by a keyed Feistel network over each alphabet, walked until the res
 and IBAN check digits, number plan, address class), which is one-to-one. Names after a title get a
 given name of the same gender and script and a made-up surname of that script, in the same case;
 so do names of a known given name and a capitalised word, and all mentions of such a name in the same text without a title, whole or by the surname.
+Several titles may stand in a row, particles (von, de la) stay, and a name may hold an apostrophe. Dates of birth, known by the words before
+them, become other dates between 1900 and 2019.
 
 Collision check: all distinct entities of all documents are grouped by surrogate; where several
 meet, all but the least get another draw until none meet. Only documents that hold such an entity
 are joined with the new draws.
 
-A name without a title is known by a given name of the pools before a capitalised word. Names of other words without any
-title in their text, and phone numbers without a leading +, 0 or area code, are beyond these patterns.
+A name without a title is known by a given name of a list before a capitalised word that isn't a place's (Street, Park). Names of other words
+without any title in their text, and phone numbers without a leading +, 0, area code or one of a few country codes, are beyond these patterns.
 
 Cases: a very long text is searched line by line, whole; a null text stays null, an empty one empty; overlapping finds go to the first, then the
 longest; repeated rows get the same text; a null doc_id is no matter; an empty table gives an empty
@@ -21,8 +23,10 @@ one; other columns are kept."""
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable
 
@@ -44,27 +48,42 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим".split(),
     ("cyrillic", "f"): "Анна Белла Вера Галина Дарья Елена Ирина Клара Лидия Мария".split(),
 }
+#: Given names that are known beside those of the pools; particles of surnames; words that make a place of a name before them.
+ALSO_GIVEN = {
+    "m": """James John Michael William David Richard Joseph Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth Kevin Brian George Edward Ronald Jason Jeffrey
+    Hans Peter Klaus Wolfgang Jürgen Dieter Stefan Andreas Jean Pierre Michel François Luc José Juan Carlos Luis Miguel Javier Pedro""".split(),
+    "f": """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Michelle Amanda Melissa Deborah Stephanie
+    Rebecca Ursula Monika Petra Sabine Claudia Katrin Marie Nathalie Isabelle Sylvie Camille Carmen Pilar Lucía Elena Rosa""".split(),
+}
+PARTICLES = tuple("von van der den de la di da del zu zur ten ter le".split())
+PLACES = "Street St Road Avenue Lane Square Park Bridge Hall Hospital Church School Island Beach Hotel Straße Strasse Platz Weg Allee Kirche Plaza Calle".split()
+BORN = "born|born on|born in|date of birth|birth date|dob|geboren|geboren am|geb|née le|né le|nacido el|nacida el"
 SYLLABLES = {"latin": "ba be bo da de do fa fe fo ga ge go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te".split(), "cyrillic": "ба бе бо да де до фа фе фо га ге го ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те".split()}
 SURNAME_END = {"latin": ("l", "n", "r", "s"), "cyrillic": ("л", "н", "р", "с")}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
-KNOWN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
-NAME_WORD = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+(?:['’\-][^\W\d_]+)?"
+KNOWN = "|".join(sorted({n for names in GIVEN.values() for n in names} | {n for names in ALSO_GIVEN.values() for n in names}))
+NAME_WORD = r"[^\W\d_a-zа-яß-öø-ÿ](?:[^\W\d_]+(?:['’\-][^\W\d_]+)?|['’][^\W\d_]{2,})"
+NEXT_WORD = rf" (?:(?:{'|'.join(PARTICLES)}) )*{NAME_WORD}"
+HEX4 = "[0-9A-Fa-f]{1,4}"
 #: (kind, pattern with one group: what is replaced). Earlier kinds win where finds begin together.
 PATTERNS = (
     ("email", r"(?<![\w.+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})(?![A-Za-z0-9])"),
     ("aws", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])([0-9a-f]{32,64})(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])((?:ghp_|gho_|sk_live_|sk-|xox[bp]-)[A-Za-z0-9\-]{16,})(?![A-Za-z0-9])"),
+    ("jwt", r"(?<![\w\-])(eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,})(?![\w\-])"),
+    ("ipv6", rf"(?<![\w:.])((?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}})(?![\w:]|\.\d)"),
+    ("born", rf"(?<!\w)(?i:{BORN})[.:]? (\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}([./])\d{{1,2}}[./]\d{{4}})(?!\d)"),
     ("mac", r"(?<![\w:])((?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![\w:])"),
     ("ip", rf"(?<![\d.])({OCTET}(?:\.{OCTET}){{3}})(?!\d|\.\d)"),
     ("iban", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("card", r"(?<![\w.\-])(\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\w\-])"),
     ("ssn", r"(?<![\w\-])(\d{3}-\d{2}-\d{4})(?![\w\-])"),
-    ("phone", r"(?<![\w.+])(\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<!\d[ \-])0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,4}){0,3})(?![\w\-])"),
-    ("name", rf"(?<!\w)(?:{TITLES})\.? ((?:{NAME_WORD})(?: {NAME_WORD}){{0,2}})"),
-    ("untitled", rf"(?<![\w\-])((?:{KNOWN}) {NAME_WORD})"),
+    ("phone", r"(?<![\w.+])(\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<!\d[ \-])0\d{1,4}[ /\-]\d{3,8}(?:[ \-]\d{2,4}){0,3}|\(0\d{1,4}\) ?\d{3,8}(?:[ /\-]\d{2,4}){0,3}|(?<!\d[ \-])(?:44|49|33|34|39) \d{2,3} \d{3,4} \d{4})(?![\w\-])"),
+    ("name", rf"(?<!\w)(?:{TITLES})\.?(?: (?:{TITLES})\b\.?)* ((?!(?:{TITLES})\b){NAME_WORD}(?:{NEXT_WORD}){{0,2}})"),
+    ("untitled", rf"(?<![\w\-])(?=[^\W\d_a-z])((?:{KNOWN})(?! (?:{'|'.join(PLACES)})\b){NEXT_WORD})"),
 )
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 ONE = {kind: re.compile(p) for kind, p in PATTERNS}
@@ -73,8 +92,8 @@ KINDS = tuple(GROUP_OF)
 LINE = re.compile(r"[^\n]+")
 HINT = re.compile(r"[0-9@:]|[a-f]{32}")
 #: What the entities hold that may lack a digit, @, colon or a run of 32 hexadecimal letters: titles, given names, and what secrets begin with.
-MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk-", "xox")
-NAMED = re.compile(rf"\b(?:{TITLES}|{KNOWN})\b")
+MARKS = ("AKIA", "ASIA", "eyJ", "ghp_", "gho_", "sk_live_", "sk-", "xox")
+NAMED = re.compile(rf"\b(?=[^\W\d_a-z])(?:{TITLES}|{KNOWN})\b")
 
 
 def drawn(key: str, *parts: object) -> int:
@@ -182,7 +201,7 @@ def ip(key: str, text: str) -> str:
 
 
 def phone(key: str, text: str) -> str:
-    lead = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d|0|", text)[0]
+    lead = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d|\(?0|(?:44|49|33|34|39)(?= \d{2,3} \d{3,4} \d{4}$)|", text)[0]
     rest = text[len(lead) :]
     d = digits_of(rest)
     if len(d) == 10 and lead in ("", "+1"):  # North American plan: area and exchange don't begin with 0 or 1; 555 stays
@@ -225,12 +244,12 @@ def script(word: str) -> str:
 
 
 def gender_of(title: str, given: str) -> str:
-    t = title.strip().rstrip(".")
-    if t in MALE_TITLES:
+    titles = {t.rstrip(".") for t in title.split()}
+    if titles.intersection(MALE_TITLES):
         return "m"
-    if t in FEMALE_TITLES:
+    if titles.intersection(FEMALE_TITLES):
         return "f"
-    for (_, g), names in GIVEN.items():
+    for g, names in (*((g, names) for (_, g), names in GIVEN.items()), *ALSO_GIVEN.items()):
         if given.capitalize() in names:
             return g
     return "m" if drawn("", given.casefold()) % 2 else "f"
@@ -249,14 +268,37 @@ def name_part(key: str, role: str, word: str, attempt: int) -> str:
 
 
 def name_roles(title: str, name: str) -> list[tuple[str, str]]:
-    """(role, word) of each word: the last is the surname, those before it given names."""
+    """(role, word) of each word: the last is the surname, those before it given names; particles before it stay, whatever their case."""
     words = name.split(" ")
     g = gender_of(title, words[0])
-    return [("surname" if i == len(words) - 1 else f"given-{g}", w) for i, w in enumerate(words)]
+    return [("surname" if i == len(words) - 1 else "particle" if w.casefold() in PARTICLES else f"given-{g}", w) for i, w in enumerate(words)]
+
+
+DAYS, FIRST_DAY = 43_829, datetime.date(1900, 1, 1)
+
+
+def born(key: str, text: str) -> str:
+    """Another day in the same form; a day that is none, or out of range, gets other digits."""
+    form = "%Y-%m-%d" if "-" in text else "%d.%m.%Y" if "." in text else "%d/%m/%Y"
+    try:
+        day = (datetime.datetime.strptime(text, form).date() - FIRST_DAY).days
+    except ValueError:
+        day = -1
+    if not 0 <= day < DAYS:
+        return by_class(key, "born", text)
+    new = FIRST_DAY + datetime.timedelta(int(walked(lambda v: permuted(key, "born", v, DIGITS), f"{day:05d}", lambda v: int(v) < DAYS)))
+    return new.strftime(form)
+
+
+def ipv6(key: str, text: str) -> str:
+    """Its hexadecimal digits, in groups of the same length and case."""
+    new = iter(permuted(key, "ipv6" + re.sub(r"\w", "x", text), re.sub(":", "", text.lower()), HEX))
+    out = "".join(c if c == ":" else next(new) for c in text)
+    return out.upper() if text != text.lower() else out
 
 
 MAKE = {
-    "email": email, "card": card, "ip": ip, "phone": phone, "iban": iban, "ssn": ssn,
+    "email": email, "born": born, "ipv6": ipv6, "jwt": lambda k, t: "eyJ" + by_class(k, "jwt", t[3:]), "card": card, "ip": ip, "phone": phone, "iban": iban, "ssn": ssn,
     "aws": lambda k, t: t[:4] + (permuted(k, "aws", t[4:], BASE32) if all(c in BASE32 for c in t[4:]) else permuted(k, "aws36", t[4:], UPPER + DIGITS)),
     "hex": lambda k, t: permuted(k, "hex", t, HEX),
     "secret": lambda k, t: (p := re.match(r"ghp_|gho_|sk_live_|sk-|xox[bp]-", t)[0]) + by_class(k, "secret" + p, t[len(p) :]),
@@ -271,6 +313,11 @@ def accepted(kind: str, text: str) -> bool:
         return 13 <= len(d) <= 19 and issued(d) and (d[0] != "2" or luhn(d[:-1]) == int(d[-1]))
     if kind == "iban":
         return 15 <= len(text.replace(" ", "")) <= 34 and sum(c.isdigit() for c in text) >= 8
+    if kind == "ipv6":
+        try:
+            return bool(ipaddress.IPv6Address(text)) and sum(c.isdigit() for c in text) >= 3
+        except ValueError:
+            return False
     if kind == "phone":
         return 7 <= len(digits_of(text)) <= 15
     return True
@@ -325,8 +372,8 @@ def entities(text: str | None):
 
 
 def pieces(kind: str, value: str, title: str) -> list[tuple[str, str]]:
-    """(kind, value) of what is replaced as one: a name's words each, anything else whole."""
-    return name_roles(title, value) if kind == "name" else [(kind, value)]
+    """(kind, value) of what is replaced as one: a name's words each but for particles, anything else whole."""
+    return [x for x in name_roles(title, value) if x[0] != "particle"] if kind == "name" else [(kind, value)]
 
 
 def canonical(kind: str, value: str) -> str:
@@ -345,7 +392,8 @@ def rewritten(text: str | None, key: str, again: dict[tuple[str, str], int]) ->
         return None, 0
     out, at, n = [], 0, 0
     for start, end, kind, value, title in entities(text):
-        new = " ".join(surrogate(key, k, v, again.get((k, canonical(k, v)), 0)) for k, v in pieces(kind, value, title))
+        parts = name_roles(title, value) if kind == "name" else [(kind, value)]
+        new = " ".join(v if k == "particle" else surrogate(key, k, v, again.get((k, canonical(k, v)), 0)) for k, v in parts)
         out += [text[at:start], new]
         at, n = end, n + 1
     return "".join([*out, text[at:]]), n
@@ -410,7 +458,7 @@ def replace_pii(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataF
     if again.isEmpty():
         out = docs.withColumn(c_out, udf(F.col(text), F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>")))
     else:
-        per = found.join(again, ["kind", "value"]).groupBy(F.col("text_hash").alias(c_hash)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(c_again))
+        per = found.join(again, ["kind", "value"]).groupBy(F.col("text_hash").alias(c_hash)).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(c_again))
         out = docs.join(per, F.xxhash64(text) == F.col(c_hash), "left").withColumn(c_out, udf(F.col(text), F.col(c_again)))
     return out.select(*[F.col(f"{c_out}.text").alias(text) if c == text else F.col(c) for c in docs.columns], F.col(f"{c_out}.n").alias(c_n))
 
