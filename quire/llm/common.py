@@ -88,6 +88,22 @@ class Memo(dict):
         return got
 
 
+#: What a Python worker keeps from task to task.
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """cache, which forget() empties."""
+    _KEPT.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Empties what other operators have left in this worker, so that their memory isn't held while this one works."""
+    for cache in _KEPT:
+        cache.clear()
+
+
 def as_objects(pdf):
     """Text columns as Python objects: Arrow-backed ones of no or several chunks can't be sent back."""
     return pdf.astype({c: object for c in pdf.columns if pdf[c].dtype.kind not in "iufbM"})

@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_objects, dropped, fresh, table, written
+from .common import as_objects, dropped, forget, fresh, table, written
 
 KEY = "quire-surrogates-1"
 # Alphabets, titles and name pools.
@@ -405,6 +405,7 @@ def found_entities(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        forget()
         for pdf in batches:
             rows = set()
             for h, t in zip(pdf["h"], pdf["t"].array, strict=True):

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_objects, components, dropped, fresh, merge, table, written
+from .common import Memo, as_objects, components, dropped, forget, fresh, merge, table, written
 
 TAU, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Rows of a bucket beyond which it is split into chunks.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, text_hash, fp), one row for each row of docs."""
 
     def run(batches: Iterator) -> Iterator:
+        forget()
         for pdf in batches:
             pdf["fp"] = [fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["t"].array]
             yield as_objects(pdf[["d", "text_hash", "fp"]])
@@ -335,7 +336,7 @@ def near_components(fps: DataFrame, *, tau: int = TAU, chunk: int = CHUNK) -> Da
 def word_hashes() -> Memo:
     from xxhash import xxh64_intdigest
 
-    return Memo(lambda w: xxh64_intdigest(w, SEED), 250_000)
+    return Memo(lambda w: xxh64_intdigest(w, SEED), 100_000)
 
 
 def hashed_shingles(text: str | None, shingle: int, memo: Memo) -> np.ndarray:
@@ -377,6 +378,7 @@ def set_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     fp is the number of its set of shingles, size that set's size, wide its fingerprints."""
 
     def run(batches: Iterator) -> Iterator:
+        forget()
         memo = word_hashes()
         for pdf in batches:
             sets = [hashed_shingles(t if isinstance(t, str) else None, shingle, memo) for t in pdf["t"].array]

@@ -12,10 +12,10 @@ import struct
 
 import numpy as np
 
-from .common import Memo
+from .common import Memo, kept
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[str, "WordEncoder"] = kept({})
 #: Whole words that a worker remembers (the frequent ones), and words without marks, of either generation.
 KEEP_WORDS, KEEP_STEMS = 100_000, 250_000
 

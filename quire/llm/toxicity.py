@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_objects, crc_mod, fresh, table, written
+from .common import as_objects, crc_mod, forget, fresh, table, written
 
 FIT_ROWS = 20_000
 REJECT = 0.3
@@ -193,6 +193,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
     def of_toxic(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        forget()
         for pdf in batches:
             rows = []
             for t in pdf["t"].array:
@@ -212,6 +213,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
     def of_others(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        forget()
         for pdf in batches:
             n: dict[str, int] = {}
             for t in pdf["t"].array:
@@ -270,6 +272,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        forget()
         m = Matcher(terms, stems, exact)
         for pdf in batches:
             yield pd.DataFrame([features(t, m) for t in pdf["t"].array], columns=["a", "b", "c"]).assign(toxic=pdf["toxic"])
@@ -287,6 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_i
     def run(series):
         import pandas as pd
 
+        forget()
         m = Matcher(terms, stems, exact)
         for texts in series:
             x = np.array([features(t if isinstance(t, str) else None, m) for t in texts.array], float).reshape(len(texts), 3)
