@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import folds
 from quire.functions.text import sentences_of
-from quire.operators import requests
+from quire.operators import requests, windows
 from quire.sources import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +182,16 @@ def test_revisions(spark):
         want[d, i] = reason
     assert got == want and len(set(want.values())) == 6
     assert requests.applied(df.where(F.lit(False)), spans).count() == 0
+
+
+def test_observed_pages(spark):
+    sizes = defaultdict(list)
+    for r in V.units(spark, SF).orderBy("doc_id", "ord").collect():
+        sizes[r.doc_id].append((r.ord, len(r.text.encode())))
+    want = set()
+    for d, items in sizes.items():
+        numbers = plain_batches([n for _, n in items], 4000, 32, [0] * len(items))
+        for page in set(numbers):
+            own = [o for b, (o, _) in zip(numbers, items, strict=True) if b == page]
+            want.add((d, page, own[0], len(own)))
+    assert set(map(tuple, windows.observe_page(spark, SF).select("doc_id", "page", "first", "units").collect())) == want
