@@ -6,7 +6,12 @@ are there from the start. It forms a trie. The trie's intersection with the Leve
 one edit is determinised lazily, so each word of a text walks one table and dies early. A found
 word's weight is scaled by its window of words: within quotation marks or after a verb of saying it
 counts as quotation, next to the second person as abuse. A logistic function of the three sums
-(abuse, quotation, misspelled words) gives the score.
+(abuse, quotation, misspelled words) gives the score, each of free sign but abuse.
+
+A word an edit from a term may be a word of its own. Those that two harmless texts of the sample hold, and that toxic
+texts don't favour, are matched exactly only. Near words that just one harmless text holds tell how many a new text would
+bring (Good and Turing's estimate): they lower the log-odds of a term's misspellings, and a term near more than MISREAD
+of texts with such a word is matched exactly only.
 
 Bounds: the lexicon and the function are fitted on at most FIT_ROWS labelled documents, those of the
 least hashes of doc_id, and terms have LEAST_TERM letters at least; every document is scored whole.
@@ -35,7 +40,7 @@ STEM_LENGTHS = (3, 4, 5, 6, 7)
 #: Shorter words are not learned as terms: they are near too many others.
 LEAST_TERM = 4
 LEAST_ODDS, LEAST_EVIDENCE, LEAST_CONTEXTS, STEM_FORMS, SLACK = 3.0, 20.0, 4, 3, 0.3
-#: A term that more than this share of harmless texts come within an edit of matches exactly only.
+#: The share of harmless texts that may bring an unknown word within an edit of a term.
 MISREAD = 0.002
 # Common insults, in force without any label.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "vermin")
@@ -45,15 +50,17 @@ SAYING = frozenset("said says say called calls wrote writes quoted quote reporte
 SECOND = frozenset("you your you're youre u ur yourself du dich dir dein ihr euch tu te toi ton vous votre tú ti usted eres".split())
 OPEN, CLOSE, STRIP = "\"“„«‘'", "\"”“»’'", "\"“”„«»‘’'.,;:!?()[]{}<>*%&#$…-_|~`^+=/\\"
 LEET = str.maketrans("0134578@$", "oieastbas")
-PRIOR = np.array([-3.5, 1.2, 0.1, 0.0])  # constant, abuse, quotation, what misspelled words take back
+PRIOR = np.array([-3.5, 1.2, 0.1, 0.0])  # constant, abuse, quotation, misspelled words
 MISSPELLED = 0.8
 
 
 class Matcher:
-    """Words within EDITS of a lexicon term, or beginning with a stem. Terms under FUZZY_FROM letters, and those in exact, match exactly."""
+    """Words within EDITS of a lexicon term, or beginning with a stem. Terms under FUZZY_FROM letters match exactly.
+
+    edited: what a misspelled term weighs, if less than the term; words with 0 there, terms or not, match exactly."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset(), edits: int = EDITS):
-        self.edits, self.exact = edits, exact
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], edited: dict[str, float] | None = None, edits: int = EDITS):
+        self.edits, self.edited = edits, terms | (edited or {})
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[float] = [0.0]
@@ -114,13 +121,20 @@ class Matcher:
             got = self.step[state][c] = self.number(self.closed(s))
         return got
 
+    def near(self, word: str) -> list[str]:
+        """All terms within the edits of word."""
+        state = self.start
+        for c in word:
+            state = self.next(state, c)
+        return sorted({self.term[n] for n, _ in self.sets[state] if self.term[n] is not None})
+
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the nearest term; None if there is none."""
         if word in self.memo:
             return self.memo[word]
         if len(self.memo) > 300_000 or len(self.sets) > 20_000:
             self.reset()
-        state, found = self.start, None
+        state, found, own = self.start, None, self.edited.get(word) == 0
         for c in word:
             state = self.next(state, c)
             here = self.sets[state]
@@ -132,8 +146,8 @@ class Matcher:
         else:
             for n, e in sorted(self.sets[state]):
                 w = self.term[n]
-                if w is not None and (e == 0 or (len(w) >= FUZZY_FROM and w not in self.exact)) and (found is None or (e, -self.terms[w]) < (found[1], -found[0])):
-                    found = (self.terms[w], e)
+                if w is not None and (e == 0 or not (own or len(w) < FUZZY_FROM or self.edited[w] == 0)) and (found is None or (e, -(self.edited if e else self.terms)[w]) < (found[1], -found[0])):
+                    found = ((self.edited if e else self.terms)[w], e)
         self.memo[word] = found
         return found
 
@@ -183,8 +197,8 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEM_LENGTHS if len(word) > k)]
 
 
-def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    """(terms, stems) with their log-odds, and the terms that match exactly only, as harmless words are near them.
+def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """(terms, stems) with their log-odds, and those of misspelled terms (0 for words that match exactly only).
 
     What is collected is bounded by the sample."""
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -224,7 +238,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
     others = {r.form: r.n for r in sample.where("toxic = 0").select("t").mapInPandas(of_others, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()}
     terms, stems = dict.fromkeys(INSULTS, INSULT_ODDS), {}
     for f, (n, words) in sorted(candidates.items()):
-        odds = math.log((n + 0.5) / (n_toxic + 1)) - math.log((others.get(f, 0) + 0.5) / (n_other + 1))
+        odds = log_odds(n, others.get(f, 0), n_toxic, n_other)
         if odds >= LEAST_ODDS and odds * n >= LEAST_EVIDENCE and n > others.get(f, 0):
             if not f.endswith("*"):
                 terms[f] = odds
@@ -233,25 +247,45 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], froz
     covered = lambda x, w: any(stems.get(x[:k], -math.inf) >= w - SLACK for k in STEM_LENGTHS if k < len(x))
     stems = {s: w for s, w in stems.items() if not covered(s, w)}  # terms stay, as stems match at no edit only
 
-    def misread(batches: Iterator) -> Iterator:
+    return terms, stems, edited_odds(sample, terms, n_toxic, n_other)
+
+
+def log_odds(n: int, others: int, n_toxic: int, n_other: int) -> float:
+    """Of a word that n of n_toxic texts hold and others of n_other."""
+    return math.log((n + 0.5) / (n_toxic + 1)) - math.log((others + 0.5) / (n_other + 1))
+
+
+def edited_odds(sample: DataFrame, terms: dict[str, float], n_toxic: int, n_other: int) -> dict[str, float]:
+    """Log-odds of terms an edit away, lowered by the harmless texts that would bring such a word; 0 for words near a term, and terms, that match exactly only."""
+    open_to_edits = {t: 1.0 for t in terms if len(t) >= FUZZY_FROM}
+
+    def near(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        one = {t: Matcher({t: 1.0}, {}) for t in terms if len(t) >= FUZZY_FROM}
-        m = Matcher(dict.fromkeys(one, 1.0), {})
+        forget()
+        m = Matcher(open_to_edits, {})
         for pdf in batches:
-            n: dict[str, int] = {}
-            for t in pdf["t"].array:
-                near = {p for p in {plain(w) for w in set((t or "").lower().split())} if p and (m.match(p) or (0, 0))[1]}
-                for term in {x for p in near for x, alone in one.items() if abs(len(x) - len(p)) <= EDITS and alone.match(p)}:
-                    n[term] = n.get(term, 0) + 1
-            yield pd.DataFrame({"form": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
-
-    counted = sample.where("toxic = 0").select("t").mapInPandas(misread, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()  # a row for each term
-    return terms, stems, frozenset(r.form for r in counted if r.n > max(1, MISREAD * n_other))
+            n: dict[tuple[str, int], int] = {}
+            for t, toxic in zip(pdf["t"].array, pdf["toxic"].array, strict=True):
+                for p in {plain(w) for w in set((t or "").lower().split())}:
+                    if p and p not in terms and (m.match(p) or (0, 0))[1]:
+                        n[p, toxic] = n.get((p, toxic), 0) + 1
+            yield as_objects(pd.DataFrame([(p, toxic, k) for (p, toxic), k in n.items()], columns=["form", "toxic", "n"]).astype({"toxic": "int32", "n": "int64"}))
+
+    held = sample.mapInPandas(near, "form string, toxic int, n long").groupBy("form").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("others"))
+    rows = held.where("others > 0").collect()  # words of the sample near a term
+    own = {r.form for r in rows if r.others > 1 and log_odds(r.n, r.others, n_toxic, n_other) < LEAST_ODDS}
+    m, once = Matcher(open_to_edits, {}), {}
+    for r in rows:
+        if r.others == 1:
+            for t in m.near(r.form):
+                once[t] = once.get(t, 0) + 1
+    odds = {t: max(0.0, terms[t] - math.log(2 * n + 1)) if n <= max(1, MISREAD * n_other) else 0.0 for t, n in once.items()}
+    return odds | dict.fromkeys(own, 0.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 0.5) -> np.ndarray:
-    """Logistic weights by Newton's method, drawn to the prior; abuse raises the score, and misspelled words can only take back."""
+    """Logistic weights by Newton's method, drawn to the prior; abuse raises the score."""
     a = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 4))
     w, keep = prior.copy(), strength * np.diag([0.1, 1.0, 1.0, 1.0])
     for _ in range(30):
@@ -260,38 +294,38 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    w[1], w[3] = max(w[1], 0.05), min(w[3], 0.0)
+    w[1] = max(w[1], 0.05)
     return w
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float], frozenset[str], np.ndarray]:
-    """(terms, stems, exact terms, weights) learned from labelled rows."""
+def fitted(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float], dict[str, float], np.ndarray]:
+    """(terms, stems, edited, weights) learned from labelled rows."""
     sample = fit_sample(docs, labels, fit_rows, doc_id, text)
-    terms, stems, exact = lexicon(sample)
+    terms, stems, edited = lexicon(sample)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         forget()
-        m = Matcher(terms, stems, exact)
+        m = Matcher(terms, stems, edited)
         for pdf in batches:
             yield pd.DataFrame([features(t, m) for t in pdf["t"].array], columns=["a", "b", "c"]).assign(toxic=pdf["toxic"])
 
     rows = sample.mapInPandas(run, "a double, b double, c double, toxic int").toPandas()  # at most fit_rows rows of numbers
     w = fit(rows[["a", "b", "c"]].to_numpy(float), rows["toxic"].to_numpy(float))
-    return terms, stems, exact, w
+    return terms, stems, edited, w
 
 
 def score(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, and score. labels: (doc_id, toxic) of the rows to learn from."""
-    terms, stems, exact, w = fitted(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
+    terms, stems, edited, w = fitted(docs, labels, fit_rows=fit_rows, doc_id=doc_id, text=text)
     (c_score,) = fresh(docs, "score")
 
     def run(series):
         import pandas as pd
 
         forget()
-        m = Matcher(terms, stems, exact)
+        m = Matcher(terms, stems, edited)
         for texts in series:
             x = np.array([features(t if isinstance(t, str) else None, m) for t in texts.array], float).reshape(len(texts), 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))

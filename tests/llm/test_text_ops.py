@@ -267,6 +267,41 @@ def test_misspelled_words_of_a_stem(spark):
     assert m.match("plain") is None and toxicity.features("a bxorgast", m)[2] > 0
 
 
+def test_words_of_their_own_near_a_term(spark):
+    """A harmless word that two texts hold is no misspelling, one that a single text holds lowers the term's, and the term keeps its automaton."""
+    rows = [(f"some{i} grumbler word{i} of text", 1) for i in range(60)] + [(f"some{i} {['grumble', 'grumbles', 'plain'][i % 3]} word{i}", 0) for i in range(60)] + [("a grumblet", 0)]
+    terms, stems, edited = toxicity.lexicon(spark.createDataFrame(rows, "t string, toxic int"))
+    m = toxicity.Matcher(terms, {}, edited)
+    assert m.match("grumbler") == (terms["grumbler"], 0) and m.match("grumble") is None and m.match("grumbles") is None
+    assert m.near("grumble") == ["grumbler"] and edited["grumble"] == 0
+    assert np.isclose(m.match("grxmbler")[0], terms["grumbler"] - np.log(3)) and m.match("grxmbler")[1] == 1
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Every whole text's score, with each word held against each term by the edit distance itself."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), toxicity.training_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    extra = spark.createDataFrame([(None, None), (-1, ""), (-2, "you idoit, you mormon"), (-3, "\u201eidiott\u201c sagte er " * 3000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    terms, stems, edited, w = toxicity.fitted(docs, labels)
+
+    class Brute:
+        memo = {}
+
+        def match(self, word):
+            if word not in self.memo:
+                found = [(0, -terms[word])] if word in terms else []
+                starts = [(0, -x) for p, x in stems.items() if word.startswith(p)]
+                near = [t for t in terms if len(t) >= 5 and t != word and abs(len(t) - len(word)) <= 1 and edited.get(t) != 0 and edited.get(word) != 0 and distance(word, t) == 1]
+                best = min(starts + found or [(1, -edited.get(t, terms[t])) for t in near], default=None)
+                self.memo[word] = None if best is None else (-best[1], best[0])
+            return self.memo[word]
+
+    got = toxicity.score(docs, labels).toPandas()
+    want = [1 / (1 + np.exp(-(w[0] + np.dot(w[1:], toxicity.features(t, Brute()))))) for t in got["text"]]
+    assert np.allclose(got["score"], want) and len(got) > 150
+
+
 def test_toxicity_of_held_out_rows(spark):
     """Learned from other rows only, the score tells most held-out labelled rows apart."""
     sf = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
