@@ -130,12 +130,12 @@ def list_level(spark, sf_dir):
     return found.select("child", "level", "ordered")
 
 
-@query(tree_sql("SELECT DISTINCT up.child FROM up JOIN v_edges p ON p.child = up.up AND p.label = 'picture' JOIN v_edges t ON t.child = up.child AND t.label = 'text' AND t.child % 7 <> 0"))
+@query(tree_sql("SELECT DISTINCT up.child FROM up JOIN v_edges p ON p.child = up.up AND p.label = 'picture' JOIN v_edges t ON t.child = up.child AND t.label = 'text'"))
 def picture_descendants(spark, sf_dir):
-    """Texts under a picture at any depth; captions (here every seventh node) stay."""
+    """Texts under a picture at any depth. A caption has a label of its own, so that it is none of them."""
     e = V.edges(spark, sf_dir)
     under = climb(e, {"pictured": (F.col("label") == "picture", "any")}).where("pictured").select("child")
-    return e.where("label = 'text' AND child % 7 <> 0").join(under, "child", "left_semi").select("child")
+    return e.where("label = 'text'").join(under, "child", "left_semi").select("child")
 
 
 COLLECTION = "CASE label WHEN 'text' THEN 0 WHEN 'picture' THEN 1 ELSE 2 END"

@@ -85,3 +85,12 @@ def test_long_chain(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], "child long, parent long")
     assert trees.climb(e, {}).count() == trees.sizes(e).count() == trees.preorder(e, []).count() == 0
+
+
+def test_picture_descendants_are_all_texts_under_a_picture(spark, tmp_path):
+    spark.range(1, 400).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    label = {k: "picture" if k % 5 == 0 else "list" if k % 3 == 0 else "text" for k in range(400)}
+    up = {k: (k // 3 + (k < 3) if k > 1 else None) for k in range(1, 400)}
+    want = [v for v in up if label[v] == "text" and any(label[a] == "picture" for a in chain_up(up, v))]
+    assert any(v % 7 == 0 for v in want)
+    assert sorted(r.child for r in trees.picture_descendants(spark, str(tmp_path)).collect()) == want
