@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_objects, dropped, forget, fresh, table, written
+from .common import as_objects, dropped, files_for, forget, fresh, table, written
 
 KEY = "quire-surrogates-1"
 # Alphabets, titles and name pools.
@@ -426,12 +426,13 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
         return pd.Series([x if k in MAKE else x.casefold() for k, x in zip(kinds, new, strict=True)], dtype=object)
 
     draw = F.pandas_udf(drawn_anew, "string", F.PandasUDFType.SCALAR)
-    now = written(found.groupBy("kind", "value").agg(F.min("surrogate").alias("surrogate")).withColumn("attempt", F.lit(0)), "entities")
+    files = files_for(found.sparkSession, found.count())
+    now = written(found.groupBy("kind", "value").agg(F.min("surrogate").alias("surrogate")).withColumn("attempt", F.lit(0)).coalesce(files), "entities")
     while True:
         least = now.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("attempt", "value")).alias("first")).where("c > 1")
         clash = now.join(least, ["kind", "surrogate"], "left")
         lost = F.col("first").isNotNull() & (F.struct("attempt", "value") != F.col("first"))
-        nxt = written(clash.select("kind", "value", "surrogate", F.when(F.coalesce(lost, F.lit(False)), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.coalesce(lost, F.lit(False)).alias("lost")), "entities")
+        nxt = written(clash.select("kind", "value", "surrogate", F.when(F.coalesce(lost, F.lit(False)), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.coalesce(lost, F.lit(False)).alias("lost")).coalesce(files), "entities")
         dropped(now)
         if nxt.where("lost").isEmpty():
             return nxt.where("attempt > 0").select("kind", "value", "attempt")

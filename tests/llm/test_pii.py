@@ -149,3 +149,17 @@ def test_lines_passed_over_hold_nothing(monkeypatch):
     want = [list(pii.entities(t)) for t in texts]
     monkeypatch.setattr(pii, "HINT", re.compile(""))
     assert [list(pii.entities(t)) for t in texts] == want
+
+
+def test_entities_are_written_in_few_files(spark, monkeypatch):
+    monkeypatch.setattr(pii, "written", lambda df, name, f=pii.written: files.append((name, len((out := f(df, name)).inputFiles()))) or out)
+    files, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    docs = spark.createDataFrame([(i, f"write to user{i}@mail{i}.example.com now") for i in range(200)], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert pii.replace_pii(docs).where("n_entities = 1").count() == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(n for name, n in files if name == "entities") <= spark.sparkContext.defaultParallelism
