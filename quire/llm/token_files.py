@@ -159,7 +159,8 @@ def write_files(docs: DataFrame, folder: str, *, tokenizer: str | None = None, e
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = rows.repartitionByRange(partitions_for(docs.sparkSession, size), "o", "h").sortWithinPartitions("o", "h", "t").select("d", "t")
     out = dealt.mapInPandas(write, "part int, seq int, file string, n_docs long, n_ids long")
-    return written(out, "token-index")
+    # a row for each file: few, so that they go into few files
+    return written(out.repartition(docs.sparkSession.sparkContext.defaultParallelism), "token-index")
 
 
 def read_files(spark, folder: str) -> DataFrame:

@@ -200,6 +200,19 @@ def test_token_files_round_trip(spark, docs, empty, kind):
     assert token_files.write_files(empty, scratch(spark, "files")).count() == 0
 
 
+def test_token_index_is_written_in_few_files(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        index = token_files.write_files(docs, scratch(spark, "files"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert index.count() == 40 and len(index.inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 def test_token_file_reads_ranges_by_its_index():
     w, ids = token_files.FileWriter("bit", 16), np.arange(100, dtype="<u4") * 70001 % 90000
     w.add(1, ids[:40].tobytes()), w.add(None, ids[40:].tobytes())
