@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import matching, structures
+from quire.sources.files import unsettled
 
 
 def vectors(seed=1, units=60):
@@ -92,3 +93,37 @@ def test_near_pairs_follow_the_files(spark, tmp_path):
     assert structures.near_pairs(spark, at) is first and first.where(F.col("query_id") == 0).count() == 20
     write(rows[:30])
     assert structures.near_pairs(spark, at).where("vec_id >= 30").count() == 0
+
+
+def test_near_pairs_outlast_their_files(spark, tmp_path):
+    """Where the shared folder was cleared between two queries, the search is written anew."""
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(i, np.eye(4)[i % 4].tolist(), 0) for i in range(60)], "vec_id long, embedding array<double>, label int").write.parquet(f"{at}/embeddings.parquet")
+    first = structures.near_pairs(spark, at)
+    want = sorted(map(tuple, first.collect()))
+    unsettled(first)
+    assert sorted(map(tuple, structures.near_pairs(spark, at).collect())) == want
+    unsettled(structures._FOUND[next(k for k in structures._FOUND if k[1] == at)])
+    assert sorted(r["vec_id"] for r in structures.vector_topk(spark, at).where("query_id = 0").collect()) == [4, 8, 12, 16, 20]
+
+
+def test_near_pairs_by_tiles_are_those_of_brute_force(spark, tmp_path, monkeypatch):
+    """Blocks and tiles of a few vectors: copies tie by id, a component that isn't a number comes first as in SQL, a vector without a length takes no part."""
+    for name, value in (("TILED_QUERIES", 3), ("TILED_ROWS", 70), ("TILE", 2)):
+        monkeypatch.setattr(structures, name, value)
+    x = np.random.default_rng(5).normal(size=(400, 6)).round(2)
+    x[100:200] = x[50]
+    x[7], x[8] = 0, np.nan
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = []
+    for q in range(0, 400, 50):
+        cosine = {i: round(float(x[q] @ v / np.sqrt((x[q] @ x[q]) * (v @ v))), 5) for i, v in enumerate(x) if i not in (q, 7)}
+        want += [(q, i) for i in sorted(cosine, key=lambda i: (0 if np.isnan(cosine[i]) else 1, -cosine[i] if i != 8 else 0, i))[:20]]  # noqa: B023
+    assert sorted((r["query_id"], r["vec_id"]) for r in structures.near_pairs(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_near_pairs_of_many_files(spark, tmp_path):
+    """The state of a table of many files is known without a sum of their hashes, which overflows."""
+    df = spark.createDataFrame([(i, np.eye(4)[i % 4].tolist(), 0) for i in range(640)], "vec_id long, embedding array<double>, label int")
+    df.repartition(64).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert structures.near_pairs(spark, str(tmp_path)).where("query_id = 0 AND vec_id % 4 = 0").count() == 20
