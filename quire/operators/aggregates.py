@@ -82,10 +82,10 @@ def column_anchors(spark, sf_dir):
 
 
 def bands(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Unions of intervals: a new band begins where none of those before reaches."""
-    w = Window.partitionBy(by).orderBy(start, end)
+    """Unions of intervals: a new band begins where none of those before reaches; intervals without a start or an end come last, as in SQL."""
+    w = Window.partitionBy(by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    marked = df.withColumn("new", F.when(F.col(start) <= reach, 0).otherwise(1))
     return marked.withColumn("band", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 

@@ -26,3 +26,19 @@ def test_fallbacks_beyond_a_million_ids(spark, tmp_path):
     rows = [(i, user, 1.0, None, "view") for user, all_ in ids.items() for i in all_]
     got, want = both(spark, tmp_path, "first_available", "events", rows, EVENTS)
     assert got == want and str((1, 11)) in got
+
+
+def test_bands_of_boxes_without_a_size(spark, tmp_path):
+    """A box without a bottom comes after those of its top, and is in their band."""
+    rows = [(k, "n", None if k % 7 == 3 else k * k % 50 + 1) for k in range(400)] + [(None, "x", 3), (None, "y", 4)]
+    got, want = both(spark, tmp_path, "vertical_bands", "part", rows, "p_partkey long, p_name string, p_size int")
+    assert got == want
+
+
+def test_bands_of_equal_boxes_are_apart(spark, tmp_path):
+    """Boxes of equal top and bottom leave the order open; the bands of a page still don't meet, and hold every box."""
+    rows = [(20 * k + j, "n", 13 * (j % 2) + 1) for k in range(50) for j in range(20) for _ in range(3)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").repartition(7).write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, registry.queries()["vertical_bands"](spark, str(tmp_path)).select("page", "band", "top", "bottom", "items").collect()))
+    assert sum(r[4] for r in got) == len(rows)
+    assert all(a[3] < b[2] and a[1] + 1 == b[1] for a, b in zip(got, got[1:], strict=False) if a[0] == b[0])
